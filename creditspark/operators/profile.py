@@ -180,7 +180,7 @@ CLASS_LIMIT = 1000
 def crosstab(df: DataFrame, predictor: str, target: str, classes: Sequence) -> DataFrame:
     """Contingency table with one column per target class."""
     known = df.filter(F.col(predictor).isNotNull() & F.col(target).isNotNull())
-    return known.groupBy(predictor).pivot(target, list(classes)).agg(F.count("*")).fillna(0)
+    return known.groupBy(predictor).pivot(target, list(classes)).agg(F.count(F.lit(1))).fillna(0)
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

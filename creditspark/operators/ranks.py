@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditspark.session import materialize
@@ -127,24 +127,32 @@ def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, repeat
     return out
 
 
-def holdout_flag(key: str, seed: int = 98, train_percent: int = 80):
+def holdout_flag(key: str, seed: int = 98, train_percent: int = 80) -> Column:
     """1 for the training part of a stable hash split, 0 for the validation part."""
     digits = F.substring(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed)))), 1, 8)
     return (F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(100)) < train_percent).cast("int")
 
 
-def split_hot(df: DataFrame, key: str, limit: int = HOT_ROWS) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary keys, and rows of keys with more than ``limit`` rows (None when there are none)."""
-    sizes = df.groupBy(key).agg(F.count("*").alias("_n"))
-    hot = materialize(sizes.filter(F.col("_n") > limit).select(key))
+def key_sizes(df: DataFrame, key: str) -> DataFrame:
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("key_rows"))
+
+
+def split_hot(df: DataFrame, key: str, limit: int = HOT_ROWS,
+              sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ordinary keys, and rows of keys with more than ``limit`` rows (None when there are none).
+
+    ``sizes`` (key, ``key_rows``) spares the counting pass when the caller has it stored.
+    """
+    sizes = key_sizes(df, key) if sizes is None else sizes
+    # at most rows / limit keys, so this list is small next to the table
+    hot = materialize(sizes.filter(F.col("key_rows") > limit).select(key))
     if hot.isEmpty():
         return df, None
-    # at most rows / limit keys, so this list is small next to the table
     return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")
 
 
 def ordered_halves(df: DataFrame, key: str, order: Sequence[str], value: str,
-                   limit: int = HOT_ROWS) -> DataFrame:
+                   limit: int = HOT_ROWS, sizes: DataFrame | None = None) -> DataFrame:
     """Mean of ``value`` in the later half minus the earlier half of each key's ordered rows.
 
     Fewer than two rows give 0; with an odd count the extra row is in the later half; NULL values are
@@ -152,7 +160,7 @@ def ordered_halves(df: DataFrame, key: str, order: Sequence[str], value: str,
     """
     order = [c for c in order if c != value]
     rows = df.filter(F.col(key).isNotNull()).select(key, *order, value)
-    usual, hot = split_hot(rows, key, limit)
+    usual, hot = split_hot(rows, key, limit, sizes)
 
     w = Window.partitionBy(key)
     placed = usual.select(

@@ -87,15 +87,19 @@ def overdue_share(pos: DataFrame) -> DataFrame:
     return _by_client(pos).agg(C.share(F.col("SK_DPD") > 0).alias("POS_CASH_DPD_RATIO"))
 
 
-def instalment_trend(pos: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def instalment_trend(pos: DataFrame, hot_rows: int = HOT_ROWS, sizes: DataFrame | None = None) -> DataFrame:
     """Later minus earlier half of the future instalment counts, in month order."""
     order = ["MONTHS_BALANCE", "SK_ID_PREV"]
-    trend = ordered_halves(pos, KEY, order, "CNT_INSTALMENT_FUTURE", hot_rows)
+    trend = ordered_halves(pos, KEY, order, "CNT_INSTALMENT_FUTURE", hot_rows, sizes)
     return trend.withColumnRenamed("trend", "POS_CASH_INSTALLMENT_TREND")
 
 
-def pos_features(pos: DataFrame) -> DataFrame:
-    return overdue_share(pos).join(instalment_trend(pos), KEY)
+def pos_features(pos: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Overdue share and instalment trend; the first pass also sizes the clients for the second."""
+    first = materialize(_by_client(pos).agg(
+        C.share(F.col("SK_DPD") > 0).alias("POS_CASH_DPD_RATIO"), F.count("*").alias("key_rows")))
+    trend = instalment_trend(pos, hot_rows, first.select(KEY, "key_rows"))
+    return first.drop("key_rows").join(trend, KEY)
 
 
 # ---- client rows ---------------------------------------------------------------------------
