@@ -33,7 +33,7 @@ def client(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "customer").select(
         key.alias("SK_ID_CURR"),
         (F.col("c_acctbal") < 0).cast("long").alias("TARGET"),
-        (nation.cast("double") * 1000.0).alias("AMT_INCOME_TOTAL"),
+        (nation.cast("double") * 997.0).alias("AMT_INCOME_TOTAL"),
         (_number(31, 9973).cast("double") * 25.0).alias("AMT_CREDIT"),
         F.when(key % 13 == 0, None).otherwise(_number(17, 1009).cast("double") * 10.0).alias("AMT_ANNUITY"),
         F.when(key % 11 == 0, 365243).otherwise(-_number(37, 4000)).cast("long").alias("DAYS_EMPLOYED"),
@@ -152,7 +152,7 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 ROLE_SQL = {
     "client": """
   select c_custkey as SK_ID_CURR, cast(c_acctbal < 0 as bigint) as TARGET,
-    cast(c_nationkey as double) * 1000.0 as AMT_INCOME_TOTAL,
+    cast(c_nationkey as double) * 997.0e0 as AMT_INCOME_TOTAL,
     cast((c_custkey * 31) % 9973 as double) * 25.0 as AMT_CREDIT,
     case when c_custkey % 13 = 0 then null else cast((c_custkey * 17) % 1009 as double) * 10.0 end as AMT_ANNUITY,
     case when c_custkey % 11 = 0 then 365243 else -((c_custkey * 37) % 4000) end as DAYS_EMPLOYED,

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from creditspark.functions import columns as C
 from creditspark.functions import numeric
@@ -22,27 +23,27 @@ PHIK_BINS = 10
 MIN_GROUP = 30
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _upper_two_sided(z: pd.Series) -> pd.Series:
     # small: one row per test
     return z.map(lambda v: None if pd.isna(v) else 1.0 if v <= 0 else numeric.normal_two_sided(v))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _chi2_tail(x: pd.Series, dof: pd.Series) -> pd.Series:
     # small: one row per test
     return pd.Series([None if pd.isna(a) or pd.isna(d) else numeric.chi2_tail(a, int(d))
                       for a, d in zip(x, dof)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _phik(chi2: pd.Series, n: pd.Series, r: pd.Series, k: pd.Series) -> pd.Series:
     # small: one row per feature pair
     found = [numeric.phik_from_chi2(*row[:2], int(row[2]), int(row[3])) for row in zip(chi2, n, r, k)]
     return pd.Series(found, dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _t_975(dof: pd.Series) -> pd.Series:
     # small: one row per model
     return dof.map(lambda d: None if pd.isna(d) or d < 1 else numeric.t_quantile(0.975, int(d)))
