@@ -8,29 +8,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from creditspark.functions.columns import missing_tier, variant_base
-from creditspark.operators.align import NUMERIC, to_long, transpose_summary
+from creditspark.operators.align import NUMERIC, to_long
 from creditspark.operators.joins import lookup_join
 from creditspark.operators.ranks import exact_quantiles
 from creditspark.session import materialize
 
 SKEW_THRESHOLD = 0.5
 CARDINALITY_THRESHOLD = 10
-CHUNK = 40  # columns per aggregate, so that one wide aggregate stays compilable
 
 
-def _chunks(columns: Sequence[str]) -> list[list[str]]:
-    columns = list(columns)
-    return [columns[i:i + CHUNK] for i in range(0, len(columns), CHUNK)]
+def summarize(df: DataFrame, columns: Sequence[str], stats: dict) -> DataFrame:
+    """One row per column with the given ``{name: value -> aggregate}`` statistics of its values as double.
+
+    Columns are stacked first, so the aggregate has as many functions as there are statistics however wide
+    the frame is, and every column is covered by the same pass.
+    """
+    value = F.col("value")
+    return to_long(df, columns).groupBy("column").agg(*[f(value).alias(name) for name, f in stats.items()])
 
 
-def summarize(df: DataFrame, columns: Sequence[str], stats: dict, kind: str = "double") -> DataFrame:
-    """One row per column with the given ``{name: column -> aggregate}`` statistics."""
-    out = None
-    for part in _chunks(columns):
-        one = df.agg(*[f(c).cast(kind).alias(f"{c}__{name}") for c in part for name, f in stats.items()])
-        long = transpose_summary(one, part, list(stats), kind)
-        out = long if out is None else out.unionByName(long)
-    return out
+def null_flags(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = ()) -> DataFrame:
+    """One row per (row, column) with 1 in ``value`` where the column is NULL."""
+    flags = df.select(*ids, *[F.col(c).isNull().cast("int").alias(c) for c in columns])
+    return flags.unpivot(list(ids), list(columns), "column", "value")
 
 
 # ---- duplicates ----------------------------------------------------------------------------
@@ -58,8 +58,8 @@ def duplicate_rows(df: DataFrame, n: int = 10) -> DataFrame:
 # ---- missing values ------------------------------------------------------------------------
 
 def _null_counts(df: DataFrame, side: str) -> DataFrame:
-    stats = {"missing": lambda c: F.count(F.when(F.col(c).isNull(), 1)), "rows": lambda c: F.count(F.lit(1))}
-    counts = summarize(df, df.columns, stats, "long")
+    counts = null_flags(df, df.columns).groupBy("column").agg(
+        F.sum("value").alias("missing"), F.count("*").alias("rows"))
     percent = F.bround(F.try_divide(F.col("missing").cast("double"), F.col("rows").cast("double")) * 100, 1)
     return counts.select("column", F.col("missing").alias(f"{side}_count"), percent.alias(f"{side}_percent"))
 
@@ -69,12 +69,12 @@ def missing_report(train: DataFrame, test: DataFrame, missing_only: bool = False
 
     A column absent from one frame has NULL cells there.
     """
-    types = train.sparkSession.createDataFrame(train.dtypes, "column string, data_type string")
-    both = (_null_counts(train, "train").join(_null_counts(test, "test"), "column", "full_outer")
-            .join(types, "column", "left"))
+    types = F.create_map(*[F.lit(text) for pair in train.dtypes for text in pair])
+    both = _null_counts(train, "train").join(_null_counts(test, "test"), "column", "full_outer")
     if missing_only:
         both = both.filter((F.col("train_count") > 0) | (F.col("test_count") > 0))
-    return both.select("column", "data_type", "train_count", "train_percent", "test_count", "test_percent") \
+    return both.select("column", F.try_element_at(types, F.col("column")).alias("data_type"),
+                       "train_count", "train_percent", "test_count", "test_percent") \
         .orderBy(F.desc_nulls_last("train_percent"), "column")
 
 
@@ -95,13 +95,11 @@ QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, sample deviation, min, exact quartiles and max per column."""
-    x = lambda c: F.col(c).cast("double")
     moments = summarize(df, columns, {
-        "count": lambda c: F.count(c), "mean": lambda c: F.avg(x(c)), "std": lambda c: F.stddev_samp(x(c)),
-        "min": lambda c: F.min(x(c)), "max": lambda c: F.max(x(c))})
+        "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
     quartiles = exact_quantiles(to_long(df, columns), "value", QUARTILES, ["column"]).drop("n")
     return moments.join(quartiles, "column", "left").select(
-        "column", F.col("count").cast("long").alias("count"), "mean", "std", "min", *QUARTILES, "max")
+        "column", "count", "mean", "std", "min", *QUARTILES, "max")
 
 
 def value_counts_long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -138,7 +136,8 @@ def cardinality_split(df: DataFrame, columns: Sequence[str],
                       threshold: float = CARDINALITY_THRESHOLD, approximate: bool = False) -> DataFrame:
     """Distinct non-NULL values per column and whether that is ``high`` (above the threshold) or ``low``."""
     if approximate:
-        sizes = summarize(df, columns, {"n_unique": lambda c: F.approx_count_distinct(c)}, "long")
+        sizes = to_long(df, columns, kind="string").groupBy("column").agg(
+            F.approx_count_distinct("value").alias("n_unique"))
     else:
         known = value_counts_long(df, columns)
         sizes = known.groupBy("column").agg(F.count("value").alias("n_unique"))
@@ -206,7 +205,7 @@ def corrected_skewness(c: Column | str) -> Column:
 
 
 def skewness_report(df: DataFrame, columns: Sequence[str], threshold: float = SKEW_THRESHOLD) -> DataFrame:
-    found = summarize(df, columns, {"skewness": lambda c: corrected_skewness(F.col(c).cast("double"))})
+    found = summarize(df, columns, {"skewness": corrected_skewness})
     skewed = F.coalesce(F.abs("skewness") > threshold, F.lit(False)).cast("int")
     return found.select("column", "skewness", skewed.alias("skewed"))
 

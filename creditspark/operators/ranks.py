@@ -7,7 +7,7 @@ offset. Inputs are first collapsed to distinct (keys, order) tuples, so equal ro
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,10 +19,11 @@ HASH_DIGITS = 3
 
 
 def running_totals(df: DataFrame, order: Sequence[str], totals: Sequence[str],
-                   keys: Sequence[str] = ()) -> DataFrame:
+                   keys: Sequence[str] = (), wanted: Callable[..., Column] | None = None) -> DataFrame:
     """Add ``before_<t>`` (sum over earlier rows of the key) and ``all_<t>`` (sum over the key) per total.
 
-    ``df`` must hold one row per (keys, order).
+    ``df`` must hold one row per (keys, order). ``wanted`` (given the sum before a slice, the sum in it and the
+    sum over the key, for the first total) keeps only the slices a selection needs; the others are never sorted.
     """
     keys, order = list(keys), list(order)
     slices = df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id())
@@ -35,7 +36,12 @@ def running_totals(df: DataFrame, order: Sequence[str], totals: Sequence[str],
         *keys, "_slice",
         *[F.coalesce(F.sum(f"_in_{t}").over(earlier), F.lit(0)).alias(f"_off_{t}") for t in totals],
         *[F.sum(f"_in_{t}").over(by_key).alias(f"all_{t}") for t in totals],
+        F.col(f"_in_{totals[0]}").alias("_in"),
     )
+    if wanted is not None:
+        offsets = offsets.filter(
+            wanted(F.col(f"_off_{totals[0]}"), F.col("_in"), F.col(f"all_{totals[0]}")))
+    offsets = offsets.drop("_in")
     inside = (Window.partitionBy(*keys, "_slice").orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, -1))
     placed = slices.join(offsets, [*keys, "_slice"])
@@ -79,7 +85,15 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
     """Linearly interpolated quantiles, exact at any size: one output column per named probability."""
     counts = (df.filter(F.col(value).isNotNull())
               .groupBy(*keys, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n")))
-    placed = running_totals(counts, ["value"], ["n"], keys)
+
+    def holds_a_position(before: Column, inside: Column, whole: Column) -> Column:
+        found = F.lit(False)
+        for p in probs.values():
+            at = F.lit(float(p)) * (whole - 1)
+            found = found | ((before <= F.ceil(at)) & (F.floor(at) < before + inside))
+        return found
+
+    placed = running_totals(counts, ["value"], ["n"], keys, holds_a_position)
 
     def value_at(position):
         here = (F.col("before_n") <= position) & (position < F.col("before_n") + F.col("n"))

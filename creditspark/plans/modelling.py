@@ -6,6 +6,7 @@ import math
 import random
 from collections.abc import Mapping, Sequence
 from itertools import combinations
+from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -14,11 +15,12 @@ from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.util import inheritable_thread_target
 
 from creditspark.functions.columns import weighted_mean
 from creditspark.operators.align import append_rows, numeric_columns
 from creditspark.operators.encode import dummies, fit_levels
-from creditspark.operators.profile import class_weights
+from creditspark.operators.profile import null_flags
 from creditspark.operators.ranks import auc_from_counts, holdout_flag, roc_auc, stratified_folds
 from creditspark.operators.stats import cv_stability
 from creditspark.session import materialize
@@ -31,11 +33,17 @@ FEATURES = "_features"
 
 # ---- inputs --------------------------------------------------------------------------------
 
-def gap_columns(df: DataFrame, columns: Sequence[str]) -> tuple[list[str], list[str]]:
-    """Columns with some NULLs, and columns with nothing else."""
-    one = df.agg(F.count("*").alias("n"), *[F.count(c).alias(f"c_{i}") for i, c in enumerate(columns)]).first()
-    known = {c: one[f"c_{i}"] for i, c in enumerate(columns)}
-    return ([c for c in columns if 0 < known[c] < one["n"]], [c for c in columns if known[c] == 0])
+def training_facts(df: DataFrame, columns: Sequence[str], label: str) -> tuple[list[str], list[str], dict]:
+    """Columns with some NULLs, columns with nothing else, and rows per class, in one pass."""
+    found = null_flags(df, columns, [label]).groupBy(label, "column").agg(
+        F.sum("value").alias("missing"), F.count("*").alias("n")).collect()
+    missing, rows, classes = dict.fromkeys(columns, 0), dict.fromkeys(columns, 0), {}
+    for r in found:
+        missing[r["column"]] += r["missing"]
+        rows[r["column"]] += r["n"]
+        if r[label] is not None:
+            classes[r[label]] = r["n"]
+    return ([c for c in columns if 0 < missing[c] < rows[c]], [c for c in columns if missing[c] == rows[c]], classes)
 
 
 def add_flags(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -58,21 +66,21 @@ def vector_stages(columns: Sequence[str], flagged: Sequence[str]) -> list:
     return stages
 
 
-def with_class_weights(df: DataFrame, label: str) -> DataFrame:
-    """Balanced row weights: two scalars, one projection."""
-    weight = F.lit(None).cast("double")
-    for row in class_weights(df, label).collect():
-        weight = F.when(F.col(label) == row[label], F.lit(row["weight"])).otherwise(weight)
+def with_class_weights(df: DataFrame, label: str, classes: Mapping) -> DataFrame:
+    """Balanced row weights from the rows per class."""
+    whole, weight = sum(classes.values()), F.lit(None).cast("double")
+    for value, n in classes.items():
+        weight = F.when(F.col(label) == F.lit(value), F.lit(whole / (len(classes) * n))).otherwise(weight)
     return df.withColumn(WEIGHT, weight)
 
 
-def classifiers(label: str, trees: int = 100, rounds: int = 20, depth: int = 5) -> dict:
+def classifiers(label: str, trees: int = 100, rounds: int = 20, depth: int = 5, steps: int = 100) -> dict:
     """The model set, each weighted by class balance."""
     common = {"labelCol": label, "featuresCol": FEATURES, "weightCol": WEIGHT}
     return {
         "GradientBoosting": GBTClassifier(**common, maxIter=rounds, maxDepth=depth, seed=SEED),
         "RandomForest": RandomForestClassifier(**common, numTrees=trees, maxDepth=depth, seed=SEED),
-        "Logistic": LogisticRegression(**common, maxIter=100, regParam=0.01),
+        "Logistic": LogisticRegression(**common, maxIter=steps, regParam=0.01),
     }
 
 
@@ -85,9 +93,9 @@ class Trainer:
     def fit(self, df: DataFrame) -> FittedModel:
         columns = list(self.columns)
         typed = as_doubles(df, columns)
-        flagged, empty = gap_columns(typed, columns)
+        flagged, empty, classes = training_facts(typed, columns, self.label)
         columns = [c for c in columns if c not in empty]
-        rows = with_class_weights(add_flags(typed, flagged), self.label)
+        rows = with_class_weights(add_flags(typed, flagged), self.label, classes)
         rows = rows.withColumn(self.label, F.col(self.label).cast("double"))
         model = Pipeline(stages=[*vector_stages(columns, flagged), self.classifier]).fit(rows)
         return FittedModel(model, columns, flagged)
@@ -111,16 +119,12 @@ class FittedModel:
         return self.transform(df).select(*keep, class_one().alias(name))
 
     def importances(self) -> DataFrame:
-        return model_importance([self.model.stages[-1]], self.feature_names(), _session(self.model))
+        return model_importance([self.model.stages[-1]], self.feature_names(), SparkSession.active())
 
     def feature_names(self) -> list[str]:
         return [*self.columns, *[f"{c}__missing" for c in self.flagged]]
 
 
-def _session(model) -> SparkSession:
-    return SparkSession.getActiveSession()
-
-
 # ---- splits and out-of-fold scores ---------------------------------------------------------
 
 def train_validation(df: DataFrame, key: str, seed: int = SEED, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -129,16 +133,23 @@ def train_validation(df: DataFrame, key: str, seed: int = SEED, percent: int = 8
 
 
 def out_of_fold(trainer: Trainer, df: DataFrame, key: str, folds: int = 5, repeats: int = 3,
-                seed: int = SEED) -> DataFrame:
-    """Held-out probability of every row in every repeat: key, label, repeat, fold, p."""
+                seed: int = SEED, parallelism: int = 4) -> DataFrame:
+    """Held-out probability of every row in every repeat: key, label, repeat, fold, p.
+
+    Fits are independent, so ``parallelism`` of them are submitted at a time.
+    """
     placed = materialize(stratified_folds(df, key, trainer.label, folds, repeats, seed))
-    parts = []
-    for r in range(repeats):
-        for k in range(folds):
-            held = F.col(f"fold_{r}") == k
-            model = trainer.fit(placed.filter(~held))
-            part = model.probability(placed.filter(held), [key, trainer.label])
-            parts.append(part.select(key, trainer.label, F.lit(r).alias("repeat"), F.lit(k).alias("fold"), "p"))
+
+    def one(job: tuple[int, int]) -> DataFrame:
+        r, k = job
+        held = F.col(f"fold_{r}") == k
+        model = trainer.fit(placed.filter(~held))
+        part = model.probability(placed.filter(held), [key, trainer.label])
+        return part.select(key, trainer.label, F.lit(r).alias("repeat"), F.lit(k).alias("fold"), "p")
+
+    jobs = [(r, k) for r in range(repeats) for k in range(folds)]
+    with ThreadPool(min(parallelism, len(jobs))) as pool:
+        parts = pool.map(inheritable_thread_target(df.sparkSession)(one), jobs)
     return materialize(append_rows(*parts))
 
 
@@ -207,9 +218,9 @@ def random_search(trainer: Trainer, df: DataFrame, key: str, space: Mapping[str,
     spark = df.sparkSession
     columns, label = list(trainer.columns), trainer.label
     typed = as_doubles(df, columns)
-    flagged, empty = gap_columns(typed, columns)
+    flagged, empty, classes = training_facts(typed, columns, label)
     columns = [c for c in columns if c not in empty]
-    rows = with_class_weights(add_flags(typed, flagged), label)
+    rows = with_class_weights(add_flags(typed, flagged), label, classes)
     rows = stratified_folds(rows, key, label, folds, 1, seed).withColumn(label, F.col(label).cast("double"))
     vectors = Pipeline(stages=vector_stages(columns, flagged)).fit(rows)
     ready = materialize(vectors.transform(rows).select(key, label, WEIGHT, FEATURES, "fold_0"))
@@ -293,7 +304,7 @@ def forest_importance(df: DataFrame, key: str, label: str, trees: int = 100) ->
     rows = materialize(dummies(df, fit_levels(df, text), keep=[key, label], drop_first=False))
     columns = [c for c in rows.columns if c not in (key, label)]
     rows = as_doubles(rows, [*columns, label])
-    gaps, empty = gap_columns(rows, columns)
+    gaps, empty, _ = training_facts(rows, columns, label)
     columns = [c for c in columns if c not in empty]
     stages = [Imputer(strategy="median", inputCols=gaps, outputCols=gaps)] if gaps else []
     stages += [VectorAssembler(inputCols=columns, outputCol=FEATURES),
@@ -307,9 +318,9 @@ def ensemble_importance(df: DataFrame, key: str, label: str, iterations: int = 5
     """Importance averaged over two weighted tree models and several 80 % samples."""
     columns = [c for c in numeric_columns(df) if c not in (key, label)]
     typed = as_doubles(df, [*columns, label])
-    gaps, empty = gap_columns(typed, columns)
+    gaps, empty, classes = training_facts(typed, columns, label)
     columns = [c for c in columns if c not in empty]
-    rows = with_class_weights(typed, label)
+    rows = with_class_weights(typed, label, classes)
     stages = [Imputer(strategy="median", inputCols=gaps, outputCols=gaps)] if gaps else []
     stages.append(VectorAssembler(inputCols=columns, outputCol=FEATURES))
     vectors = Pipeline(stages=stages).fit(rows).transform(rows)
