@@ -64,9 +64,9 @@ def dummies(df: DataFrame, levels: Mapping[str, Sequence[str]], keep: Sequence[s
 
 
 def category_sums(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
-    """Rows and label sum per (column, value)."""
+    """Labelled rows and label sum per (column, value)."""
     return to_long(df, columns, [label], "string").groupBy("column", "value").agg(
-        F.count("*").alias("n"), F.sum(F.col(label).cast("double")).alias("label_sum"))
+        F.count(label).alias("n"), F.sum(F.col(label).cast("double")).alias("label_sum"))
 
 
 def m_estimates(sums: DataFrame, prior: float, m: float = 1.0) -> DataFrame:
@@ -90,13 +90,16 @@ class EncodingModel:
             threshold: float = CARDINALITY_THRESHOLD, m: float = 1.0) -> EncodingModel:
         """``keep`` columns (key, label) pass through unencoded. One pass over the rows."""
         columns = [c for c in categorical_columns(df) if c not in {*keep, label}]
-        prior = df.agg(F.avg(F.col(label).cast("double")).alias("p")).first()["p"]
         if not columns:
+            prior = df.agg(F.avg(F.col(label).cast("double")).alias("p")).first()["p"]
             empty = df.sparkSession.createDataFrame([], "column string, value string, encoding double")
             return cls({}, [], empty, prior, list(keep))
         sums = materialize(category_sums(df, columns, label))
-        sizes = {r["column"]: r["k"] for r in
-                 sums.groupBy("column").agg(F.count("value").alias("k")).collect()}
+        per_column = sums.groupBy("column").agg(
+            F.count("value").alias("k"), F.sum("n").alias("n"), F.sum("label_sum").alias("y")).collect()
+        sizes = {r["column"]: r["k"] for r in per_column}
+        # every column covers all rows, so any of them gives the overall mean
+        prior = per_column[0]["y"] / per_column[0]["n"]
         high = [c for c in columns if sizes[c] > threshold]
         levels: dict[str, list[str]] = {c: [] for c in columns if c not in high}
         known = sums.filter(F.col("value").isNotNull() & F.col("column").isin(list(levels)))

@@ -149,31 +149,32 @@ def cardinality_split(df: DataFrame, columns: Sequence[str],
 
 def value_counts_percent(df: DataFrame, column: str) -> DataFrame:
     """Counts of non-NULL values and their percent of the non-NULL total, most frequent first."""
-    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("value_count"))
-    total = df.agg(F.count(column).alias("n")).first()["n"]
-    percent = F.bround(F.col("value_count") / F.lit(float(max(total, 1))) * 100, 2)
+    counts = materialize(
+        df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("value_count")))
+    total = counts.agg(F.sum("value_count").alias("n")).first()["n"]
+    percent = F.bround(F.col("value_count") / F.lit(float(total or 1)) * 100, 2)
     return counts.select(column, "value_count", percent.alias("percent_of_total")) \
         .orderBy(F.desc("value_count"), column)
 
 
+CLASS_LIMIT = 1000
+
+
 def proportions(df: DataFrame, predictor: str, target: str) -> DataFrame:
     """Share of each target class within each predictor value; absent pairs have a NULL share."""
-    classes = [r[0] for r in df.filter(F.col(target).isNotNull()).select(target).distinct().orderBy(target)
-               .limit(CLASS_LIMIT + 1).collect()]
+    cells = materialize(
+        df.filter(F.col(predictor).isNotNull() & F.col(target).isNotNull())
+        .groupBy(predictor, target).agg(F.count("*").alias("n")))
+    classes = [r[0] for r in cells.select(target).distinct().orderBy(target).limit(CLASS_LIMIT + 1).collect()]
     if len(classes) > CLASS_LIMIT:
         raise ValueError(f"{target} has too many classes for a proportion table")
-    known = df.filter(F.col(predictor).isNotNull() & F.col(target).isNotNull())
-    counts = known.groupBy(predictor).agg(
-        F.count("*").alias("_all"),
-        *[F.count(F.when(F.col(target) == F.lit(v), 1)).alias(f"_c{i}") for i, v in enumerate(classes)])
-    pairs = F.array(*[F.struct(F.lit(v).alias(target), F.col(f"_c{i}").alias("n"))
-                      for i, v in enumerate(classes)])
-    present = F.when(F.col("p.n") > 0, F.col("p.n") / F.col("_all").cast("double"))
+    counts = cells.groupBy(predictor).agg(
+        F.sum("n").alias("_all"),
+        *[F.sum(F.when(F.col(target) == F.lit(v), F.col("n"))).alias(f"_c{i}") for i, v in enumerate(classes)])
+    pairs = F.array(*[F.struct(F.lit(v).alias(target), F.col(f"_c{i}").alias("n")) for i, v in enumerate(classes)])
     return counts.select(predictor, "_all", F.explode(pairs).alias("p")).select(
-        predictor, F.col(f"p.{target}").alias(target), present.alias("proportion"))
-
-
-CLASS_LIMIT = 1000
+        predictor, F.col(f"p.{target}").alias(target),
+        (F.col("p.n") / F.col("_all").cast("double")).alias("proportion"))
 
 
 def crosstab(df: DataFrame, predictor: str, target: str, classes: Sequence) -> DataFrame:
@@ -184,7 +185,7 @@ def crosstab(df: DataFrame, predictor: str, target: str, classes: Sequence) -> D
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weight per class, and the ratio of the largest to the smallest class."""
-    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n"))
+    counts = materialize(df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("n")))
     totals = counts.agg(F.sum("n").alias("all_n"), F.count("*").alias("k"),
                         F.max("n").alias("most"), F.min("n").alias("least")).first()
     whole, k = float(totals["all_n"] or 0), float(totals["k"] or 1)
@@ -261,7 +262,8 @@ def ranked(df: DataFrame, score: str, name: str, n: int | None = None, absolute:
 
 def top_fraction(df: DataFrame, score: str, name: str, fraction: float = 0.90) -> DataFrame:
     """The first ``int(rows * fraction)`` rows by descending score."""
-    return ranked(df, score, name, int(df.count() * fraction))
+    stored = materialize(df)
+    return ranked(stored, score, name, int(stored.count() * fraction))
 
 
 def variants_to_remove(variants: DataFrame, importances: DataFrame) -> DataFrame:
@@ -317,11 +319,13 @@ def density(df: DataFrame, value: str, group: str, points: int = 50, prebins: in
     """
     known = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
     x = F.col(value).cast("double")
-    low, high = _limits(known, x)
+    facts = materialize(known.groupBy(group).agg(
+        F.count("*").alias("_n"), F.stddev_samp(x).alias("_sd"), F.min(x).alias("_lo"), F.max(x).alias("_hi")))
+    low, high = facts.agg(F.min("_lo"), F.max("_hi")).first()
     if low is None:
         low, high = 0.0, 1.0
     width = (high - low) / prebins or 1.0
-    spread = known.groupBy(group).agg(F.count("*").alias("_n"), F.stddev_samp(x).alias("_sd")).select(
+    spread = facts.select(
         group, "_n", (F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).alias("_h"))
     number = F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(prebins - 1))
     counts = known.groupBy(group, number.alias("_bin")).agg(F.count("*").alias("_w"))

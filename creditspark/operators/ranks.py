@@ -133,12 +133,16 @@ def hash_order_numbers(df: DataFrame, strata: Sequence[str], key: str, seed: int
 
 def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, repeats: int = 1,
                      seed: int = 98) -> DataFrame:
-    """Add ``fold_<r>`` per repeat; fold sizes of each class differ by at most one."""
-    out = df.filter(F.col(label).isNotNull() & F.col(key).isNotNull())
+    """Add ``fold_<r>`` per repeat; fold sizes of each class differ by at most one.
+
+    Only key and label are numbered; the other columns are joined back once, by the unique key.
+    """
+    out = df.select(key, label).filter(F.col(label).isNotNull() & F.col(key).isNotNull())
     for r in range(repeats):
         out = hash_order_numbers(out, [label], key, seed + r)
         out = out.withColumn(f"fold_{r}", F.pmod("_number", F.lit(folds)).cast("int")).drop("_number")
-    return out
+    rest = [c for c in df.columns if c != label]
+    return out if rest == [key] else out.join(df.select(*rest), key)
 
 
 def holdout_flag(key: str, seed: int = 98, train_percent: int = 80) -> Column:

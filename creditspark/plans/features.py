@@ -131,16 +131,36 @@ def flag_violations(client: DataFrame) -> DataFrame:
     return client.agg(*[F.count(F.when(C.yes_no(c).isNull(), 1)).alias(c) for c in flags])
 
 
-def join_histories(client: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """One left join per history table, all on the client key; the row count does not change."""
-    out = client
-    for features in (
+def history_features(tables: dict[str, DataFrame]) -> list[DataFrame]:
+    """One frame per history table, each with one row per client."""
+    return [
         card_features(tables["credit_card_balance"]),
         bureau_features(tables["bureau"], tables["bureau_balance"]),
         previous_features(tables["previous_application"]),
         instalment_features(tables["installments_payments"]),
         pos_features(tables["pos_cash_balance"]),
-    ):
+    ]
+
+
+HISTORY = "history"
+
+
+def history_frame(tables: dict[str, DataFrame]) -> DataFrame:
+    """All history features of every client found in any history, one row each.
+
+    Stored once, it stands in for the history tables (as ``tables["history"]``), so that small batches are
+    scored without reading the histories again.
+    """
+    first, *others = history_features(tables)
+    for features in others:
+        first = first.join(features, KEY, "full_outer")
+    return first
+
+
+def join_histories(client: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+    """One left join per history table, all on the client key; the row count does not change."""
+    out = client
+    for features in [tables[HISTORY]] if HISTORY in tables else history_features(tables):
         out = attach_one_per_key(out, features, KEY)
     return out.withColumn("INCOME_TO_CREDIT_LIMIT", C.ratio("AMT_INCOME_TOTAL", "AVG_CREDIT_LIMIT"))
 

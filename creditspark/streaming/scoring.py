@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from creditspark.functions.columns import nan_to_null
+from creditspark.operators.joins import lookup_join
+from creditspark.plans.features import HISTORY
 from creditspark.plans.scoring import ScoringModel
+from creditspark.session import materialize
 from creditspark.sources import files
 from creditspark.sources.schemas import CLIENT, KEY
 
@@ -24,26 +26,19 @@ def client_stream(spark: SparkSession, folder: str, schema: T.StructType = CLIEN
     return reader.load(folder)
 
 
-def _only(table: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """History rows of the wanted keys; a request batch is far smaller than the history."""
-    return table.join(wanted, key, "left_semi")
-
-
-def score_stream(clients: DataFrame, history: dict[str, DataFrame], model: ScoringModel, out: str,
+def score_stream(clients: DataFrame, history: DataFrame, model: ScoringModel, out: str,
                  checkpoint: str, once: bool = True) -> StreamingQuery:
     """Score every micro-batch with fitted values and write JSON records under ``out``.
 
-    No state is kept between batches. Each batch writes its own folder, so a batch replayed after a failure
-    replaces its records instead of repeating them.
+    ``history`` is the stored :func:`history_frame`, one row per client, so a batch never reads the raw
+    histories. No state is kept between batches. Each batch writes its own folder, so a batch replayed after a
+    failure replaces its records instead of repeating them.
     """
     def one(batch: DataFrame, number: int) -> None:
-        rows = nan_to_null(batch)
-        wanted = rows.select(KEY).distinct()
-        tables = {name: _only(t, wanted, KEY) for name, t in history.items() if KEY in t.columns}
-        credits = tables["bureau"].select("SK_ID_BUREAU").distinct()
-        tables["bureau_balance"] = _only(history["bureau_balance"], credits, "SK_ID_BUREAU")
-        records = model.score({**tables, "client": rows})
-        files.write_scores(records.withColumn("scored_batch", F.lit(number)), f"{out}/batch={number}")
+        rows = materialize(nan_to_null(batch))
+        # the batch decides which history rows are needed; measured small, its keys are broadcast
+        mine = lookup_join(history, rows.select(KEY).distinct(), KEY, "left_semi")
+        files.write_scores(model.score({"client": rows, HISTORY: mine}), f"{out}/batch={number}")
 
     writer = clients.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
