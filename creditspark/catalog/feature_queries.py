@@ -111,10 +111,9 @@ def ordered_half_trend(spark, sf):
 
 def risk_lookup(spark, sf):
     client = _client(spark, sf)
-    occupation = materialize(P.risk_table(client, P.OCCUPATION))
-    region = materialize(P.risk_table(client, P.REGION))
-    out = P.apply_risk(client, occupation, P.OCCUPATION, "OCCUPATION_RISK_SCORE", P.mean_risk(occupation))
-    out = P.apply_risk(out, region, P.REGION, "REGION_RISK_SCORE")
+    risks = P.risk_tables(client, [P.OCCUPATION, P.REGION])
+    out = P.apply_risk(client, risks[P.OCCUPATION], P.OCCUPATION, "OCCUPATION_RISK_SCORE", fill=True)
+    out = P.apply_risk(out, risks[P.REGION], P.REGION, "REGION_RISK_SCORE")
     return rounded(out.select(KEY, "OCCUPATION_RISK_SCORE", "REGION_RISK_SCORE"))
 
 
@@ -135,13 +134,12 @@ def feature_frame(spark, sf):
 def behavioral_score(spark, sf):
     """Score from the application, card and credit tables alone."""
     client = _client(spark, sf)
-    occupation = materialize(P.risk_table(client, P.OCCUPATION))
-    region = materialize(P.risk_table(client, P.REGION))
+    risks = P.risk_tables(client, [P.OCCUPATION, P.REGION])
     out = attach_one_per_key(P.client_features(client), P.card_features(
         ROLES["credit_card_balance"](spark, sf)).select(KEY, "CREDIT_UTILIZATION"), KEY)
     out = attach_one_per_key(out, _bureau(spark, sf).select(KEY, "PREV_LOAN_PERFORMANCE"), KEY)
-    out = P.apply_risk(out, occupation, P.OCCUPATION, "OCCUPATION_RISK_SCORE", P.mean_risk(occupation))
-    out = materialize(P.apply_risk(out, region, P.REGION, "REGION_RISK_SCORE"))
+    out = P.apply_risk(out, risks[P.OCCUPATION], P.OCCUPATION, "OCCUPATION_RISK_SCORE", fill=True)
+    out = materialize(P.apply_risk(out, risks[P.REGION], P.REGION, "REGION_RISK_SCORE"))
     state = P.fit_behaviour(out)
     return rounded(out.select(KEY, P.behavioural_score(state).alias("BEHAVIORAL_SCORE")))
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from creditspark.functions import columns as C
 from creditspark.operators.align import columns_with_prefix
+from creditspark.operators.encode import category_sums
 from creditspark.operators.joins import attach_one_per_key, lookup_join
 from creditspark.operators.ranks import HOT_ROWS, ordered_halves
 from creditspark.session import materialize
@@ -167,23 +168,33 @@ def join_histories(client: DataFrame, tables: dict[str, DataFrame]) -> DataFrame
 
 # ---- fitted lookups ------------------------------------------------------------------------
 
-def risk_table(client: DataFrame, column: str, label: str = TARGET) -> DataFrame:
-    """Mean label per known category."""
-    return client.filter(F.col(column).isNotNull()).groupBy(column).agg(
-        F.avg(F.col(label).cast("double")).alias("risk"))
-
-
-def mean_risk(table: DataFrame) -> float | None:
-    """Unweighted mean of the category means."""
-    return table.agg(F.avg("risk").alias("m")).first()["m"]
-
-
-def apply_risk(df: DataFrame, table: DataFrame, column: str, name: str,
-               default: float | None = None) -> DataFrame:
-    """Attach the fitted mean of ``column`` as ``name``; unknown categories get ``default``."""
-    out = lookup_join(df, table.withColumnRenamed("risk", name), column, ready=True)
-    if default is not None:
-        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(default)))
+@dataclass
+class RiskTable:
+    """Mean label per known category of one column, and the unweighted mean of those means."""
+
+    table: DataFrame
+    default: float | None
+
+
+def risk_tables(client: DataFrame, columns: Sequence[str], label: str = TARGET) -> dict[str, RiskTable]:
+    """Risk tables of several columns from one pass over the clients."""
+    known = category_sums(client, columns, label).filter(F.col("value").isNotNull())
+    means = materialize(known.select("column", "value", C.ratio("label_sum", "n").alias("risk")))
+    defaults = {r["column"]: r["m"] for r in means.groupBy("column").agg(F.avg("risk").alias("m")).collect()}
+    return {
+        c: RiskTable(
+            means.filter(F.col("column") == c).select(
+                F.col("value").cast(client.schema[c].dataType).alias(c), "risk"),
+            defaults.get(c))
+        for c in columns
+    }
+
+
+def apply_risk(df: DataFrame, risk: RiskTable, column: str, name: str, fill: bool = False) -> DataFrame:
+    """Attach the fitted mean of ``column`` as ``name``; with ``fill``, unknown categories get the default."""
+    out = lookup_join(df, risk.table.withColumnRenamed("risk", name), column, ready=True)
+    if fill and risk.default is not None:
+        out = out.withColumn(name, F.coalesce(F.col(name), F.lit(risk.default)))
     return out
 
 
@@ -260,10 +271,8 @@ def clean_client(client: DataFrame) -> DataFrame:
 class FeatureModel:
     """Fitted state of the client features: risk tables, their mean, score means and range."""
 
-    occupation: DataFrame
-    region: DataFrame
-    occupation_default: float | None
-    region_default: float | None
+    occupation: RiskTable
+    region: RiskTable
     inquiry: list[str]
     behaviour: dict = field(default_factory=dict)
     fill_region: bool = False
@@ -275,13 +284,12 @@ class FeatureModel:
         """Fit on the training client table and return its features.
 
         ``fill_region`` gives unknown regions the mean risk; ``compat`` puts that mean into the region
-        rating instead, as in the original training code.
+        rating instead and leaves the score missing.
         """
         client = tables["client"]
-        occupation = materialize(risk_table(client, OCCUPATION, label))
-        region = materialize(risk_table(client, REGION, label))
-        model = cls(occupation, region, mean_risk(occupation), mean_risk(region),
-                    columns_with_prefix(client, INQUIRY_PREFIX), {}, fill_region, compat)
+        risks = risk_tables(client, [OCCUPATION, REGION], label)
+        model = cls(risks[OCCUPATION], risks[REGION], columns_with_prefix(client, INQUIRY_PREFIX), {},
+                    fill_region, compat)
         # histories are far larger than the client table; their join is stored, then read twice
         base = materialize(model._base(tables))
         model.behaviour = fit_behaviour(base)
@@ -296,27 +304,26 @@ class FeatureModel:
 
     def _base(self, tables: dict[str, DataFrame]) -> DataFrame:
         out = join_histories(client_features(tables["client"], self.inquiry), tables)
-        out = apply_risk(out, self.occupation, OCCUPATION, "OCCUPATION_RISK_SCORE", self.occupation_default)
-        region_default = self.region_default if self.fill_region else None
-        out = apply_risk(out, self.region, REGION, "REGION_RISK_SCORE", region_default)
+        out = apply_risk(out, self.occupation, OCCUPATION, "OCCUPATION_RISK_SCORE", fill=True)
+        out = apply_risk(out, self.region, REGION, "REGION_RISK_SCORE", fill=self.fill_region)
         if self.compat:
-            out = out.withColumn(REGION, F.coalesce(F.col(REGION).cast("double"), F.lit(self.region_default)))
+            out = out.withColumn(REGION, F.coalesce(F.col(REGION).cast("double"), F.lit(self.region.default)))
         return out
 
     def _finish(self, base: DataFrame) -> DataFrame:
         return base.withColumn("BEHAVIORAL_SCORE", behavioural_score(self.behaviour))
 
     def save(self, spark: SparkSession, path: str) -> None:
-        files.write_table(self.occupation, f"{path}/occupation")
-        files.write_table(self.region, f"{path}/region")
+        files.write_table(self.occupation.table, f"{path}/occupation")
+        files.write_table(self.region.table, f"{path}/region")
         files.write_params(spark, {
-            "occupation_default": self.occupation_default, "region_default": self.region_default,
+            "occupation_default": self.occupation.default, "region_default": self.region.default,
             "inquiry": self.inquiry, "behaviour": self.behaviour, "fill_region": self.fill_region,
             "compat": self.compat}, f"{path}/params")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FeatureModel:
         p = files.read_params(spark, f"{path}/params")
-        return cls(files.read_table(spark, f"{path}/occupation"), files.read_table(spark, f"{path}/region"),
-                   p["occupation_default"], p["region_default"], p["inquiry"], p["behaviour"],
-                   p["fill_region"], p["compat"])
+        return cls(RiskTable(files.read_table(spark, f"{path}/occupation"), p["occupation_default"]),
+                   RiskTable(files.read_table(spark, f"{path}/region"), p["region_default"]),
+                   p["inquiry"], p["behaviour"], p["fill_region"], p["compat"])
