@@ -55,6 +55,15 @@ def missing_tiers(spark, sf):
     return profile.missing_tier_census(report)
 
 
+def missing_importances(spark, sf):
+    """Gappy customer columns with the size of their correlation to the client number as importance."""
+    customers = _gappy_customer(spark, sf)
+    measured = customers.agg(*[F.abs(F.corr("id", F.col(c).cast("double"))).alias(c) for c in ("nation", "balance")])
+    importances = align.to_long(measured, ["nation", "balance"], name="feature", value="importance")
+    report = profile.missing_report(customers, _gappy_supplier(spark, sf))
+    return rounded(profile.missing_importances(report, importances))
+
+
 def describe_numeric(spark, sf):
     return rounded(profile.describe_numeric(table(spark, sf, "lineitem"), LINE_NUMBERS), 4)
 
@@ -280,7 +289,7 @@ def table_shapes(spark, sf):
 QUERIES = {
     "stratified_folds": stratified_folds_,
     **{f.__name__: f for f in (
-        duplicates, duplicate_rows_top10, missing_report, missing_tiers, describe_numeric, describe_categorical,
+        duplicates, duplicate_rows_top10, missing_report, missing_tiers, missing_importances, describe_numeric, describe_categorical,
         distinct_listing, cardinality_split, value_counts_pct, proportions, crosstab, unpivot_stats, class_weights,
         skewed_features, best_variant, holdout_split, topk_abs, top_fraction, semi_filter, schema_align,
         append_results, fill_mean_median_mode, drop_missing, format_and_clean, box_cox, box_cox_inverse, one_hot,
@@ -366,6 +375,11 @@ where a.missing > 0 or b.missing > 0""", **MISSING),
   select case when greatest(coalesce(a.pct, 0), coalesce(b.pct, 0)) > 50 then 'High'
     when greatest(coalesce(a.pct, 0), coalesce(b.pct, 0)) > 10 then 'Medium' else 'Low' end as category
   from a left join b on a.col = b.col) group by category""", **MISSING),
+    "missing_importances": with_roles("", f"""select a.col as "column", a.pct + 0.0 as train_percent,
+  b.pct + 0.0 as test_percent, case when greatest(a.pct, b.pct) > 50 then 'High'
+    when greatest(a.pct, b.pct) > 10 then 'Medium' else 'Low' end as category, {r6('i.importance')} as importance
+from a join b on a.col = b.col join (select 'nation' as col, abs(corr(id, nation)) as importance from train
+  union all select 'balance', abs(corr(id, balance)) from train) i on i.col = a.col""", **MISSING),
     "describe_numeric": "\nunion all\n".join(_describe_sql(c) for c in LINE_NUMBERS),
     "describe_categorical": f"""select col as "column", cast(sum(n) as bigint) as "count", count(*) as n_unique,
   arg_max(value, (n, rnk)) as top, max(n) as freq

@@ -53,6 +53,7 @@ def t_quantile(p: float, dof: int) -> float:
 # ---- phi_k (Baak et al. 2020, arXiv:1811.11440) --------------------------------------------
 
 REACH = 5.0  # the bivariate normal is binned uniformly over +-5 standard deviations
+BLOCK_CELLS = 1_000_000
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(96)
 
 
@@ -75,13 +76,17 @@ def _cells(rho: float, x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=4096)
 def _dependence(rho: float, r: int, k: int) -> float:
-    """Chi-squared per record of the binned normal against independence."""
+    """Chi-squared per record of the binned normal against independence, summed in blocks of rows."""
     x, y = np.linspace(-REACH, REACH, r + 1), np.linspace(-REACH, REACH, k + 1)
-    flat = np.outer(np.diff(_normal_cdf(x)), np.diff(_normal_cdf(y)))
-    flat /= flat.sum()
-    joint = _cells(rho, x, y)
-    joint /= joint.sum()
-    return float(np.sum((joint - flat) ** 2 / flat))
+    in_x, in_y = np.diff(_normal_cdf(x)), np.diff(_normal_cdf(y))
+    flat_mass = in_x.sum() * in_y.sum()
+    joint_mass = _cells(rho, x[[0, -1]], y[[0, -1]])[0, 0]
+    step, total = max(1, BLOCK_CELLS // (k + 1)), 0.0
+    for start in range(0, r, step):
+        flat = np.outer(in_x[start:start + step], in_y) / flat_mass
+        joint = _cells(rho, x[start:start + step + 1], y) / joint_mass
+        total += float(np.sum((joint - flat) ** 2 / flat))
+    return total
 
 
 def phik_from_chi2(chi2: float, n: float, r: int, k: int) -> float:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from creditspark.functions.columns import clean_name
 from creditspark.operators.align import categorical_columns, numeric_columns, to_long
-from creditspark.operators.joins import lookup_join
+from creditspark.operators.joins import byte_estimate, lookup_join
 from creditspark.operators.profile import CARDINALITY_THRESHOLD
 from creditspark.session import materialize
 from creditspark.sources import files
@@ -84,6 +84,7 @@ class EncodingModel:
     table: DataFrame
     prior: float
     keep: list[str] = field(default_factory=list)
+    sizes: dict[str, int] = field(default_factory=dict)
 
     @classmethod
     def fit(cls, df: DataFrame, label: str, keep: Sequence[str] = (),
@@ -96,11 +97,12 @@ class EncodingModel:
             return cls({}, [], empty, prior, list(keep))
         sums = materialize(category_sums(df, columns, label))
         per_column = sums.groupBy("column").agg(
-            F.count("value").alias("k"), F.sum("n").alias("n"), F.sum("label_sum").alias("y")).collect()
-        sizes = {r["column"]: r["k"] for r in per_column}
+            F.count("value").alias("k"), F.sum("n").alias("n"), F.sum("label_sum").alias("y"),
+            byte_estimate(sums).alias("bytes")).collect()
+        known_values = {r["column"]: r["k"] for r in per_column}
         # every column covers all rows, so any of them gives the overall mean
         prior = per_column[0]["y"] / per_column[0]["n"]
-        high = [c for c in columns if sizes[c] > threshold]
+        high = [c for c in columns if known_values[c] > threshold]
         levels: dict[str, list[str]] = {c: [] for c in columns if c not in high}
         known = sums.filter(F.col("value").isNotNull() & F.col("column").isin(list(levels)))
         # at most `threshold` values per low column
@@ -108,7 +110,8 @@ class EncodingModel:
             levels[row["column"]].append(row["value"])
         levels = {c: sorted(v) for c, v in levels.items()}
         table = m_estimates(sums.filter(F.col("column").isin(high)), prior, m)
-        return cls(levels, high, materialize(table), prior, list(keep))
+        sizes = {r["column"]: r["bytes"] for r in per_column if r["column"] in high}
+        return cls(levels, high, materialize(table), prior, list(keep), sizes)
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Kept columns, numeric columns, one-hot columns, encoded columns; unknown values get the prior."""
@@ -119,7 +122,7 @@ class EncodingModel:
             means = self.table.filter(F.col("column") == c).select(
                 F.col("value").alias(f"_key_{c}"), F.col("encoding").alias(f"_enc_{c}"))
             out = out.withColumn(f"_key_{c}", F.col(c).cast("string"))
-            out = lookup_join(out, means, f"_key_{c}", ready=True)
+            out = lookup_join(out, means, f"_key_{c}", size=self.sizes[c])
         return out.select(
             *kept, *numbers, *indicator_columns(self.levels),
             *[F.coalesce(F.col(f"_enc_{c}"), F.lit(self.prior)).alias(c) for c in self.high])
@@ -127,9 +130,10 @@ class EncodingModel:
     def save(self, spark: SparkSession, path: str) -> None:
         files.write_table(self.table, f"{path}/means")
         files.write_params(spark, {"levels": self.levels, "high": self.high, "prior": self.prior,
-                                   "keep": self.keep}, f"{path}/params")
+                                   "keep": self.keep, "sizes": self.sizes}, f"{path}/params")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> EncodingModel:
         p = files.read_params(spark, f"{path}/params")
-        return cls(p["levels"], p["high"], files.read_table(spark, f"{path}/means"), p["prior"], p["keep"])
+        return cls(p["levels"], p["high"], files.read_table(spark, f"{path}/means"), p["prior"], p["keep"],
+                   p["sizes"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from creditspark.session import materialize
@@ -10,26 +10,30 @@ from creditspark.session import materialize
 BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def measured_bytes(df: DataFrame) -> int:
-    """Upper estimate of the in-memory size of a frame, from its row count and text lengths."""
+def byte_estimate(df: DataFrame) -> Column:
+    """Aggregate estimating the in-memory size of rows: 16 bytes per cell plus the length of texts."""
     text = [f.name for f in df.schema.fields if f.dataType.typeName() == "string"]
-    width = 16 * len(df.columns)
-    letters = sum((F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in text), F.lit(0))
-    row = df.agg(F.count("*").alias("n"), letters.alias("b")).first()
-    return row["n"] * width + row["b"]
+    letters = [F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in text]
+    return sum(letters, F.count(F.lit(1)) * 16 * len(df.columns))
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of a frame by :func:`byte_estimate`."""
+    return df.agg(byte_estimate(df).alias("b")).first()["b"]
 
 
 def lookup_join(df: DataFrame, table: DataFrame, on: str | list[str], how: str = "left",
-                max_bytes: int = BROADCAST_BYTES, ready: bool = False) -> DataFrame:
+                max_bytes: int = BROADCAST_BYTES, size: int | None = None) -> DataFrame:
     """Join raw rows to a lookup whose keys are unique.
 
     The lookup is computed once and measured. Small, it is broadcast and ``df`` keeps its partitioning
     whatever its key skew; beyond the bound the join shuffles, and adaptive skew handling splits hot keys
-    of ``df``. ``ready`` marks a lookup that is already stored.
+    of ``df``. ``size`` is given for a stored lookup that was measured before.
     """
-    stored = table if ready else materialize(table)
-    small = measured_bytes(stored) <= max_bytes
-    return df.join(F.broadcast(stored) if small else stored, on, how)
+    if size is None:
+        table = materialize(table)
+        size = measured_bytes(table)
+    return df.join(F.broadcast(table) if size <= max_bytes else table, on, how)
 
 
 def attach_one_per_key(df: DataFrame, features: DataFrame, key: str) -> DataFrame:

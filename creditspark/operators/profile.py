@@ -84,6 +84,16 @@ def missing_tiers(report: DataFrame) -> DataFrame:
     return report.withColumn("category", missing_tier(*parts))
 
 
+def missing_importances(report: DataFrame, importances: DataFrame, text_types: Sequence[str] = ("string",)) -> DataFrame:
+    """Numeric columns with missing values, their tier and importance, most important first."""
+    gaps = missing_tiers(report.filter(
+        ~F.col("data_type").isin(*text_types) & ((F.col("train_count") > 0) | (F.col("test_count") > 0))))
+    known = importances.select(F.col("feature").alias("column"), "importance")
+    return (gaps.join(known, "column", "left")
+            .select("column", "train_percent", "test_percent", "category", "importance")
+            .orderBy(F.desc_nulls_last("importance"), "column"))
+
+
 def missing_tier_census(report: DataFrame) -> DataFrame:
     return missing_tiers(report).groupBy("category").agg(F.count("*").alias("n_columns"))
 
@@ -93,10 +103,17 @@ def missing_tier_census(report: DataFrame) -> DataFrame:
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
-def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, sample deviation, min, exact quartiles and max per column."""
-    moments = summarize(df, columns, {
-        "count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max})
+def describe_numeric(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
+    """Count, mean, sample deviation, min, quartiles and max per column.
+
+    Quartiles are exact; ``approximate`` takes them from sketches in the same pass as the moments.
+    """
+    stats = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    if approximate:
+        sketches = {q: lambda x, p=p: F.percentile_approx(x, p, 10_000) for q, p in QUARTILES.items()}
+        return summarize(df, columns, stats | sketches).select(
+            "column", "count", "mean", "std", "min", *QUARTILES, "max")
+    moments = summarize(df, columns, stats)
     quartiles = exact_quantiles(to_long(df, columns), "value", QUARTILES, ["column"]).drop("n")
     return moments.join(quartiles, "column", "left").select(
         "column", "count", "mean", "std", "min", *QUARTILES, "max")

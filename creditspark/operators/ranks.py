@@ -111,14 +111,14 @@ def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
     ])
 
 
-def hash_order_numbers(df: DataFrame, strata: Sequence[str], key: str, seed: int | str,
+def hash_order_numbers(df: DataFrame, strata: Sequence[str], key: str, seed: Column,
                        name: str = "_number") -> DataFrame:
     """Number the rows of each stratum from 0 in the order of ``md5(key-seed)``.
 
     The leading hash digits cut every stratum into even slices, so one large stratum is no bottleneck and
     the numbering is the same on every run.
     """
-    hashed = df.withColumn("_hash", F.md5(F.concat_ws("-", F.col(key).cast("string"), F.lit(str(seed)))))
+    hashed = df.withColumn("_hash", F.md5(F.concat_ws("-", F.col(key).cast("string"), seed.cast("string"))))
     hashed = hashed.withColumn("_slice", F.substring("_hash", 1, HASH_DIGITS))
     per_slice = hashed.groupBy(*strata, "_slice").agg(F.count("*").alias("_n"))
     earlier = (Window.partitionBy(*strata).orderBy("_slice")
@@ -135,12 +135,15 @@ def stratified_folds(df: DataFrame, key: str, label: str, folds: int = 5, repeat
                      seed: int = 98) -> DataFrame:
     """Add ``fold_<r>`` per repeat; fold sizes of each class differ by at most one.
 
-    Only key and label are numbered; the other columns are joined back once, by the unique key.
+    Only key and label are numbered, for all repeats in one pass; the other columns are joined back once, by
+    the unique key.
     """
-    out = df.select(key, label).filter(F.col(label).isNotNull() & F.col(key).isNotNull())
-    for r in range(repeats):
-        out = hash_order_numbers(out, [label], key, seed + r)
-        out = out.withColumn(f"fold_{r}", F.pmod("_number", F.lit(folds)).cast("int")).drop("_number")
+    known = df.select(key, label).filter(F.col(label).isNotNull() & F.col(key).isNotNull())
+    spread = known.withColumn("_repeat", F.explode(F.array(*[F.lit(r) for r in range(repeats)])))
+    numbered = hash_order_numbers(spread, [label, "_repeat"], key, F.lit(seed) + F.col("_repeat"))
+    fold = F.pmod("_number", F.lit(folds)).cast("int")
+    out = numbered.groupBy(key, label).agg(
+        *[F.max(F.when(F.col("_repeat") == r, fold)).alias(f"fold_{r}") for r in range(repeats)])
     rest = [c for c in df.columns if c != label]
     return out if rest == [key] else out.join(df.select(*rest), key)
 

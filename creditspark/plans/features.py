@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from creditspark.functions import columns as C
 from creditspark.operators.align import columns_with_prefix
 from creditspark.operators.encode import category_sums
-from creditspark.operators.joins import attach_one_per_key, lookup_join
+from creditspark.operators.joins import attach_one_per_key, byte_estimate, lookup_join
 from creditspark.operators.ranks import HOT_ROWS, ordered_halves
 from creditspark.session import materialize
 from creditspark.sources import files
@@ -170,29 +170,31 @@ def join_histories(client: DataFrame, tables: dict[str, DataFrame]) -> DataFrame
 
 @dataclass
 class RiskTable:
-    """Mean label per known category of one column, and the unweighted mean of those means."""
+    """Mean label per known category of one column, the unweighted mean of those means, and its size."""
 
     table: DataFrame
     default: float | None
+    size: int
 
 
 def risk_tables(client: DataFrame, columns: Sequence[str], label: str = TARGET) -> dict[str, RiskTable]:
     """Risk tables of several columns from one pass over the clients."""
     known = category_sums(client, columns, label).filter(F.col("value").isNotNull())
     means = materialize(known.select("column", "value", C.ratio("label_sum", "n").alias("risk")))
-    defaults = {r["column"]: r["m"] for r in means.groupBy("column").agg(F.avg("risk").alias("m")).collect()}
+    facts = {r["column"]: r for r in means.groupBy("column").agg(
+        F.avg("risk").alias("m"), byte_estimate(means).alias("bytes")).collect()}
     return {
         c: RiskTable(
             means.filter(F.col("column") == c).select(
                 F.col("value").cast(client.schema[c].dataType).alias(c), "risk"),
-            defaults.get(c))
+            facts[c]["m"] if c in facts else None, facts[c]["bytes"] if c in facts else 0)
         for c in columns
     }
 
 
 def apply_risk(df: DataFrame, risk: RiskTable, column: str, name: str, fill: bool = False) -> DataFrame:
     """Attach the fitted mean of ``column`` as ``name``; with ``fill``, unknown categories get the default."""
-    out = lookup_join(df, risk.table.withColumnRenamed("risk", name), column, ready=True)
+    out = lookup_join(df, risk.table.withColumnRenamed("risk", name), column, size=risk.size)
     if fill and risk.default is not None:
         out = out.withColumn(name, F.coalesce(F.col(name), F.lit(risk.default)))
     return out
@@ -317,13 +319,14 @@ class FeatureModel:
         files.write_table(self.occupation.table, f"{path}/occupation")
         files.write_table(self.region.table, f"{path}/region")
         files.write_params(spark, {
-            "occupation_default": self.occupation.default, "region_default": self.region.default,
+            "occupation": [self.occupation.default, self.occupation.size],
+            "region": [self.region.default, self.region.size],
             "inquiry": self.inquiry, "behaviour": self.behaviour, "fill_region": self.fill_region,
             "compat": self.compat}, f"{path}/params")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> FeatureModel:
         p = files.read_params(spark, f"{path}/params")
-        return cls(RiskTable(files.read_table(spark, f"{path}/occupation"), p["occupation_default"]),
-                   RiskTable(files.read_table(spark, f"{path}/region"), p["region_default"]),
+        return cls(RiskTable(files.read_table(spark, f"{path}/occupation"), *p["occupation"]),
+                   RiskTable(files.read_table(spark, f"{path}/region"), *p["region"]),
                    p["inquiry"], p["behaviour"], p["fill_region"], p["compat"])

@@ -92,7 +92,7 @@ class Trainer:
 
     def fit(self, df: DataFrame) -> FittedModel:
         columns = list(self.columns)
-        typed = as_doubles(df, columns)
+        typed = as_doubles(df.filter(F.col(self.label).isNotNull()), columns)
         flagged, empty, classes = training_facts(typed, columns, self.label)
         columns = [c for c in columns if c not in empty]
         rows = with_class_weights(add_flags(typed, flagged), self.label, classes)

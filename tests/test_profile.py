@@ -44,6 +44,14 @@ def test_missing_report_and_tiers(spark, people):
     assert (tiers["v"]["category"], tiers["s"]["category"], tiers["id"]["category"]) == ("High", "Medium", "Low")
 
 
+def test_missing_importances(spark, people):
+    report = profile.missing_report(people, people)
+    importances = spark.createDataFrame([("v", 0.7), ("id", 0.9)], "feature string, importance double")
+    got = [r.asDict() for r in profile.missing_importances(report, importances).collect()]
+    assert got == [{"column": "v", "train_percent": 20.0, "test_percent": 20.0, "category": "Medium",
+                    "importance": 0.7}]
+
+
 def test_describe_numeric_matches_pandas(spark):
     draw = np.random.default_rng(0)
     data = pd.DataFrame({"a": draw.normal(size=101), "b": draw.integers(0, 5, 101).astype(float)})
@@ -58,6 +66,9 @@ def test_describe_numeric_matches_pandas(spark):
 
 
 def test_describe_numeric_of_an_empty_column(spark):
+    wide = spark.range(1000).select(F.col("id").cast("double").alias("a"))
+    near = profile.describe_numeric(wide, ["a"], approximate=True).first()
+    assert near.q50 == pytest.approx(499.5, abs=1) and near["count"] == 1000
     df = spark.createDataFrame([(1.0, None), (2.0, None)], "a double, b double")
     got = table(profile.describe_numeric(df, ["a", "b"]), "column")
     assert got["b"]["count"] == 0 and got["b"]["q50"] is None and got["a"]["q50"] == 1.5
