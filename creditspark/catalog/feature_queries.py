@@ -18,10 +18,14 @@ def _client(spark: SparkSession, sf: str) -> DataFrame:
     return ROLES["client"](spark, sf)
 
 
+# means of two-decimal values over few rows often end on a rounding tie at six digits
+FINER = {"POS_CASH_INSTALLMENT_TREND": 8}
+
+
 def _attached(spark: SparkSession, sf: str, features: DataFrame, *columns: str) -> DataFrame:
     """Client keys with the given per-client features."""
     out = attach_one_per_key(_client(spark, sf).select(KEY), features, KEY)
-    return rounded(out.select(KEY, *(columns or features.drop(KEY).columns)))
+    return rounded(out.select(KEY, *(columns or features.drop(KEY).columns)), **FINER)
 
 
 def debt_ratio(spark, sf):
@@ -128,7 +132,7 @@ FEATURES = [
 
 
 def feature_frame(spark, sf):
-    return rounded(P.FeatureModel.fit_transform(tables(spark, sf))[1].select(KEY, "TARGET", *FEATURES))
+    return rounded(P.FeatureModel.fit_transform(tables(spark, sf))[1].select(KEY, "TARGET", *FEATURES), **FINER)
 
 
 def behavioral_score(spark, sf):
@@ -194,7 +198,7 @@ OCC_SCORE = "coalesce(o.risk, (select avg(risk) from occupation))"
 
 def _attach_sql(roles: str, column: str, integer: bool = False, **more: str) -> str:
     last = list(more)[-1]
-    value = column if integer else f"{r6(column)} as {column}"
+    value = column if integer else f"{r6(column, FINER.get(column, 6))} as {column}"
     return with_roles(f"client {roles}", f"select SK_ID_CURR, {value} from client left join {last} using (SK_ID_CURR)",
                       **more)
 
@@ -273,7 +277,7 @@ from client left join occupation o using (OCCUPATION_TYPE)
   cast(FLAG_OWN_CAR = 'Y' as bigint) + cast(FLAG_OWN_REALTY = 'Y' as bigint) as ASSET_OWNERSHIP_SCORE,
   {r6('AMT_INCOME_TOTAL / nullif(AVG_CREDIT_LIMIT, 0)')} as INCOME_TO_CREDIT_LIMIT,
   {r6(SCALED)} as BEHAVIORAL_SCORE, LOAN_APPLICATION_FREQUENCY, """ + ", ".join(
-            f"{r6(c)} as {c}" for c in (
+            f"{r6(c, FINER.get(c, 6))} as {c}" for c in (
                 "CREDIT_UTILIZATION", "CC_SPENDING_RATIO", "AVG_CREDIT_LIMIT", "CREDIT_HISTORY_YEARS",
                 "PREV_LOAN_PERFORMANCE", "BUREAU_ACTIVE_LOANS_RATIO_MEAN", "OCCUPATION_RISK_SCORE",
                 "REGION_RISK_SCORE", "CASH_LOAN_PROPORTION", "AVG_PAYMENT_DELAY", "POS_CASH_DPD_RATIO",

@@ -139,10 +139,10 @@ def tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
     return {name: role(spark, sf) for name, role in ROLES.items()}
 
 
-def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    """Doubles rounded for comparison, without negative zero."""
+def rounded(df: DataFrame, digits: int = 6, **finer: int) -> DataFrame:
+    """Doubles rounded for comparison, without negative zero; ``finer`` gives single columns more digits."""
     return df.select(*[
-        (F.round(F.col(f"`{name}`"), digits) + F.lit(0.0)).alias(name) if kind == "double" else F.col(f"`{name}`")
+        (F.round(F.col(f"`{name}`"), finer.get(name, digits)) + F.lit(0.0)).alias(name) if kind == "double" else F.col(f"`{name}`")
         for name, kind in df.dtypes
     ])
 

@@ -75,13 +75,3 @@ def to_long(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = (), kind
     """One row per (row, column). Columns are cast to one type first."""
     typed = df.select(*ids, *[F.col(c).cast(kind).alias(c) for c in columns])
     return typed.unpivot(list(ids), list(columns), name, value)
-
-
-def transpose_summary(one_row: DataFrame, columns: Sequence[str], stats: Sequence[str],
-                      kind: str = "double") -> DataFrame:
-    """A one-row aggregate with columns ``<column>__<stat>`` to one row per column."""
-    records = [
-        F.struct(F.lit(c).alias("column"), *[F.col(f"`{c}__{s}`").cast(kind).alias(s) for s in stats])
-        for c in columns
-    ]
-    return one_row.select(F.explode(F.array(*records)).alias("r")).select("r.*")

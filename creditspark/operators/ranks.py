@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from creditspark.operators.joins import lookup_join, measured_bytes
 from creditspark.session import materialize
 
 HOT_ROWS = 1_000_000
@@ -167,9 +168,10 @@ def split_hot(df: DataFrame, key: str, limit: int = HOT_ROWS,
     sizes = key_sizes(df, key) if sizes is None else sizes
     # at most rows / limit keys, so this list is small next to the table
     hot = materialize(sizes.filter(F.col("key_rows") > limit).select(key))
-    if hot.isEmpty():
+    size = measured_bytes(hot)
+    if size == 0:
         return df, None
-    return df.join(hot, key, "left_anti"), df.join(hot, key, "left_semi")
+    return tuple(lookup_join(df, hot, key, how, size=size) for how in ("left_anti", "left_semi"))
 
 
 def ordered_halves(df: DataFrame, key: str, order: Sequence[str], value: str,
