@@ -46,7 +46,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 def write_params(spark: SparkSession, params: dict, path: str) -> None:
     """Small fitted values (scalars and name lists) as one JSON text file."""
-    one = spark.createDataFrame([(json.dumps(params),)], "value string")
+    one = spark.range(1).select(F.lit(json.dumps(params)).alias("value"))
     one.coalesce(1).write.mode("overwrite").text(path)
 
 
