@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditspark.llm import quality
+from creditspark.llm import exact_dedup, quality
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -16,8 +16,19 @@ def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.score_quality(read(spark, sf, "documents"), read(spark, sf, "labels"))
 
 
+def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of equal texts; the largest doc_id of each stays."""
+    return exact_dedup.group_copies(read(spark, sf, "documents")).drop("row_key")
+
+
 QUERIES = {
     "op2_quality": op2_quality,
+    "op3_exact_dedup": op3_exact_dedup,
 }
 
-SQL: dict[str, str] = {}
+SQL = {
+    "op3_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+               doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+}
