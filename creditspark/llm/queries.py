@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditspark.llm import exact_dedup, quality
+from creditspark.llm import exact_dedup, quality, simhash
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -21,9 +21,15 @@ def op3_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.group_copies(read(spark, sf, "documents")).drop("row_key")
 
 
+def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of fingerprints of 3-word shingles that differ in at most 3 bits."""
+    return simhash.near_duplicates(read(spark, sf, "documents"), shingle=3, budget=3).drop("row_key", "kept")
+
+
 QUERIES = {
     "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_simhash": op6_simhash,
 }
 
 SQL = {
