@@ -4,13 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditspark.llm import exact_dedup, quality, simhash
+from creditspark.llm import exact_dedup, mixing, quality, simhash
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{table}.parquet")
 
 
+#: Target weights of sources; every other source has weight 1.
+MIX_WEIGHTS = {"src0": 4.0, "src1": 2.0}
+
+
+def op1_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents, repeated so that sources reach their target shares of the bytes, and shuffled."""
+    return mixing.mix(read(spark, sf, "documents"), MIX_WEIGHTS)
+
+
 def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
     """Quality of every document, learnt from the labels outside the held-out third."""
     return quality.score_quality(read(spark, sf, "documents"), read(spark, sf, "labels"))
@@ -27,12 +36,39 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_simhash": op6_simhash,
 }
 
 SQL = {
+    "op1_mixing": """
+        WITH sizes AS (
+            SELECT source, sum(coalesce(strlen(text), 0) + 1)::BIGINT AS bytes,
+                   CASE source WHEN 'src0' THEN 4.0::DOUBLE WHEN 'src1' THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS weight
+            FROM documents GROUP BY source),
+        rates AS (
+            SELECT source, (weight / sum(weight) OVER ()) * (1.0::DOUBLE * sum(bytes) OVER ()::BIGINT) / bytes AS rate
+            FROM sizes),
+        means AS (
+            SELECT source, greatest(1, ceil(rate / 32.0::DOUBLE))::INT AS draws,
+                   rate / greatest(1, ceil(rate / 32.0::DOUBLE))::INT AS mean FROM rates WHERE rate > 0),
+        terms AS (
+            SELECT source, draws, k, exp(-mean) * coalesce(product(mean / nullif(k, 0)) OVER (
+                       PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING), 1) AS term
+            FROM means, LATERAL (SELECT unnest(range(0, ceil(mean + 10 * sqrt(mean) + 25)::INT + 1)) AS k)),
+        sums AS (
+            SELECT source, draws, k, sum(term) OVER (PARTITION BY source ORDER BY k ROWS UNBOUNDED PRECEDING) AS p
+            FROM terms),
+        lists AS (SELECT source, draws, list(p ORDER BY k) AS p FROM sums GROUP BY source, draws),
+        counted AS (
+            SELECT d.*, list_sum([len([x FOR x IN l.p IF x <=
+                ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'null') || ':' || i::VARCHAR), 1, 13))::BIGINT
+                / 4503599627370496.0::DOUBLE]) FOR i IN range(1, draws + 1)])::INT AS copies
+            FROM documents d JOIN lists l ON d.source IS NOT DISTINCT FROM l.source)
+        SELECT * EXCLUDE (copies, copy), copy::INT AS copy
+        FROM (SELECT *, unnest(range(0, copies)) AS copy FROM counted)""",
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
