@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditspark.llm import exact_dedup, mixing, quality, simhash
+from creditspark.llm import exact_dedup, mixing, packing, quality, simhash
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -35,11 +35,24 @@ def op6_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf, "documents"), shingle=3, budget=3).drop("row_key", "kept")
 
 
+def tokenizer_path() -> str:
+    """The tokenizer file of the machine's installed vocabularies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens."""
+    return packing.pack_documents(read(spark, sf, "documents"), tokenizer_path(), 2048, with_ids=False)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_simhash": op6_simhash,
+    "op8_packing": op8_packing,
 }
 
 SQL = {
