@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from creditspark.llm.rows import free_name, shield
 from creditspark.operators.joins import lookup_join
 
 SPLIT = 32.0
@@ -81,9 +82,15 @@ def copy_counts(docs: DataFrame, rates: DataFrame, seed: str = "mix", key: str =
 
 def mix(docs: DataFrame, weights: dict[str, float], other: float = 1.0, epochs: float = 1.0, seed: str = "mix",
         key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The columns of ``docs`` and ``copy`` (from 0), one row per copy, in shuffled order within and across partitions."""
-    counted = copy_counts(docs, source_rates(docs, weights, other, epochs, source, text), seed, key, source)
+    """The columns of ``docs`` and ``copy`` (from 0), one row per copy, in shuffled order within and across partitions.
+
+    If ``docs`` has a column ``copy`` of its own, the new one is called ``copy_2``.
+    """
+    inner, name = shield(docs)
+    rates = source_rates(inner, weights, other, epochs, name[source], name[text])
+    counted = copy_counts(inner, rates, seed, name[key], name[source])
     copies = counted.filter("_copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-    order = F.xxhash64(F.lit(seed), F.col(key), F.col("copy"), F.monotonically_increasing_id())
+    order = F.xxhash64(F.lit(seed), F.col(name[key]), F.col("copy"), F.monotonically_increasing_id())
     placed = copies.withColumn("_order", order)
-    return placed.repartition("_order").sortWithinPartitions("_order").select(*docs.columns, "copy")
+    shuffled = placed.repartition("_order").sortWithinPartitions("_order")
+    return shuffled.select(*name.values(), "copy").toDF(*docs.columns, free_name("copy", docs.columns))

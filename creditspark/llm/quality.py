@@ -14,7 +14,7 @@ score alike; with labels of one class, or none, every score is that class's smoo
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditspark.llm import texts
-from creditspark.session import materialize
+from creditspark.llm.rows import free_name, shield
 
 BUCKETS = 1 << 14
 WIDTH = 32
@@ -127,19 +127,18 @@ def pool(column: pa.Array, table: np.ndarray) -> np.ndarray:
 FEATURES = 3 * WIDTH + 5
 
 
-def pooled(docs: DataFrame, table: np.ndarray, keep: list[str], text: str = "text") -> DataFrame:
-    """``keep`` columns and ``features`` of every document."""
+def with_pooled(docs: DataFrame, table: np.ndarray, keep: list[str], text: str, finish: Callable[[np.ndarray], pa.Array],
+                name: str, kind: T.DataType) -> DataFrame:
+    """``keep`` columns of every document, and ``name``: what ``finish`` makes of the features of a batch."""
     held = docs.sparkSession.sparkContext.broadcast(table)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = pool(batch.column(len(keep)), held.value).astype(np.float32)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.arange(len(found) + 1, dtype=np.int32) * FEATURES), pa.array(found.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], lists], [*keep, "features"])
+            made = finish(pool(batch.column(batch.num_columns - 1 if text not in keep else keep.index(text)), held.value))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], made], [*keep, name])
 
-    chosen = docs.select(*keep, F.col(text).alias("_pooled_text"))
-    schema = T.StructType([*[chosen.schema[c] for c in keep], T.StructField("features", T.ArrayType(T.FloatType()))])
+    chosen = docs.select(*keep, *[text for _ in [0] if text not in keep])
+    schema = T.StructType([*[chosen.schema[c] for c in keep], T.StructField(name, kind)])
     return chosen.mapInArrow(features, schema)
 
 
@@ -197,17 +196,23 @@ class Network:
         return self._logistic((hidden @ w[2] + w[3]) / self.temperature)
 
 
-def fit_network(features: DataFrame, labels: DataFrame, key: str, label: str, rows: int = FIT_ROWS) -> Network:
+def fit_network(docs: DataFrame, labels: DataFrame, table: np.ndarray, key: str, text: str, label: str,
+                rows: int = FIT_ROWS) -> Network:
     """A network on the labelled rows; beyond ``rows`` of them, on those with the smallest key hashes."""
     usable = (labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(key)
-              .agg(F.max(label).alias(label)))
+              .agg(F.max(label).cast("double").alias("_label")))
     sample = usable.orderBy(F.xxhash64(key), key).limit(rows)
     # at most ``rows`` pairs of a key and a label, so they may be broadcast
-    found = (features.filter(F.col(key).isNotNull()).join(F.broadcast(sample), key)
-             .select(key, label, "features").orderBy(F.xxhash64(key), key).limit(rows).toPandas())
-    found = found.sort_values(key, kind="stable")
-    x = np.stack(found["features"]) if len(found) else np.zeros((0, FEATURES))
-    return Network(x.astype(np.float64), found[label].to_numpy(np.float64))
+    chosen = docs.select(key, text).join(F.broadcast(sample), key)
+
+    def as_list(x: np.ndarray) -> pa.Array:
+        ends = pa.array(np.arange(len(x) + 1, dtype=np.int32) * FEATURES)
+        return pa.ListArray.from_arrays(ends, pa.array(x.ravel()))
+
+    found = (with_pooled(chosen, table, [key, "_label"], text, as_list, "_features", T.ArrayType(T.DoubleType()))
+             .orderBy(F.xxhash64(key), key).limit(rows).toPandas())
+    x = np.stack(found["_features"]) if len(found) else np.zeros((0, FEATURES))
+    return Network(x, found["_label"].to_numpy(np.float64))
 
 
 def held_out(key: str, parts: int = 3, part: int = 1) -> Column:
@@ -217,19 +222,18 @@ def held_out(key: str, parts: int = 3, part: int = 1) -> Column:
 
 def score_quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text",
                   label: str = "quality", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (default the key) of every row, and held_out, score and predicted."""
-    keep = keep or [key]
-    features = materialize(pooled(docs, context_vectors(docs, text), keep, text))
-    network = fit_network(features, labels.filter(~held_out(key)), key, label)
-    held = docs.sparkSession.sparkContext.broadcast(network)
-
-    def scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(len(keep)).flatten().to_numpy().reshape(-1, FEATURES)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:len(keep)], pa.array(held.value.score(x.astype(np.float64)))], [*keep, "score"])
-
-    schema = T.StructType([*[features.schema[c] for c in keep], T.StructField("score", T.DoubleType())])
-    scored = features.mapInArrow(scores, schema)
-    return scored.select(*keep, held_out(key).alias("held_out"), "score",
-                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    """``keep`` columns (default the key) of every row, and held_out, score and predicted.
+
+    A name that ``keep`` has already is given a number: score_2, and so on.
+    """
+    inner, name = shield(docs)
+    key_, text_, kept = name[key], name[text], keep or [key]
+    labels = labels.select(F.col(key).alias(key_), F.col(label).alias("_quality"))
+    table = context_vectors(inner, text_)
+    network = fit_network(inner, labels.filter(~held_out(key_)), table, key_, text_, "_quality")
+    scored = with_pooled(inner, table, [name[c] for c in kept], text_, lambda x: pa.array(network.score(x)),
+                         "_score", T.DoubleType())
+    found = scored.withColumns({"_held_out": held_out(key_) if key in kept else F.lit(None).cast("boolean"),
+                                "_predicted": (F.col("_score") >= 0.5).cast("int")})
+    made = [free_name(n, kept) for n in ("held_out", "score", "predicted")]
+    return found.select(*[name[c] for c in kept], "_held_out", "_score", "_predicted").toDF(*kept, *made)

@@ -9,6 +9,21 @@ from creditspark.operators.joins import lookup_join, measured_bytes
 from creditspark.session import materialize
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, or with the first number that makes it differ from the names taken (Spark ignores letter case)."""
+    used, tried, number = {c.lower() for c in taken}, name, 1
+    while tried.lower() in used:
+        number += 1
+        tried = f"{name}_{number}"
+    return tried
+
+
+def shield(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns renamed, so that none clashes with those an operator adds; and the new names by the old."""
+    names = {c: f"_given_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
 def text_of(column: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -31,10 +46,11 @@ def take_out(docs: DataFrame, decisions: DataFrame, key: str = "doc_id", text: s
     size = measured_bytes(odd)
     if size == 0:
         return docs
-    keyed = docs.withColumn("_key", row_key(key, text))
+    inner, name = shield(docs)
+    keyed = inner.withColumn("_key", row_key(name[key], name[text]))
     listed = odd.select(F.col("row_key").alias("_key"))
     out = lookup_join(keyed, listed, "_key", "left_anti", size=size)
     repeats = odd.filter("_kept > 0").select(F.col("row_key").alias("_key"))
     if not repeats.isEmpty():
         out = out.unionByName(lookup_join(keyed, repeats, "_key", "left_semi", size=size).dropDuplicates(["_key"]))
-    return out.drop("_key")
+    return out.select(*name.values()).toDF(*docs.columns)
