@@ -43,12 +43,10 @@ def source_rates(docs: DataFrame, weights: dict[str, float], other: float = 1.0,
     for name, value in weights.items():
         weight = F.when(F.col("_source") == name, F.lit(float(value))).otherwise(weight)
     total = sizes.withColumn("weight", weight)
-    whole = total.agg(F.sum("bytes").alias("all_bytes"), F.sum("weight").alias("all_weight"))
-    # one row on the right
-    placed = total.join(F.broadcast(whole))
-    share = F.col("weight") / F.col("all_weight")
-    return placed.select("_source", "documents", "bytes", share.alias("share"),
-                         (share * (F.lit(float(epochs)) * F.col("all_bytes")) / F.col("bytes")).alias("rate"))
+    whole = total.agg(F.sum("bytes").alias("bytes"), F.sum("weight").alias("weight")).first()
+    share = F.col("weight") / F.lit(whole["weight"])
+    return total.select("_source", "documents", "bytes", share.alias("share"),
+                        (share * F.lit(float(epochs) * (whole["bytes"] or 0)) / F.col("bytes")).alias("rate"))
 
 
 def _distribution(mean: Column) -> Column:

@@ -43,7 +43,7 @@ KIND[128:] = 1
 
 def _words(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(document in the batch, word hash) of every run of letters, digits or signs."""
-    for data, starts, documents in texts.pieces(*texts.utf8(column)):
+    for data, starts, documents, _ in texts.pieces(*texts.utf8(column)):
         begin, end = texts.bounds(KIND[data], starts)
         yield documents[texts.owners(starts, begin)], texts.hashes(data, begin, end)
 

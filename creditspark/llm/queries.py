@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from creditspark.llm import exact_dedup, mixing, packing, quality, simhash
+from creditspark.llm import brown, exact_dedup, mixing, packing, quality, simhash
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -47,12 +47,18 @@ def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf, "documents"), tokenizer_path(), 2048, with_ids=False)
 
 
+def op9_brown(spark: SparkSession, sf: str) -> DataFrame:
+    """Class-bigram and add-one scores of every document, learnt outside the held-out seventh."""
+    return brown.score_texts(read(spark, sf, "documents"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
     "op6_simhash": op6_simhash,
     "op8_packing": op8_packing,
+    "op9_brown": op9_brown,
 }
 
 SQL = {

@@ -36,17 +36,18 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[ends[0]:ends[-1]], ends - ends[0]
 
 
-def pieces(data: np.ndarray, ends: np.ndarray, limit: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Cut a batch into (bytes, starts, documents): stretches of about ``limit`` bytes.
+def pieces(data: np.ndarray, ends: np.ndarray, limit: int = PIECE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Cut a batch into (bytes, starts, documents, open): stretches of about ``limit`` bytes.
 
     ``starts`` says where each document begins in the stretch and ``documents`` is its number in the batch. Texts
-    longer than the limit are cut after white space, so words stay whole; a single longer word is not cut.
+    longer than the limit are cut after white space, so words stay whole; a single longer word is not cut. ``open``
+    says that the last text goes on in the next stretch.
     """
     first, count = 0, len(ends) - 1
     while first < count:
         last = int(np.searchsorted(ends, ends[first] + limit, "right")) - 1
         if last > first:
-            yield data[ends[first]:ends[last]], ends[first:last] - ends[first], np.arange(first, last)
+            yield data[ends[first]:ends[last]], ends[first:last] - ends[first], np.arange(first, last), False
             first = last
             continue
         at, stop = int(ends[first]), int(ends[first + 1])
@@ -59,7 +60,7 @@ def pieces(data: np.ndarray, ends: np.ndarray, limit: int = PIECE) -> Iterator[t
                     to = to + int(gaps[0]) + 1 if len(gaps) else stop
                 else:
                     to = at + int(gaps[-1]) + 1
-            yield data[at:to], np.zeros(1, np.int64), np.array([first])
+            yield data[at:to], np.zeros(1, np.int64), np.array([first]), to < stop
             at = to
         first += 1
 
