@@ -123,9 +123,9 @@ def identities(docs: DataFrame, key: str = "doc_id", text: str = "text", block:
 def group_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
     """One row per document: id, keep_id, group_size, kept, text_sha256 (hex) and ``row_key``."""
     named = materialize(identities(docs, key, text, block))
-    groups = named.groupBy("blocks", "name").agg(
-        F.max(F.struct("id", "row")).alias("keeper"), F.count("*").alias("group_size"))
-    # adaptive execution splits a group that holds much of the table; the other side has one row per group
+    groups = materialize(named.groupBy("blocks", "name").agg(
+        F.max(F.struct("id", "row")).alias("keeper"), F.count("*").alias("group_size")))
+    # groups are stored first, so that adaptive execution can split a group that holds much of the table
     return named.join(groups, ["blocks", "name"]).select(
         F.col("id").alias(key), F.col("keeper.id").alias("keep_id"), "group_size",
         (F.col("row") == F.col("keeper.row")).alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "row_key")
