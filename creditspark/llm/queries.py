@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from creditspark.llm import brown, exact_dedup, mixing, packing, quality, simhash
+from creditspark.llm import brown, exact_dedup, mixing, packing, quality, simhash, topk
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -52,6 +53,11 @@ def op9_brown(spark: SparkSession, sf: str) -> DataFrame:
     return brown.score_texts(read(spark, sf, "documents"))
 
 
+def op10_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The 10 best inner products of every hundredth vector."""
+    return topk.top_k(read(spark, sf, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
@@ -59,9 +65,23 @@ QUERIES = {
     "op6_simhash": op6_simhash,
     "op8_packing": op8_packing,
     "op9_brown": op9_brown,
+    "op10_topk": op10_topk,
 }
 
 SQL = {
+    "op10_topk": """
+        WITH v AS (
+            SELECT vec_id, row_number() OVER () AS r,
+                   [floor(1024 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        scores AS (
+            SELECT q.vec_id AS query_id, q.r AS qr, c.vec_id,
+                   list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+            FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0)
+        SELECT query_id, rank::INT AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id) AS rank FROM scores)
+        WHERE rank <= 10""",
     "op1_mixing": """
         WITH sizes AS (
             SELECT source, sum(coalesce(strlen(text), 0) + 1)::BIGINT AS bytes,
