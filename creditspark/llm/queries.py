@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditspark.llm import brown, chat, exact_dedup, mixing, packing, quality, sharding, simhash, topk
+from creditspark.llm import brown, chat, exact_dedup, licenses, mixing, packing, quality, sharding, simhash, topk
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -69,6 +69,11 @@ def op4_chat(spark: SparkSession, sf: str) -> DataFrame:
     return chat.digests(chat.chat_windows(turns.unionByName(forged)))
 
 
+def op5_licenses(spark: SparkSession, sf: str) -> DataFrame:
+    """Licenses named or quoted in any document."""
+    return licenses.scan_licenses(read(spark, sf, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in 16 shards, and the shards they would have among 17."""
     return sharding.shard_documents(read(spark, sf, "documents"), sharding.regular_tree(16), sharding.regular_tree(17))
@@ -79,6 +84,7 @@ QUERIES = {
     "op2_quality": op2_quality,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_chat": op4_chat,
+    "op5_licenses": op5_licenses,
     "op6_simhash": op6_simhash,
     "op7_sharding": op7_sharding,
     "op8_packing": op8_packing,
