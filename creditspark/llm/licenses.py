@@ -118,7 +118,7 @@ def _window_keys(shingles: np.ndarray, scale: int) -> Iterator[tuple[int, np.nda
             hashed = (shingles * FACTORS[band * BAND_ROWS + row]) >> np.uint64(8)
             low = np.minimum.reduceat(hashed, at) if hop > 1 else hashed
             wide = low.copy()
-            for k in range(1, scale // hop):
+            for k in range(1, min(scale // hop, len(low))):
                 np.minimum(wide[:len(low) - k], low[k:], out=wide[:len(low) - k])
             key = (key ^ wide) * texts.BASE
         yield hop, texts.mix(key)
