@@ -14,7 +14,6 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -27,8 +26,12 @@ from pyspark.sql import types as T
 LENGTH = 2048
 END_ID = 0
 GROUP_BYTES = 32 << 20
-WORDS_KEPT = 800_000
-UNEVEN_SPACE = re.compile(r"\s\s|^\s|\s\Z|\0")
+WORDS_KEPT = 500_000
+PAIRED = 12
+
+
+class _Irregular(Exception):
+    """A text whose white space does not stand alone between words."""
 
 
 class WordIds(dict):
@@ -42,28 +45,44 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are then ordinary text
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this tokenizer do not fit 16 bits")
+        self.split, self.merge, self.parts = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize, {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
+    def part(self, part: str) -> bytes:
+        """The ids of one part that the tokenizer's own splitter has made; words share such parts."""
+        found = self.parts.get(part)
+        if found is None:
+            found = self.parts[part] = b"".join([token.id.to_bytes(2, "little") for token in self.merge(part)])
+        return found
+
     def __missing__(self, word: str) -> bytes:
-        found = self.whole(word[1:] if word[0] == "\0" else word if word == "\n" else " " + word)
+        bare = word[1:] if word[:1] == "\0" else word
+        if word != "\n" and (not bare or bare != bare.strip()):
+            raise _Irregular
+        content = bare if bare is not word or word == "\n" else " " + word
+        found = b"".join([self.part(part) for part, _ in self.split(content)])
         if len(self) >= WORDS_KEPT:
             self.clear()
+            self.parts.clear()
         self[word] = found
         return found
 
     def encode(self, text: str) -> bytes:
         """The ids of a text. The tokenizer never joins a visible character to white space after it, so where
         spaces and line ends stand alone the words between them can be encoded one by one."""
-        if UNEVEN_SPACE.search(text):
-            return self.whole(text)
         if not text:
             return b""
-        return b"".join(map(self.__getitem__, ("\0" + text.replace("\n", " \n \0")).split(" ")))
+        if "\0" not in text:
+            try:
+                return b"".join(map(self.__getitem__, ("\0" + text.replace("\n", " \n \0")).split(" ")))
+            except _Irregular:
+                pass
+        return self.whole(text)
 
 
 _known: dict[str, WordIds] = {}
@@ -132,21 +151,43 @@ def best_fit(sizes: list[int], cap: int) -> list[list[int]]:
     return bins
 
 
-class _Exchange:
-    """Items and pairs of items in underfull bins, as arrays to search at once."""
+def _offers(members: list[int], sizes: list[int]) -> list[tuple[int, ...]]:
+    """What a bin can give: each piece, and each pair among its first ``PAIRED`` pieces."""
+    few = members[:PAIRED]
+    return [(i,) for i in members] + [(i, j) for n, i in enumerate(few) for j in few[n + 1:]]
+
+
+class _Table:
+    """The offers of underfull bins as columns (bin, size, count, room, fill), kept per bin between exchanges."""
+
+    def __init__(self, sizes: list[int], cap: int):
+        self.sizes, self.cap = sizes, cap
+        self.offers: dict[int, list[tuple[int, ...]]] = {}
+        self.parts: dict[int, np.ndarray] = {}
+
+    def put(self, place: int, members: list[int], fill: int) -> None:
+        self.columns = None
+        if not members or fill == self.cap:
+            self.offers.pop(place, None)
+            self.parts.pop(place, None)
+            return
+        self.offers[place] = offers = _offers(members, self.sizes)
+        part = np.empty((5, len(offers)), np.int64)
+        part[0], part[3], part[4] = place, self.cap - fill, fill
+        part[1] = [sum(self.sizes[i] for i in o) for o in offers]
+        part[2] = [len(o) for o in offers]
+        self.parts[place] = part
+
+    def all(self) -> np.ndarray:
+        if self.columns is None:
+            self.columns = np.concatenate(list(self.parts.values()), axis=1)
+            ends = np.cumsum([p.shape[1] for p in self.parts.values()])
+            self.starts = dict(zip(self.parts, np.append(0, ends[:-1]).tolist()))
+        return self.columns
 
-    def __init__(self, bins: list[list[int]], sizes: list[int], fill: list[int], cap: int):
-        under = [b for b in range(len(bins)) if bins[b] and fill[b] < cap]
-        self.bin = np.array(under)
-        self.room = np.array([cap - fill[b] for b in under])
-        groups = [((i,), b) for b in under for i in bins[b]]
-        groups += [((i, j), b) for b in under for n, i in enumerate(bins[b][:40]) for j in bins[b][n + 1:40]]
-        self.items = [g for g, _ in groups]
-        self.of = np.array([b for _, b in groups])
-        self.size = np.array([sum(sizes[i] for i in g) for g, _ in groups])
-        self.count = np.array([len(g) for g, _ in groups])
-        self.space = np.array([cap - fill[b] for _, b in groups])
-        self.fill = np.array([fill[b] for _, b in groups])
+    def offer(self, at: int) -> tuple[int, ...]:
+        place = int(self.columns[0, at])
+        return self.offers[place][at - self.starts[place]]
 
 
 def improve(bins: list[list[int]], sizes: list[int], cap: int) -> list[list[int]]:
@@ -154,43 +195,48 @@ def improve(bins: list[list[int]], sizes: list[int], cap: int) -> list[list[int]
     fill = [sum(sizes[i] for i in b) for b in bins]
     fewest = -(-sum(fill) // cap)
     used = sum(1 for b in bins if b)
+    if used <= fewest:
+        return [b for b in bins if b]
+    table = _Table(sizes, cap)
+    for place, members in enumerate(bins):
+        table.put(place, members, fill[place])
     stuck: set[int] = set()
-    there = None
     while used > fewest:
-        donors = sorted((b for b in range(len(bins)) if bins[b] and fill[b] < cap and b not in stuck), key=fill.__getitem__)
-        if not donors:
+        donor = min((b for b in table.parts if b not in stuck), key=fill.__getitem__, default=None)
+        if donor is None:
             break
-        donor, here = donors[0], fill[donors[0]]
-        there = there or _Exchange(bins, sizes, fill, cap)
-        others, own = there.of != donor, bins[donor]
+        here, own = fill[donor], bins[donor]
+        of, size, count, room, filled = table.all()
+        others = of != donor
         best = (0, (), (), -1)
-        for give in [(i,) for i in own] + [(i, j) for n, i in enumerate(own[:40]) for j in own[n + 1:40]]:
+        for give in _offers(own, sizes):
             x = sum(sizes[i] for i in give)
-            if len(give) == 1:
-                fits = (there.bin != donor) & (there.room >= x)
-                if fits.any():
-                    at = np.flatnonzero(fits)[np.argmin(there.room[fits])]
-                    target = int(there.bin[at])
-                    gain = 2 * x * (fill[target] + x - here)
-                    best = max(best, (gain, give, (), target))
-            more = x - there.size
-            fits = others & (more > 0) & (more <= there.space) & (there.count + len(give) <= 3)
-            if fits.any():
-                at = np.flatnonzero(fits)
-                gains = 2 * more[at] * (there.fill[at] + more[at] - here)
-                top = at[int(np.argmax(gains))]
-                best = max(best, (int(gains.max()), give, there.items[top], int(there.of[top])))
+            more = x - size
+            fits = others & (more > 0) & (more <= room) & (count + len(give) <= 3)
+            at = np.flatnonzero(fits)
+            if len(at):
+                gains = 2 * more[at] * (filled[at] + more[at] - here)
+                top = int(np.argmax(gains))
+                if gains[top] > best[0]:
+                    best = (int(gains[top]), give, table.offer(at[top]), int(of[at[top]]))
+            at = np.flatnonzero(others & (room >= x)) if len(give) == 1 else at[:0]
+            if len(at):
+                target = int(of[at[np.argmin(room[at])]])
+                gain = 2 * x * (fill[target] + x - here)
+                if gain > best[0]:
+                    best = (gain, give, (), target)
         gain, give, take, target = best
-        if gain <= 0:
+        if not gain:
             stuck.add(donor)
             continue
         moved = sum(sizes[i] for i in give) - sum(sizes[i] for i in take)
         bins[donor] = [i for i in own if i not in give] + list(take)
         bins[target] = [i for i in bins[target] if i not in take] + list(give)
         fill[donor], fill[target] = here - moved, fill[target] + moved
+        for place in (donor, target):
+            table.put(place, bins[place], fill[place])
         used -= not bins[donor]
         stuck -= {donor, target}
-        there = None
     return [b for b in bins if b]
 
 
