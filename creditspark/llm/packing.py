@@ -101,29 +101,37 @@ def cut(total: int, length: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(first + length * k, length) for k in range(count - 1)]
 
 
-def token_pieces(docs: DataFrame, path: str, length: int = LENGTH, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece: id, row, piece, start, length and ``ids`` (16-bit little-endian)."""
+def token_pieces(docs: DataFrame, path: str, length: int = LENGTH, key: str = "doc_id", text: str = "text",
+                 with_ids: bool = True) -> DataFrame:
+    """One row per piece: id, row, piece, start, length, the ids' checksum and, if asked for, ``ids``.
+
+    The checksum is over little-endian 32-bit ids; ``ids`` holds them in 16 bits.
+    """
     schema = T.StructType([T.StructField("id", docs.schema[key].dataType)] + [
         T.StructField(n, t) for n, t in (("row", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()),
-                                         ("length", T.LongType()), ("ids", T.BinaryType()))])
+                                         ("length", T.LongType()), ("ids_crc32", T.LongType()))]
+        + [T.StructField("ids", T.BinaryType())] * with_ids)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end = word_ids(path), np.array([END_ID], "<u2").tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                of, rows, held = [], [], []
+                of, rows, held, sums = [], [], [], []
                 for k, content in enumerate(part.column(2).to_pylist()):
                     ids = known.encode(content or "") + end
                     for number, (start, size) in enumerate(cut(len(ids) // 2, length)):
                         of.append(k)
                         rows.append((number, start, size))
-                        held.append(ids[2 * start:2 * (start + size)])
+                        piece = ids[2 * start:2 * (start + size)]
+                        sums.append(zlib.crc32(np.frombuffer(piece, "<u2").astype("<u4")))
+                        if with_ids:
+                            held.append(piece)
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), pa.array(columns[0], pa.int32()),
-                     pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(held, pa.binary())],
-                    schema.names)
+                     pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(sums, pa.int64())]
+                    + [pa.array(held, pa.binary())] * with_ids, schema.names)
 
     chosen = docs.select(F.col(key), F.monotonically_increasing_id().alias("_row"), F.col(text))
     return chosen.mapInArrow(pieces, schema)
@@ -248,11 +256,12 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, group_bytes
                    key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ``ids``.
 
-    A sequence is read by its pieces in the order of ``offset``.
+    A sequence is read by its pieces in the order of ``offset``. Packing needs the lengths alone, so without ``with_ids``
+    the ids are not shuffled.
     """
     volume = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0)) + F.count("*") * 8).first()[0]
     groups = max(1, -(-volume // group_bytes))
-    pieces = token_pieces(docs, path, length, key, text).withColumn(
+    pieces = token_pieces(docs, path, length, key, text, with_ids).withColumn(
         "_group", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
     fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("piece", T.IntegerType())] + [
         T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "sequence_id", "offset")]
@@ -270,12 +279,12 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, group_bytes
             for i in members:
                 sequence[i], offset[i] = number, at
                 at += sizes[i]
-        ids = [np.frombuffer(x, "<u2").astype("<u4") for x in group["ids"].to_pylist()]
-        columns = [group["id"], group["piece"], group["start"], group["length"],
-                   pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()),
+        columns = [group["id"], group["piece"], group["start"], group["length"], group["ids_crc32"],
                    pa.array((group["_group"][0].as_py() << 32) + sequence), pa.array(offset)]
         if with_ids:
-            columns.append(pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())))
+            ids = [pa.array(np.frombuffer(x.as_py(), "<u2").astype(np.int32)) for x in group["ids"]]
+            ends = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
+            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(ids)))
         return pa.Table.from_arrays(columns, schema.names)
 
     return pieces.groupBy("_group").applyInArrow(pack, schema)
