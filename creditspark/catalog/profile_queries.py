@@ -39,7 +39,7 @@ def _gappy_supplier(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def duplicates(spark, sf):
-    return profile.duplicate_census(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber"))
+    return profile.duplicate_census(table(spark, sf, "lineitem"))
 
 
 def duplicate_rows_top10(spark, sf):
@@ -90,7 +90,7 @@ def value_counts_pct(spark, sf):
 def proportions(spark, sf):
     orders = table(spark, sf, "orders").select(
         null_if("o_orderpriority", "5-LOW").alias("priority"), F.col("o_orderstatus").alias("status"))
-    return rounded(profile.proportions(orders, "priority", "status"))
+    return rounded(profile.proportions(orders, "priority", "status", ["F", "O", "P"]))
 
 
 def crosstab(spark, sf):
@@ -319,7 +319,8 @@ MISSING = dict(
     b=_missing_sql("test", ["id", "name", "nation", "balance"]))
 NATIONS = """  select n_name as feature, avg(c_acctbal) - 4500.0e0 as score
   from customer join nation on c_nationkey = n_nationkey group by n_name"""
-CENSUS = "select count(*) as n from lineitem group by l_orderkey, l_linenumber"
+CENSUS = """select count(*) as n from lineitem group by l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
+  l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"""
 PART_LONG = " union all ".join(f"select '{c}' as col, {c} as value from part" for c in PART_TEXT)
 PART_LONG_GAPS = PART_LONG.replace("p_type as value", "nullif(p_type, 'SMALL') as value")
 
@@ -479,13 +480,13 @@ from t group by o_orderpriority""",
     "histogram": _histogram_sql("o_totalprice", "o_orderstatus"),
     "histogram_log": _histogram_sql("ln(1 + o_totalprice)", None),
     "density": f"""with t as (select o_orderstatus, o_totalprice / 1000 as v from orders),
-e as (select min(v) as lo, (max(v) - min(v)) / 400 as w, (max(v) - min(v)) / 49 as step from t),
-s as (select o_orderstatus, count(*) as n, stddev_samp(v) * pow(count(*), -0.2e0) as h from t group by 1),
-b as (select o_orderstatus, least(floor((v - lo) / w), 399) as bin, count(*) as c from t, e group by 1, 2),
-g as (select cast(unnest(range(50)) as integer) as point)
-select o_orderstatus, point, {r6('max(lo + point * step)')} as x, {r6('''sum(c * exp(-0.5e0 * pow((lo + point * step
-  - lo - (bin + 0.5e0) * w) / h, 2)) / sqrt(2 * pi())) / max(n * h)''')} as density
-from b join s using (o_orderstatus), e, g group by o_orderstatus, point""",
+s as (select o_orderstatus, count(*) as n, min(v) as lo, max(v) as hi,
+  stddev_samp(v) * pow(count(*), -0.2e0) as h from t group by 1),
+g as (select o_orderstatus, n, h, point, lo - 3 * h + point * ((hi - lo + 6 * h) / 49) as x
+  from s, (select cast(unnest(range(50)) as integer) as point))
+select o_orderstatus, point, {r6('max(x)')} as x,
+  {r6('sum(exp(-0.5e0 * pow((x - v) / h, 2))) / max(n * h * sqrt(2 * pi()))')} as density
+from t join g using (o_orderstatus) group by o_orderstatus, point""",
     "csv_round_trip": with_roles("client", f"""select SK_ID_CURR, {r6('AMT_ANNUITY')} as AMT_ANNUITY, OCCUPATION_TYPE,
   {r6('DEF_30_CNT_SOCIAL_CIRCLE')} as DEF_30_CNT_SOCIAL_CIRCLE from client"""),
     "table_shapes": """select 'client' as table_name, count(*) as n_rows, 20 as n_columns, 5 as n_bigint, 11 as n_double,

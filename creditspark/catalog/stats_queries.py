@@ -163,9 +163,8 @@ def risk_tiers(spark, sf):
 
 
 def score_split(spark, sf):
-    """Histogram of a score on both sides of the decision threshold."""
-    sides = _scored(spark, sf).withColumn("predicted", C.decision("p1"))
-    return rounded(histogram(sides, "p1", "predicted", 20))
+    """Histogram of a score for each true class."""
+    return rounded(histogram(_scored(spark, sf), "p1", "label", 20))
 
 
 QUERIES = {
@@ -328,7 +327,7 @@ from a""", scored=SCORED, s="select o_orderpriority, p1 as s, label from scored"
     "risk_tiers": with_roles("", """select o_orderkey, case when p1 > 0.7 then 'high' when p1 > 0.3 then 'moderate'
   else 'low' end as risk_score from scored""", scored=SCORED),
     "score_split": with_roles("", f"""select cast(least(floor((p1 - lo) / w), 19) as integer) as bin,
-  cast(p1 > 0.5 as integer) as predicted, {r6('max(lo) + cast(least(floor((p1 - lo) / w), 19) as integer) * max(w)')}
-  as bin_start, count(*) as n from scored, e group by bin, predicted, lo, w""", scored=SCORED,
+  label, {r6('max(lo) + cast(least(floor((p1 - lo) / w), 19) as integer) * max(w)')}
+  as bin_start, count(*) as n from scored, e group by bin, label, lo, w""", scored=SCORED,
                               e="select min(p1) as lo, (max(p1) - min(p1)) / 20 as w from scored"),
 }

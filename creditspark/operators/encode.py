@@ -15,41 +15,43 @@ from creditspark.operators.profile import CARDINALITY_THRESHOLD
 from creditspark.session import materialize
 from creditspark.sources import files
 
-MAX_INDICATORS = 10_000
 
-
-def _unique_names(names: Sequence[str]) -> list[str]:
-    seen: dict[str, int] = {}
+def _unique_names(names: Sequence[str], taken: Sequence[str] = ()) -> list[str]:
+    """The names, each with the first number from 2 on that makes it new, if it is not."""
+    used = {n.lower() for n in taken}
     out = []
     for name in names:
-        seen[name] = seen.get(name, 0) + 1
-        out.append(name if seen[name] == 1 else f"{name}_{seen[name]}")
+        tried, number = name, 1
+        while tried.lower() in used:
+            number += 1
+            tried = f"{name}_{number}"
+        used.add(tried.lower())
+        out.append(tried)
     return out
 
 
-def fit_levels(df: DataFrame, columns: Sequence[str], order: Mapping[str, Sequence[str]] | None = None,
-               limit: int = MAX_INDICATORS) -> dict[str, list[str]]:
+def fit_levels(df: DataFrame, columns: Sequence[str],
+               order: Mapping[str, Sequence[str]] | None = None) -> dict[str, list[str]]:
     """Known values per column as text, sorted unless an order is given.
 
-    Every value becomes a column, so more than ``limit`` of them is an error.
+    Every value is to become a column, so this is for columns of few values; ``EncodingModel`` takes any.
     """
     order = dict(order or {})
     open_columns = [c for c in columns if c not in order]
     found: dict[str, list[str]] = {c: [] for c in open_columns}
     if open_columns:
         values = (to_long(df, open_columns, kind="string").filter(F.col("value").isNotNull())
-                  .distinct().limit(limit + 1).collect())
-        if len(values) > limit:
-            raise ValueError("too many levels for indicator columns; use the m-estimate encoding")
+                  .distinct().collect())
         for row in values:
             found[row["column"]].append(row["value"])
     return {c: list(order[c]) if c in order else sorted(found[c]) for c in columns}
 
 
-def indicator_columns(levels: Mapping[str, Sequence[str]], drop_first: bool = False) -> list[Column]:
-    """0/1 columns named ``<column>_<value>``; NULL and unknown values give 0 everywhere."""
+def indicator_columns(levels: Mapping[str, Sequence[str]], drop_first: bool = False,
+                      taken: Sequence[str] = ()) -> list[Column]:
+    """0/1 columns named ``<column>_<value>``, unlike each other and ``taken``; NULL and unknown values give 0."""
     pairs = [(c, v) for c, values in levels.items() for v in (values[1:] if drop_first else values)]
-    names = _unique_names([clean_name(f"{c}_{v}") for c, v in pairs])
+    names = _unique_names([clean_name(f"{c}_{v}") for c, v in pairs], taken)
     return [
         F.when(F.col(c).cast("string") == F.lit(v), 1).otherwise(0).cast("long").alias(name)
         for (c, v), name in zip(pairs, names)
@@ -59,8 +61,10 @@ def indicator_columns(levels: Mapping[str, Sequence[str]], drop_first: bool = Fa
 def dummies(df: DataFrame, levels: Mapping[str, Sequence[str]], keep: Sequence[str] = (),
             drop_first: bool = True) -> DataFrame:
     """Numeric columns, then dummies of the fitted levels, with cleaned names."""
-    numbers = [F.col(c).alias(clean_name(c)) for c in numeric_columns(df) if c not in keep]
-    return df.select(*keep, *numbers, *indicator_columns(levels, drop_first))
+    given = [c for c in numeric_columns(df) if c not in keep]
+    names = _unique_names([clean_name(c) for c in given], keep)
+    numbers = [F.col(c).alias(name) for c, name in zip(given, names)]
+    return df.select(*keep, *numbers, *indicator_columns(levels, drop_first, [*keep, *names]))
 
 
 def category_sums(df: DataFrame, columns: Sequence[str], label: str) -> DataFrame:
@@ -113,7 +117,7 @@ class EncodingModel:
         sizes = {r["column"]: r["bytes"] for r in per_column if r["column"] in high}
         return cls(levels, high, materialize(table), prior, list(keep), sizes)
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def transform(self, df: DataFrame, drop_first: bool = False) -> DataFrame:
         """Kept columns, numeric columns, one-hot columns, encoded columns; unknown values get the prior."""
         kept = [c for c in self.keep if c in df.columns]
         numbers = [c for c in numeric_columns(df) if c not in kept]
@@ -124,7 +128,7 @@ class EncodingModel:
             out = out.withColumn(f"_key_{c}", F.col(c).cast("string"))
             out = lookup_join(out, means, f"_key_{c}", size=self.sizes[c])
         return out.select(
-            *kept, *numbers, *indicator_columns(self.levels),
+            *kept, *numbers, *indicator_columns(self.levels, drop_first, [*kept, *numbers, *self.high]),
             *[F.coalesce(F.col(f"_enc_{c}"), F.lit(self.prior)).alias(c) for c in self.high])
 
     def save(self, spark: SparkSession, path: str) -> None:

@@ -174,17 +174,19 @@ def value_counts_percent(df: DataFrame, column: str) -> DataFrame:
         .orderBy(F.desc("value_count"), column)
 
 
-CLASS_LIMIT = 1000
+def proportions(df: DataFrame, predictor: str, target: str, classes: Sequence | None = None) -> DataFrame:
+    """Share of each target class within each predictor value.
 
-
-def proportions(df: DataFrame, predictor: str, target: str) -> DataFrame:
-    """Share of each target class within each predictor value; absent pairs have a NULL share."""
-    cells = materialize(
-        df.filter(F.col(predictor).isNotNull() & F.col(target).isNotNull())
-        .groupBy(predictor, target).agg(F.count("*").alias("n")))
-    classes = [r[0] for r in cells.select(target).distinct().orderBy(target).limit(CLASS_LIMIT + 1).collect()]
-    if len(classes) > CLASS_LIMIT:
-        raise ValueError(f"{target} has too many classes for a proportion table")
+    With ``classes`` every value has a row for each of them, absent pairs with a NULL share; without, a row for each
+    pair that occurs.
+    """
+    cells = (df.filter(F.col(predictor).isNotNull() & F.col(target).isNotNull())
+             .groupBy(predictor, target).agg(F.count("*").alias("n")))
+    if classes is None:
+        cells = materialize(cells)
+        whole = cells.groupBy(predictor).agg(F.sum("n").alias("_all"))
+        return cells.join(whole, predictor).select(
+            predictor, target, (F.col("n") / F.col("_all").cast("double")).alias("proportion"))
     counts = cells.groupBy(predictor).agg(
         F.sum("n").alias("_all"),
         *[F.sum(F.when(F.col(target) == F.lit(v), F.col("n"))).alias(f"_c{i}") for i, v in enumerate(classes)])
@@ -329,30 +331,25 @@ def histogram(df: DataFrame, value: Column | str, group: str | None = None, bins
             .select("bin", *keys, (F.lit(start) + F.col("bin") * F.lit(width)).alias("bin_start"), "n"))
 
 
-def density(df: DataFrame, value: str, group: str, points: int = 50, prebins: int = 400) -> DataFrame:
-    """Gaussian kernel density per group on a fixed grid, with Scott's bandwidth.
+def density(df: DataFrame, value: str, group: str, points: int = 50) -> DataFrame:
+    """Gaussian kernel density per group, with Scott's bandwidth, on a grid over the group's own range.
 
-    Rows are first counted in narrow bins, so the kernel sum runs over bins instead of rows.
+    The grid reaches three bandwidths beyond the smallest and largest value. Every row counts in every point of its
+    group, summed before the shuffle. A group of one value, or one row, has no bandwidth and a NULL density.
     """
     known = df.filter(F.col(value).isNotNull() & F.col(group).isNotNull())
     x = F.col(value).cast("double")
-    facts = materialize(known.groupBy(group).agg(
-        F.count("*").alias("_n"), F.stddev_samp(x).alias("_sd"), F.min(x).alias("_lo"), F.max(x).alias("_hi")))
-    low, high = facts.agg(F.min("_lo"), F.max("_hi")).first()
-    if low is None:
-        low, high = 0.0, 1.0
-    width = (high - low) / prebins or 1.0
-    spread = facts.select(
-        group, "_n", (F.col("_sd") * F.pow(F.col("_n").cast("double"), F.lit(-0.2))).alias("_h"))
-    number = F.least(F.floor((x - F.lit(low)) / F.lit(width)), F.lit(prebins - 1))
-    counts = known.groupBy(group, number.alias("_bin")).agg(F.count("*").alias("_w"))
-    step = (high - low) / (points - 1)
-    grid = F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point")
-    at = F.lit(low) + F.col("point") * F.lit(step)
-    centre = F.lit(low) + (F.col("_bin") + F.lit(0.5)) * F.lit(width)
-    z = F.try_divide(at - centre, F.col("_h"))
-    kernel = F.exp(-0.5 * z * z) / F.lit((2 * 3.141592653589793) ** 0.5)
-    total = F.sum(F.col("_w") * kernel)
-    return (counts.join(spread, group).select("*", grid).groupBy(group, "point")
-            .agg(F.max(at).alias("x"),
-                 F.try_divide(total, F.max("_n") * F.max("_h")).alias("density")))
+    spread = F.stddev_samp(x) * F.pow(F.count("*").cast("double"), F.lit(-0.2))
+    facts = known.groupBy(group).agg(
+        F.count("*").alias("_n"), F.min(x).alias("_lo"), F.max(x).alias("_hi"), spread.alias("_h"))
+    start = F.col("_lo") - 3 * F.coalesce("_h", F.lit(0.0))
+    facts = facts.select(group, "_n", F.when(F.col("_h") > 0, F.col("_h")).alias("_h"), start.alias("_from"),
+                         ((F.col("_hi") + 3 * F.coalesce("_h", F.lit(0.0)) - start) / (points - 1)).alias("_step"))
+    at = [F.col("_from") + i * F.col("_step") for i in range(points)]
+    sums = lookup_join(known.select(group, x.alias("_x")), facts, group).groupBy(group).agg(
+        *[F.first(c).alias(c) for c in ("_n", "_h", "_from", "_step")],
+        F.array(*[F.sum(F.exp(-0.5 * F.pow((a - F.col("_x")) / F.col("_h"), F.lit(2.0)))) for a in at]).alias("_sums"))
+    spots = sums.select("*", F.posexplode("_sums").alias("point", "_sum"))
+    scale = F.col("_n") * F.col("_h") * F.lit((2 * 3.141592653589793) ** 0.5)
+    return spots.select(group, "point", (F.col("_from") + F.col("point") * F.col("_step")).alias("x"),
+                        (F.col("_sum") / scale).alias("density"))

@@ -7,6 +7,7 @@ offset. Inputs are first collapsed to distinct (keys, order) tuples, so equal ro
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +17,7 @@ from creditspark.operators.joins import lookup_join, measured_bytes
 from creditspark.session import materialize
 
 HOT_ROWS = 1_000_000
-HASH_DIGITS = 3
+SLICE_ROWS = 100_000
 
 
 def running_totals(df: DataFrame, order: Sequence[str], totals: Sequence[str],
@@ -116,11 +117,12 @@ def hash_order_numbers(df: DataFrame, strata: Sequence[str], key: str, seed: Col
                        name: str = "_number") -> DataFrame:
     """Number the rows of each stratum from 0 in the order of ``md5(key-seed)``.
 
-    The leading hash digits cut every stratum into even slices, so one large stratum is no bottleneck and
-    the numbering is the same on every run.
+    The leading hash digits cut every stratum into even slices of about ``SLICE_ROWS`` rows at most, so one large
+    stratum is no bottleneck. The numbering does not depend on the number of slices.
     """
+    digits = max(1, math.ceil(math.log(max(1, df.count() / SLICE_ROWS), 16)) + 1)
     hashed = df.withColumn("_hash", F.md5(F.concat_ws("-", F.col(key).cast("string"), seed.cast("string"))))
-    hashed = hashed.withColumn("_slice", F.substring("_hash", 1, HASH_DIGITS))
+    hashed = hashed.withColumn("_slice", F.substring("_hash", 1, digits))
     per_slice = hashed.groupBy(*strata, "_slice").agg(F.count("*").alias("_n"))
     earlier = (Window.partitionBy(*strata).orderBy("_slice")
                .rowsBetween(Window.unboundedPreceding, -1))

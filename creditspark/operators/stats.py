@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -353,14 +354,52 @@ def collinear_pairs(pairs: DataFrame, importances: DataFrame, above: float = 0.8
     )
 
 
+def _pair_moments(columns: Sequence[str]):
+    """Task function: for every column pair, rows, means, and sums of products about the means of the task."""
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, second = np.triu_indices(len(columns), 1)
+        shift, sums = None, None
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            known = ~np.isnan(x)
+            if shift is None:  # about the mean, so that squares stay small
+                shift = np.where(known, x, 0).sum(0) / np.maximum(known.sum(0), 1)
+            x, mask = np.where(known, x - shift, 0), known.astype(float)
+            parts = np.stack([mask.T @ mask, x.T @ mask, (x * x).T @ mask, x.T @ x])
+            sums = parts if sums is None else sums + parts
+        if sums is None:
+            return
+        n, of, squares, products = sums
+        rows = np.maximum(n, 1)
+        made = [n, of + n * shift[:, None], of.T + n * shift[None, :], squares - of ** 2 / rows,
+                squares.T - of.T ** 2 / rows, products - of * of.T / rows]
+        kept = n[first, second] > 0
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(first[kept]), pa.array(second[kept]), *[pa.array(m[first, second][kept]) for m in made]],
+            ["i", "j", "n", "sx", "sy", "xx", "yy", "xy"])
+
+    return moments
+
+
 def correlation_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every unordered column pair, in one aggregate."""
-    named = list(combinations(sorted(columns), 2))
-    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"p{i}")
-                   for i, (a, b) in enumerate(named)])
-    records = [F.struct(F.lit(a).alias("feature1"), F.lit(b).alias("feature2"),
-                        F.col(f"p{i}").alias("coefficient")) for i, (a, b) in enumerate(named)]
-    return one.select(F.explode(F.array(*records)).alias("r")).select("r.*")
+    """Pearson correlation of every unordered column pair over the rows where both are known.
+
+    Rows are multiplied inside each task as matrices, so work per row is one small matrix product however many
+    columns there are; only sums per pair are shuffled. NaN counts as unknown.
+    """
+    names = sorted(columns)
+    spark = df.sparkSession
+    found = df.select(*[F.col(c).cast("double").alias(c) for c in names]).mapInArrow(
+        _pair_moments(names), "i long, j long, n double, sx double, sy double, xx double, yy double, xy double")
+    # what the tasks' means add to the sums about the overall mean
+    between = {c: F.sum(F.col(a) * F.col(b) / F.col("n")) - F.sum(a) * F.sum(b) / F.sum("n")
+               for c, a, b in (("xx", "sx", "sx"), ("yy", "sy", "sy"), ("xy", "sx", "sy"))}
+    summed = found.groupBy("i", "j").agg(*[(F.sum(c) + between[c]).alias(c) for c in between])
+    pairs = spark.createDataFrame([(i, j, names[i], names[j]) for i, j in combinations(range(len(names)), 2)],
+                                  "i long, j long, feature1 string, feature2 string")
+    scale = F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))
+    return pairs.join(summed, ["i", "j"], "left").select(
+        "feature1", "feature2", F.when(scale > 0, F.col("xy") / scale).alias("coefficient"))
 
 
 # ---- score diagnostics ---------------------------------------------------------------------

@@ -19,7 +19,7 @@ from pyspark.util import inheritable_thread_target
 
 from creditspark.functions.columns import weighted_mean
 from creditspark.operators.align import append_rows, numeric_columns
-from creditspark.operators.encode import dummies, fit_levels
+from creditspark.operators.encode import EncodingModel
 from creditspark.operators.profile import null_flags
 from creditspark.operators.ranks import auc_from_counts, holdout_flag, roc_auc, stratified_folds
 from creditspark.operators.stats import cv_stability
@@ -27,6 +27,7 @@ from creditspark.session import materialize
 from creditspark.sources.files import class_one
 
 SEED = 98
+DUMMY_LEVELS = 1000
 WEIGHT = "_weight"
 FEATURES = "_features"
 
@@ -174,11 +175,16 @@ def cross_validate(trainer: Trainer, df: DataFrame, key: str, folds: int = 5, re
     return mean, stability.select(F.lit(overall).cast("double").alias("overall_auc"), "*")
 
 
+def _numeric_rows(df: DataFrame, key: str, label: str, drop_first: bool) -> DataFrame:
+    """Numeric columns and dummies; a text column of over ``DUMMY_LEVELS`` values becomes one of label means."""
+    encoding = EncodingModel.fit(df, label, keep=[key, label], threshold=DUMMY_LEVELS)
+    return materialize(encoding.transform(df, drop_first))
+
+
 def baseline(df: DataFrame, key: str, label: str, rounds: int = 20, folds: int = 5,
              repeats: int = 3) -> tuple[DataFrame, DataFrame]:
     """Gradient boosting on raw numeric columns and first-dropped dummies."""
-    text = [c for c, kind in df.dtypes if kind == "string"]
-    rows = materialize(dummies(df, fit_levels(df, text), keep=[key, label]))
+    rows = _numeric_rows(df, key, label, drop_first=True)
     trainer = Trainer(classifiers(label, rounds=rounds)["GradientBoosting"],
                       [c for c in rows.columns if c not in (key, label)], label)
     return cross_validate(trainer, rows, key, folds, repeats)
@@ -300,8 +306,7 @@ def model_importance(models: Sequence[Transformer], names: Sequence[str], spark:
 
 def forest_importance(df: DataFrame, key: str, label: str, trees: int = 100) -> DataFrame:
     """Random-forest importance of numeric columns and all-level dummies after median imputation."""
-    text = [c for c, kind in df.dtypes if kind == "string"]
-    rows = materialize(dummies(df, fit_levels(df, text), keep=[key, label], drop_first=False))
+    rows = _numeric_rows(df, key, label, drop_first=False)
     columns = [c for c in rows.columns if c not in (key, label)]
     rows = as_doubles(rows, [*columns, label])
     gaps, empty, _ = training_facts(rows, columns, label)

@@ -26,7 +26,10 @@ def build_session(app: str = "creditspark", master: str | None = None, **conf: s
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder every executor can reach: the cluster's checkpoint folder, or a temporary one when unset."""
+    """Folder every executor can reach: the one named by ``spark.checkpoint.dir``.
+
+    Only a local session may leave it unset; it then gets a temporary folder.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if named:
@@ -34,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="creditspark-"))
     return context.getCheckpointDir()
 

@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from creditspark.operators.encode import EncodingModel, dummies, fit_levels, indicator_columns
 from creditspark.operators.scale import ScaleModel
+from creditspark.plans.modelling import _numeric_rows
 
 
 @pytest.fixture(scope="module")
@@ -44,13 +46,21 @@ def test_dummies_drop_the_first_level(spark):
     assert {r.id: (r.k_b, r.k_c_d) for r in out.collect()} == {1: (1, 0), 2: (0, 0), 3: (0, 0), 4: (0, 1)}
     ordered = dummies(df, fit_levels(df, ["k"], {"k": ["c d", "b", "a"]}), keep=["id"])
     assert ordered.columns == ["id", "v", "k_b", "k_a"]
-    with pytest.raises(ValueError):
-        fit_levels(df, ["k"], limit=2)
 
 
 def test_clashing_indicator_names_stay_distinct(spark):
     df = spark.createDataFrame([("a b",), ("a_b",)], "k string")
     assert df.select(*indicator_columns(fit_levels(df, ["k"]))).columns == ["k_a_b", "k_a_b_2"]
+    odd = spark.createDataFrame([("X Y", 1.0), ("X-Y", 2.0), ("X_Y_2", 3.0)], "k string, k_X_Y double")
+    names = dummies(odd, fit_levels(odd, ["k"]), drop_first=False).columns
+    assert len({n.lower() for n in names}) == len(names) == 4
+
+
+def test_columns_of_many_levels(spark):
+    many = spark.range(10_500).select("id", F.concat(F.lit("v"), F.col("id")).alias("k"), (F.col("id") % 2).alias("y"))
+    assert len(fit_levels(many, ["k"])["k"]) == 10_500
+    rows = _numeric_rows(many, "id", "y", drop_first=True)
+    assert rows.columns == ["id", "y", "k"] and rows.filter("k is null").count() == 0
 
 
 def test_scaling_uses_population_deviation_and_moves_skewed_columns(spark, tmp_path):

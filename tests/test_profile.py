@@ -89,8 +89,10 @@ def test_counts_and_proportions(spark, people):
     got = [tuple(r) for r in profile.value_counts_percent(people, "s").collect()]
     assert got == [("x", 3, 75.0), ("y", 1, 25.0)]
     df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("b", None), (None, "z")], "k string, s string")
-    pairs = {(r.k, r.s): r.proportion for r in profile.proportions(df, "k", "s").collect()}
+    pairs = {(r.k, r.s): r.proportion for r in profile.proportions(df, "k", "s", ["x", "y"]).collect()}
     assert pairs == {("a", "x"): 0.5, ("a", "y"): 0.5, ("b", "x"): 1.0, ("b", "y"): None}
+    found = {(r.k, r.s): r.proportion for r in profile.proportions(df, "k", "s").collect()}
+    assert found == {("a", "x"): 0.5, ("a", "y"): 0.5, ("b", "x"): 1.0}
     cells = table(profile.crosstab(people, "kind", "s", ["x", "y"]), "kind")
     assert cells["a"] == {"kind": "a", "x": 2, "y": 0}
 
