@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditspark.llm import brown, chat, exact_dedup, licenses, mixing, packing, quality, sharding, simhash, topk
+from creditspark.llm import brown, chat, exact_dedup, licenses, mixing, packing, quality, sharding, simhash, topk, warc
+from creditspark.session import shared_dir
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -79,6 +82,13 @@ def op7_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard_documents(read(spark, sf, "documents"), sharding.regular_tree(16), sharding.regular_tree(17))
 
 
+def op11_warc(spark: SparkSession, sf: str) -> DataFrame:
+    """All pages written as WARC bundles and read back: size, digest and type of every record."""
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(read(spark, sf, "pages"), folder)
+    return warc.digests(warc.read_archive(spark, folder))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
@@ -90,9 +100,17 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_brown": op9_brown,
     "op10_topk": op10_topk,
+    "op11_warc": op11_warc,
 }
 
 SQL = {
+    "op11_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        f AS (SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS n,
+                     first(page_id) OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS first FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND n > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND n > 1 THEN first END AS refers_to FROM f""",
     "op4_chat": r"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
