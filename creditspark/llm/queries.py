@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditspark.llm import brown, chat, exact_dedup, licenses, mixing, packing, quality, sharding, simhash, topk, warc
+from creditspark.llm import brown, chat, exact_dedup, licenses, mixing, packing, quality, repair, sharding, simhash, topk, warc
 from creditspark.session import shared_dir
 
 
@@ -89,6 +89,31 @@ def op11_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.digests(warc.read_archive(spark, folder))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults put in by the checksum of their place: rows dropped, emptied, cut, repeated or mis-labelled."""
+    told = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    fault = F.crc32(F.concat(told["conv_id"], F.lit(":"), told["turn"])) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.translate(told["text"], ".!?", "")).otherwise(told["text"])
+    role = F.when(fault == 4, "user").otherwise(told["role"])
+    times = F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1)
+    return turns.select("conv_id", "turn", role.alias("role"), text.alias("text"),
+                        F.explode(F.array_repeat(F.lit(0), times)).alias("copy")).drop("copy")
+
+
+def op13_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults, cheapest repair and digest of the repaired turns of every conversation, after damage."""
+    turns = read(spark, sf, "conversations")
+    report, repaired = repair.repair(damaged(turns))
+    digests = repair.turn_digests(repaired).select(F.col("conv_id").alias("_digested"), "sha256")
+    found = report.withColumnRenamed("conv_id", "_id").join(digests, F.col("_id").eqNullSafe(F.col("_digested")), "left")
+    every = turns.select("conv_id").distinct()
+    count = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("_id")), "left").select(
+        "conv_id", F.when(F.col("_id").isNull() & F.col("audit").isNull(), F.lit(0).cast("long")).otherwise(F.col("gaps")).alias("gaps"),
+        *[count(c) for c in ("blank", "duplicate", "truncated", "illegal", "cost")],
+        F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(b""), 256)).alias("repaired_sha256"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality": op2_quality,
@@ -101,9 +126,65 @@ QUERIES = {
     "op9_brown": op9_brown,
     "op10_topk": op10_topk,
     "op11_warc": op11_warc,
+    "op13_repair": op13_repair,
 }
 
 SQL = {
+    "op13_repair": r"""
+        WITH RECURSIVE c AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   list_reduce(list_prepend(4294967295::BIGINT, [ord(x)::BIGINT FOR x IN string_split(
+                       coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), '')]),
+                       LAMBDA c, b: list_reduce(list_prepend(xor(c, b), range(8)),
+                                                LAMBDA a, i: xor(a >> 1, 3988292384 * (a & 1)))) AS crc
+            FROM conversations),
+        d AS (
+            SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+                   CASE fault WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM (SELECT *, (4294967295 - crc) % 20 AS fault FROM c),
+                 LATERAL (SELECT unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)))),
+        o AS (
+            SELECT *, row_number() OVER w AS i, substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER w AS previous
+            FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(role) || ':' || role || text))),
+        f AS (
+            SELECT *, CASE WHEN regexp_full_match(text, '[\x20\x09-\x0D]*') THEN 'blank'
+                           WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+                           WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM o),
+        facts AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+                   count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+                   count(*) FILTER (fault = 'truncated') AS truncated,
+                   count(*) FILTER (previous || initial NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+            FROM f GROUP BY conv_id),
+        m(q, ins, q2, price, said) AS (VALUES
+            (0, '', 0, 0, ''), (0, 'I', 2, 3, chr(10) || 'user:'), (0, 'II', 3, 6, chr(10) || 'user:' || chr(10) || 'assistant:'),
+            (1, '', 1, 0, ''), (1, 'I', 2, 3, chr(10) || 'user:'), (1, 'II', 3, 6, chr(10) || 'user:' || chr(10) || 'assistant:'),
+            (2, '', 2, 0, ''), (2, 'I', 3, 3, chr(10) || 'assistant:'), (3, '', 3, 0, ''), (3, 'I', 2, 3, chr(10) || 'user:')),
+        a(q, letter, initial, q3, price) AS (VALUES
+            (0, 'K', 's', 1, 0), (0, 'K', 'u', 2, 0), (1, 'K', 'u', 2, 0), (2, 'K', 'a', 3, 0), (3, 'K', 'u', 2, 0),
+            (0, 'R', NULL, 2, 3), (1, 'R', NULL, 2, 3), (2, 'R', NULL, 3, 3), (3, 'R', NULL, 2, 3),
+            (0, 'D', NULL, 0, 4), (1, 'D', NULL, 1, 4), (2, 'D', NULL, 2, 4), (3, 'D', NULL, 3, 4)),
+        s AS (
+            SELECT conv_id, 0::BIGINT AS i, 0 AS q, {'cost': 0::BIGINT, 'audit': '', 'said': ''} AS best FROM facts
+            UNION ALL
+            SELECT s.conv_id, f.i, a.q3, min({
+                'cost': s.best.cost + m.price + a.price + CASE WHEN a.letter <> 'D' AND f.fault = 'truncated' THEN 3 ELSE 0 END,
+                'audit': s.best.audit || m.ins || a.letter,
+                'said': s.best.said || m.said || CASE a.letter WHEN 'D' THEN '' ELSE chr(10) || CASE WHEN a.letter = 'K' THEN f.role
+                    WHEN a.q3 = 2 THEN 'user' ELSE 'assistant' END || ':' || f.text END})
+            FROM s JOIN f ON f.conv_id IS NOT DISTINCT FROM s.conv_id AND f.i = s.i + 1
+            JOIN m ON m.q = s.q JOIN a ON a.q = m.q2 AND (a.initial IS NULL OR a.initial = f.initial)
+            WHERE a.letter = 'D' OR f.fault NOT IN ('blank', 'duplicate')
+            GROUP BY s.conv_id, f.i, a.q3),
+        e AS (
+            SELECT s.conv_id, min({'cost': s.best.cost + m.price, 'audit': s.best.audit || m.ins, 'said': s.best.said || m.said}) AS best
+            FROM s JOIN facts ON facts.conv_id IS NOT DISTINCT FROM s.conv_id AND s.i = facts.n JOIN m ON m.q = s.q
+            WHERE m.q2 IN (0, 3) GROUP BY s.conv_id)
+        SELECT x.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(e.best.cost, 0) AS cost,
+               coalesce(e.best.audit, '') AS audit, sha256(coalesce(substr(e.best.said, 2), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) x
+        LEFT JOIN facts ON facts.conv_id IS NOT DISTINCT FROM x.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM x.conv_id""",
     "op11_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
         f AS (SELECT *, row_number() OVER (PARTITION BY payload_digest ORDER BY page_id NULLS LAST) AS n,

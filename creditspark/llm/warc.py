@@ -255,15 +255,19 @@ def read_archive(spark: SparkSession, folder: str) -> DataFrame:
     return _files(spark, folder).mapInArrow(unpack, RECORD)
 
 
+def record_map(content: bytes) -> list[list[str]]:
+    """Identifier, frame, offset and length of every record, from the frame before the seek table."""
+    start, packed, _, _ = seek_table(content)[-1]
+    text = zstandard.ZstdDecompressor().decompressobj().decompress(content[start + SKIPPABLE.size:start + packed])
+    return [line.split("\t") for line in text.decode().splitlines()]
+
+
 def read_index(spark: SparkSession, folder: str) -> DataFrame:
     """Where every record lies: ``record_id``, ``path``, ``frame``, ``offset`` in the frame, ``length``. Unpacks no record."""
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                content = batch.column("content")[at].as_py()
-                start, packed, _, _ = seek_table(content)[-1]
-                text = zstandard.ZstdDecompressor().decompressobj().decompress(content[start + SKIPPABLE.size:start + packed])
-                ids, frames, offsets, lengths = zip(*(line.split("\t") for line in text.decode().splitlines()))
+                ids, frames, offsets, lengths = zip(*record_map(batch.column("content")[at].as_py()))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(ids), pa.array([batch.column("path")[at].as_py()] * len(ids)),
                     pa.array(map(int, frames), pa.int32()), pa.array(map(int, offsets), pa.int64()),
