@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from creditspark.llm import brown, chat, exact_dedup, licenses, mixing, packing, quality, repair, sharding, simhash, topk, warc
+from creditspark.llm import brown, chat, exact_dedup, licenses, mixing, negatives, packing, quality, repair, sharding, simhash, topk, warc
 from creditspark.session import shared_dir
 
 
@@ -89,6 +89,13 @@ def op11_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.digests(warc.read_archive(spark, folder))
 
 
+def op12_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives of every hundredth vector and its five positives; every seventh label is moved on by one."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    table = read(spark, sf, "embeddings").withColumn("label", moved)
+    return negatives.mine(table, F.col("vec_id") % 100 == 0)
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """Conversations with faults put in by the checksum of their place: rows dropped, emptied, cut, repeated or mis-labelled."""
     told = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
@@ -126,10 +133,28 @@ QUERIES = {
     "op9_brown": op9_brown,
     "op10_topk": op10_topk,
     "op11_warc": op11_warc,
+    "op12_negatives": op12_negatives,
     "op13_repair": op13_repair,
 }
 
 SQL = {
+    "op12_negatives": """
+        WITH v AS (
+            SELECT vec_id, row_number() OVER () AS r, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   [floor(256 * x::DOUBLE)::BIGINT FOR x IN embedding] AS e
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+        s AS (
+            SELECT q.vec_id AS anchor_id, q.r AS anchor, c.vec_id, c.r, q.label = c.label AS same,
+                   list_dot_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+            FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 100 = 0),
+        p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id) AS place FROM s WHERE same)
+              WHERE place <= 5)
+        SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM (
+            SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+                   row_number() OVER (PARTITION BY p.anchor, p.r ORDER BY n.score DESC, n.vec_id) AS rank
+            FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+        WHERE rank <= 5""",
     "op13_repair": r"""
         WITH RECURSIVE c AS (
             SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
