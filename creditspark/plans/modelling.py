@@ -1,4 +1,7 @@
-"""Training jobs on Spark ML: splits, out-of-fold scoring, search, ensembles, importances."""
+"""Training jobs: single fits, out-of-fold scoring, search, ensembles, importances.
+
+What crosses folds is in :mod:`creditspark.plans.folds`; here are the jobs made of it.
+"""
 
 from __future__ import annotations
 
@@ -10,41 +13,31 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import Imputer, VectorAssembler
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from creditspark.functions.columns import weighted_mean
-from creditspark.operators.align import append_rows, numeric_columns
-from creditspark.operators.encode import EncodingModel
-from creditspark.operators.profile import null_flags
+from creditspark.operators.align import append_rows, categorical_columns, numeric_columns, to_long
+from creditspark.operators.encode import fit_levels, indicator_columns
+from creditspark.operators.profile import CARDINALITY_THRESHOLD
 from creditspark.operators.ranks import auc_from_counts, holdout_flag, roc_auc, stratified_folds
 from creditspark.operators.stats import cv_stability
+from creditspark.plans.folds import FEATURES, SEED, WEIGHT, FoldRows, fold_means
 from creditspark.session import materialize
 from creditspark.sources.files import class_one
 
-SEED = 98
-DUMMY_LEVELS = 1000
-WEIGHT = "_weight"
-FEATURES = "_features"
-
 
 # ---- inputs --------------------------------------------------------------------------------
 
 def training_facts(df: DataFrame, columns: Sequence[str], label: str) -> tuple[list[str], list[str], dict]:
-    """Columns with some NULLs, columns with nothing else, and rows per class, in one pass."""
-    found = null_flags(df, columns, [label]).groupBy(label, "column").agg(
-        F.sum("value").alias("missing"), F.count("*").alias("n")).collect()
-    missing, rows, classes = dict.fromkeys(columns, 0), dict.fromkeys(columns, 0), {}
-    for r in found:
-        missing[r["column"]] += r["missing"]
-        rows[r["column"]] += r["n"]
-        if r[label] is not None:
-            classes[r[label]] = r["n"]
-    return ([c for c in columns if 0 < missing[c] < rows[c]], [c for c in columns if missing[c] == rows[c]], classes)
+    """Columns with some NULLs, columns with nothing else, and rows per class, from one aggregate per class."""
+    found = df.groupBy(label).agg(F.count("*").alias("n"), *[F.count(c).alias(f"k{i}") for i, c in enumerate(columns)]).collect()
+    rows = sum(r["n"] for r in found)
+    known = [sum(r[f"k{i}"] for r in found) for i in range(len(columns))]
+    return ([c for c, k in zip(columns, known) if 0 < k < rows], [c for c, k in zip(columns, known) if k == 0],
+            {r[label]: r["n"] for r in found if r[label] is not None})
 
 
 def add_flags(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -58,10 +51,10 @@ def as_doubles(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def vector_stages(columns: Sequence[str], flagged: Sequence[str]) -> list:
-    """Median imputation in place, then one vector."""
+    """Median imputation in place (of every column: later rows may lack what training rows had), then one vector."""
     stages = []
-    if flagged:
-        stages.append(Imputer(strategy="median", inputCols=list(flagged), outputCols=list(flagged)))
+    if columns:
+        stages.append(Imputer(strategy="median", inputCols=list(columns), outputCols=list(columns)))
     inputs = [*columns, *[f"{c}__missing" for c in flagged]]
     stages.append(VectorAssembler(inputCols=inputs, outputCol=FEATURES))
     return stages
@@ -86,10 +79,16 @@ def classifiers(label: str, trees: int = 100, rounds: int = 20, depth: int = 5,
 
 
 class Trainer:
-    """Fits one classifier on prepared columns; what it learns about gaps comes from the rows it is given."""
+    """Fits one classifier on prepared columns; what it learns about gaps comes from the rows it is given.
+
+    ``encoded`` text columns become label means in cross-validation, learnt anew for each training set.
+    """
+
+    def __init__(self, classifier, columns: Sequence[str], label: str, encoded: Sequence[str] = ()):
+        self.classifier, self.columns, self.label, self.encoded = classifier, list(columns), label, list(encoded)
 
-    def __init__(self, classifier, columns: Sequence[str], label: str):
-        self.classifier, self.columns, self.label = classifier, list(columns), label
+    def fold_rows(self, df: DataFrame, key: str, folds: int = 5, repeats: int = 3, seed: int = SEED) -> FoldRows:
+        return FoldRows.build(df, key, self.label, self.columns, self.encoded, folds, repeats, seed)
 
     def fit(self, df: DataFrame) -> FittedModel:
         columns = list(self.columns)
@@ -109,12 +108,7 @@ class FittedModel:
         self.model, self.columns, self.flagged = model, columns, flagged
 
     def transform(self, df: DataFrame) -> DataFrame:
-        rows = add_flags(as_doubles(df, self.columns), self.flagged)
-        if self.columns:
-            # a gap in a column that had none in training still needs a value: 0 as in a scaled mean
-            safe = {c: F.coalesce(F.col(c), F.lit(0.0)) for c in self.columns if c not in self.flagged}
-            rows = rows.withColumns(safe) if safe else rows
-        return self.model.transform(rows)
+        return self.model.transform(add_flags(as_doubles(df, self.columns), self.flagged))
 
     def probability(self, df: DataFrame, keep: Sequence[str], name: str = "p") -> DataFrame:
         return self.transform(df).select(*keep, class_one().alias(name))
@@ -135,23 +129,8 @@ def train_validation(df: DataFrame, key: str, seed: int = SEED, percent: int = 8
 
 def out_of_fold(trainer: Trainer, df: DataFrame, key: str, folds: int = 5, repeats: int = 3,
                 seed: int = SEED, parallelism: int = 4) -> DataFrame:
-    """Held-out probability of every row in every repeat: key, label, repeat, fold, p.
-
-    Fits are independent, so ``parallelism`` of them are submitted at a time.
-    """
-    placed = materialize(stratified_folds(df, key, trainer.label, folds, repeats, seed))
-
-    def one(job: tuple[int, int]) -> DataFrame:
-        r, k = job
-        held = F.col(f"fold_{r}") == k
-        model = trainer.fit(placed.filter(~held))
-        part = model.probability(placed.filter(held), [key, trainer.label])
-        return part.select(key, trainer.label, F.lit(r).alias("repeat"), F.lit(k).alias("fold"), "p")
-
-    jobs = [(r, k) for r in range(repeats) for k in range(folds)]
-    with ThreadPool(min(parallelism, len(jobs))) as pool:
-        parts = pool.map(inheritable_thread_target(df.sparkSession)(one), jobs)
-    return materialize(append_rows(*parts))
+    """Held-out probability of every row in every repeat: key, label, repeat, fold, p."""
+    return trainer.fold_rows(df, key, folds, repeats, seed).out_of_fold(trainer.classifier, parallelism)
 
 
 def mean_out_of_fold(scores: DataFrame, key: str, label: str) -> DataFrame:
@@ -168,28 +147,58 @@ def fold_scores(scores: DataFrame, label: str) -> DataFrame:
 def cross_validate(trainer: Trainer, df: DataFrame, key: str, folds: int = 5, repeats: int = 3,
                    seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """Out-of-fold rows, and one summary row: overall AUC with fold mean, spread, interval and stability."""
-    scores = out_of_fold(trainer, df, key, folds, repeats, seed)
-    mean = mean_out_of_fold(scores, key, trainer.label)
-    overall = roc_auc(mean, "p", trainer.label).first()["auc"]
-    stability = cv_stability(fold_scores(scores, trainer.label))
+    return summarize_scores(out_of_fold(trainer, df, key, folds, repeats, seed), key, trainer.label)
+
+
+def summarize_scores(scores: DataFrame, key: str, label: str) -> tuple[DataFrame, DataFrame]:
+    mean = mean_out_of_fold(scores, key, label)
+    overall = roc_auc(mean, "p", label).first()["auc"]
+    stability = cv_stability(fold_scores(scores, label))
     return mean, stability.select(F.lit(overall).cast("double").alias("overall_auc"), "*")
 
 
-def _numeric_rows(df: DataFrame, key: str, label: str, drop_first: bool) -> DataFrame:
-    """Numeric columns and dummies; a text column of over ``DUMMY_LEVELS`` values becomes one of label means."""
-    encoding = EncodingModel.fit(df, label, keep=[key, label], threshold=DUMMY_LEVELS)
-    return materialize(encoding.transform(df, drop_first))
+def split_by_levels(df: DataFrame, keep: Sequence[str], threshold: float = CARDINALITY_THRESHOLD) -> tuple[list[str], list[str]]:
+    """Text columns with at most ``threshold`` values, and the others; ``keep`` is left out."""
+    texts = [c for c in categorical_columns(df) if c not in keep]
+    if not texts:
+        return [], []
+    found = to_long(df, texts, kind="string").filter(F.col("value").isNotNull()).distinct().groupBy("column").count().collect()
+    many = {r["column"] for r in found if r["count"] > threshold}
+    return [c for c in texts if c not in many], [c for c in texts if c in many]
+
+
+def with_indicators(df: DataFrame, key: str, label: str, drop_first: bool,
+                    threshold: float = CARDINALITY_THRESHOLD) -> tuple[DataFrame, list[str], list[str]]:
+    """Key, label, numeric columns and dummies of text columns with few values, stored with the other text columns as
+    they are; and the names of both kinds."""
+    low, high = split_by_levels(df, [key, label], threshold)
+    numbers = [c for c in numeric_columns(df) if c not in (key, label)]
+    made = indicator_columns(fit_levels(df, low), drop_first, [key, label, *numbers, *high])
+    out = materialize(df.select(key, label, *numbers, *made, *high))
+    return out, [c for c in out.columns if c not in (key, label, *high)], high
 
 
-def baseline(df: DataFrame, key: str, label: str, rounds: int = 20, folds: int = 5,
-             repeats: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Gradient boosting on raw numeric columns and first-dropped dummies."""
-    rows = _numeric_rows(df, key, label, drop_first=True)
-    trainer = Trainer(classifiers(label, rounds=rounds)["GradientBoosting"],
-                      [c for c in rows.columns if c not in (key, label)], label)
+def baseline(df: DataFrame, key: str, label: str, rounds: int = 20, folds: int = 5, repeats: int = 3,
+             threshold: float = CARDINALITY_THRESHOLD) -> tuple[DataFrame, DataFrame]:
+    """Gradient boosting on raw numeric columns and first-dropped dummies.
+
+    A text column of more than ``threshold`` values is one column of label means, learnt outside each held-out fold.
+    """
+    rows, columns, high = with_indicators(df, key, label, True, threshold)
+    trainer = Trainer(classifiers(label, rounds=rounds)["GradientBoosting"], columns, label, high)
     return cross_validate(trainer, rows, key, folds, repeats)
 
 
+def cross_fitted(df: DataFrame, columns: Sequence[str], key: str, label: str, folds: int = 5, seed: int = SEED) -> DataFrame:
+    """Text ``columns`` as smoothed label means of the rows outside a row's own fold, for a single fit."""
+    if not columns:
+        return df
+    placed = materialize(stratified_folds(df, key, label, folds, 1, seed).withColumn("folds", F.array("fold_0")))
+    means = fold_means(placed, columns, label, folds, 1)
+    own = {c: F.get(F.col(f"_means_{c}"), F.col("fold_0")).alias(c) for c in columns}
+    return means.select(*[own.get(c, F.col(c)) for c in df.columns])
+
+
 def score_table(rows: Sequence[tuple[str, str, float]], spark: SparkSession,
                 stages: Sequence[str] = ("post_fe", "post_tuning")) -> DataFrame:
     """(model, stage, auc) results as one row per model and one column per stage."""
@@ -218,32 +227,92 @@ def sample_params(classifier, space: Mapping[str, tuple], trials: int, seed: int
     return [{classifier.getParam(name): one(spec) for name, spec in space.items()} for _ in range(trials)]
 
 
-def random_search(trainer: Trainer, df: DataFrame, key: str, space: Mapping[str, tuple], trials: int = 20,
-                  folds: int = 3, parallelism: int = 2, seed: int = SEED) -> tuple[FittedModel, DataFrame]:
-    """Best model by mean cross-validated AUC, and one row per trial."""
-    spark = df.sparkSession
-    columns, label = list(trainer.columns), trainer.label
-    typed = as_doubles(df, columns)
-    flagged, empty, classes = training_facts(typed, columns, label)
-    columns = [c for c in columns if c not in empty]
-    rows = with_class_weights(add_flags(typed, flagged), label, classes)
-    rows = stratified_folds(rows, key, label, folds, 1, seed).withColumn(label, F.col(label).cast("double"))
-    vectors = Pipeline(stages=vector_stages(columns, flagged)).fit(rows)
-    ready = materialize(vectors.transform(rows).select(key, label, WEIGHT, FEATURES, "fold_0"))
+def shown(params: Mapping) -> str:
+    return ", ".join(f"{p.name}={v:.6g}" if isinstance(v, float) else f"{p.name}={v}" for p, v in params.items())
 
+
+def _trial_aucs(scores: DataFrame, label: str) -> dict[int, float]:
+    """Mean AUC over folds of every trial."""
+    per_fold = roc_auc(scores, "p", label, ["trial", "repeat", "fold"])
+    return {r["trial"]: r["auc"] for r in per_fold.groupBy("trial").agg(F.avg("auc").alias("auc")).collect() if r["auc"] is not None}
+
+
+def halving_search(rows: FoldRows, classifier, maps: Sequence[Mapping], budgets: Sequence[int] = (25, 50, 100),
+                   parallelism: int = 4, seed: int = SEED) -> dict[int, tuple[int, float]]:
+    """Per trial, the largest budget (percent of the training rows) it was fitted on, and its AUC there.
+
+    All trials start on the first budget; the better half of them goes on to the next, and the last budget is all rows.
+    Smaller budgets are parts of larger ones. Held-out folds are scored whole, and every fold's facts come from its own
+    training rows. Logistic trials that differ in their penalty alone are fitted together on all rows at once.
+    """
+    reached: dict[int, tuple[int, float]] = {}
+    alive = list(range(len(maps)))
+    if isinstance(classifier, LogisticRegression) and {p.name for m in maps for p in m} <= {"regParam"}:
+        penalties = [next(iter(m.values()), classifier.getRegParam()) for m in maps]
+        found = rows.logistic_scores(list(rows.logistic(penalties, classifier.getMaxIter())))
+        long = found.select(rows.label, "repeat", "fold", F.posexplode("p").alias("trial", "p"))
+        return {t: (100, auc) for t, auc in _trial_aucs(long, rows.label).items()}
+    for percent in budgets:
+        part = None if percent >= 100 else holdout_flag(rows.key, seed, percent) == 1
+
+        def one(job: tuple[int, int]) -> DataFrame:
+            trial, s = job
+            model = classifier.copy(maps[trial]).fit(rows.training(s, part))
+            return rows.held_out(s, model).withColumn("trial", F.lit(trial))
+
+        with ThreadPool(parallelism) as pool:
+            parts = pool.map(inheritable_thread_target(rows.rows.sparkSession)(one), [(t, s) for t in alive for s in range(rows.sets)])
+        aucs = _trial_aucs(materialize(append_rows(*parts)), rows.label)
+        reached.update({t: (percent, aucs[t]) for t in alive if t in aucs})
+        alive = sorted((t for t in alive if t in aucs), key=lambda t: -aucs[t])
+        alive = alive[:max(1, -(-len(alive) // 2))]
+    return reached
+
+
+def search_params(trainer: Trainer, rows: FoldRows, space: Mapping[str, tuple], trials: int = 20,
+                  budgets: Sequence[int] = (25, 50, 100), parallelism: int = 4, seed: int = SEED) -> tuple[dict, DataFrame]:
+    """Best parameters by mean cross-validated AUC, and one row per trial with the budget it reached."""
     maps = sample_params(trainer.classifier, space, trials, seed)
-    search = CrossValidator(
-        estimator=trainer.classifier, estimatorParamMaps=maps, numFolds=folds, foldCol="fold_0",
-        parallelism=parallelism,
-        evaluator=BinaryClassificationEvaluator(labelCol=label, metricName="areaUnderROC", numBins=0))
-    found = search.fit(ready)
-    best = FittedModel(PipelineModel([*vectors.stages, found.bestModel]), columns, flagged)
-    trials_out = [
-        (i, ", ".join(f"{p.name}={v:.6g}" if isinstance(v, float) else f"{p.name}={v}" for p, v in m.items()),
-         float(score))
-        for i, (m, score) in enumerate(zip(maps, found.avgMetrics))
-    ]
-    return best, spark.createDataFrame(trials_out, "trial int, params string, auc double")
+    found = halving_search(rows, trainer.classifier, maps, budgets, parallelism, seed)
+    table = [(i, shown(m), *found.get(i, (None, None))) for i, m in enumerate(maps)]
+    best = max(found, key=lambda t: (found[t][0], found[t][1], -t)) if found else 0
+    return maps[best], rows.rows.sparkSession.createDataFrame(table, "trial int, params string, percent int, auc double")
+
+
+def random_search(trainer: Trainer, df: DataFrame, key: str, space: Mapping[str, tuple], trials: int = 20,
+                  folds: int = 3, parallelism: int = 4, seed: int = SEED,
+                  budgets: Sequence[int] = (25, 50, 100)) -> tuple[FittedModel, DataFrame]:
+    """The best trial fitted on all rows, and one row per trial."""
+    params, table = search_params(trainer, trainer.fold_rows(df, key, folds, 1, seed), space, trials, budgets, parallelism, seed)
+    return Trainer(trainer.classifier.copy(params), trainer.columns, trainer.label).fit(df), table
+
+
+#: Ranges of the search, per model.
+SPACES = {
+    "GradientBoosting": {"maxIter": ("int", 10, 40), "maxDepth": ("int", 2, 6), "stepSize": ("log", 0.03, 0.3),
+                         "subsamplingRate": ("uniform", 0.6, 1.0), "minInstancesPerNode": ("int", 1, 30)},
+    "RandomForest": {"numTrees": ("int", 50, 150), "maxDepth": ("int", 3, 8), "subsamplingRate": ("uniform", 0.6, 1.0),
+                     "featureSubsetStrategy": ("choice", "sqrt", "log2", "onethird")},
+    "Logistic": {"regParam": ("log", 1e-4, 10.0)},
+}
+
+
+def compare_models(df: DataFrame, key: str, label: str, columns: Sequence[str], encoded: Sequence[str] = (),
+                   folds: int = 5, repeats: int = 3, trials: int = 20, search_folds: int = 3,
+                   spaces: Mapping[str, Mapping] = SPACES, **sizes: int) -> tuple[DataFrame, dict[tuple[str, str], DataFrame]]:
+    """Every model cross-validated as first set up and after its search: a table (model, stage, overall AUC), and the
+    mean held-out probability of every row per (model, stage)."""
+    models = classifiers(label, **sizes)
+    rows = FoldRows.build(df, key, label, columns, encoded, folds, repeats)
+    searching = FoldRows.build(df, key, label, columns, encoded, search_folds, 1, seed=SEED + repeats)
+    table, scores = [], {}
+    for name, classifier in models.items():
+        params, _ = search_params(Trainer(classifier, columns, label, encoded), searching, spaces[name], trials)
+        for stage, chosen in (("post_fe", classifier), ("post_tuning", classifier.copy(params))):
+            mean, summary = summarize_scores(rows.out_of_fold(chosen), key, label)
+            scores[name, stage] = mean
+            table.append((name, stage, summary.first()["overall_auc"]))
+    return score_table(table, df.sparkSession), scores
 
 
 # ---- ensembles -----------------------------------------------------------------------------
@@ -252,6 +321,32 @@ def soft_vote(cols: Sequence[str]) -> Column:
     return weighted_mean([1.0] * len(cols), cols)
 
 
+def out_of_fold_models(rows: FoldRows, models: Mapping[str, object]) -> DataFrame:
+    """Held-out probability of every model in one row per (row, repeat): key, label, repeat, fold, p_<model>."""
+    out = None
+    for name, classifier in models.items():
+        scored = rows.out_of_fold(classifier).withColumnRenamed("p", f"p_{name}")
+        out = scored if out is None else out.join(scored.select(rows.key, "repeat", f"p_{name}"), [rows.key, "repeat"])
+    return materialize(out)
+
+
+def voted(scores: DataFrame, key: str, label: str, columns: Sequence[str], steps: int = 10) -> tuple[DataFrame, list[float]]:
+    """Mean held-out probabilities per row with the equal and the weighted vote, and the weights.
+
+    The weights are the best on the simplex grid for the held-out means, so that no model is weighed on rows it has seen.
+    """
+    mean = materialize(scores.groupBy(key).agg(F.max(label).alias(label), *[F.avg(c).alias(c) for c in columns]))
+    weights, _ = best_weights(mean, columns, label, steps)
+    return mean.withColumns({"soft": soft_vote(columns), "weighted": weighted_mean(weights, columns)}), weights
+
+
+def vote_stability(scores: DataFrame, label: str, columns: Sequence[str], weights: Sequence[float]) -> DataFrame:
+    """Fold AUCs with spread, interval and tier, one row per model and vote."""
+    every = scores.withColumns({"soft": soft_vote(columns), "weighted": weighted_mean(weights, columns)})
+    long = to_long(every, [*columns, "soft", "weighted"], [label, "repeat", "fold"], name="model", value="p")
+    return cv_stability(roc_auc(long, "p", label, ["model", "repeat", "fold"]), keys=["model"])
+
+
 def weight_grid(models: int, steps: int) -> list[list[float]]:
     """All weight vectors in multiples of 1/steps that sum to 1."""
     out = []
@@ -304,16 +399,20 @@ def model_importance(models: Sequence[Transformer], names: Sequence[str], spark:
         .orderBy(F.desc("importance"), "feature")
 
 
-def forest_importance(df: DataFrame, key: str, label: str, trees: int = 100) -> DataFrame:
-    """Random-forest importance of numeric columns and all-level dummies after median imputation."""
-    rows = _numeric_rows(df, key, label, drop_first=False)
+def forest_importance(df: DataFrame, key: str, label: str, trees: int = 100,
+                      threshold: float = CARDINALITY_THRESHOLD) -> DataFrame:
+    """Random-forest importance of numeric columns and all-level dummies after median imputation.
+
+    A text column of more than ``threshold`` values is one column of label means outside each row's own fold, so that a
+    value per row gains no importance by holding its own label.
+    """
+    rows, _, high = with_indicators(df, key, label, False, threshold)
+    rows = cross_fitted(rows, high, key, label)
     columns = [c for c in rows.columns if c not in (key, label)]
     rows = as_doubles(rows, [*columns, label])
-    gaps, empty, _ = training_facts(rows, columns, label)
+    _, empty, _ = training_facts(rows, columns, label)
     columns = [c for c in columns if c not in empty]
-    stages = [Imputer(strategy="median", inputCols=gaps, outputCols=gaps)] if gaps else []
-    stages += [VectorAssembler(inputCols=columns, outputCol=FEATURES),
-               RandomForestClassifier(labelCol=label, featuresCol=FEATURES, numTrees=trees, seed=SEED)]
+    stages = [*vector_stages(columns, []), RandomForestClassifier(labelCol=label, featuresCol=FEATURES, numTrees=trees, seed=SEED)]
     model = Pipeline(stages=stages).fit(rows)
     return model_importance([model.stages[-1]], columns, df.sparkSession)
 

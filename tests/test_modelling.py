@@ -74,6 +74,8 @@ def test_random_search_returns_the_best_trial(separable):
     space = {"regParam": ("log", 1e-4, 10.0), "elasticNetParam": ("choice", 0.0, 1.0), "maxIter": ("int", 5, 10)}
     best, trials = M.random_search(trainer("Logistic"), separable, "id", space, trials=3, folds=2)
     assert trials.count() == 3 and trials.agg({"auc": "max"}).first()[0] > 0.9
+    # three trials on a quarter of the rows, two on a half, one on all
+    assert sorted(r.percent for r in trials.collect()) == [25, 50, 100]
     assert roc_auc(best.probability(separable, ["y"]), "p", "y").first().auc > 0.9
     classifier = trainer("Logistic").classifier
     again = M.sample_params(classifier, space, 3)
@@ -127,3 +129,44 @@ def test_baseline_and_score_table(spark, separable):
     rows = [("a", "post_fe", 0.7), ("a", "post_tuning", 0.75), ("b", "post_fe", 0.6)]
     got = {r.model: (r.post_fe, r.post_tuning) for r in M.score_table(rows, spark).collect()}
     assert got == {"a": (0.7, 0.75), "b": (0.6, None)}
+
+
+def test_penalties_are_searched_together(separable):
+    best, trials = M.random_search(trainer("Logistic"), separable, "id", {"regParam": ("log", 1e-4, 10.0)}, trials=6, folds=2)
+    rows = trials.collect()
+    assert [r.percent for r in rows] == [100] * 6
+    chosen = best.model.stages[-1].getRegParam()
+    top = max(rows, key=lambda r: r.auc)
+    assert top.params == f"regParam={chosen:.6g}"
+    one = trainer("Logistic").classifier
+    alone = M.cross_validate(M.Trainer(one.copy({one.regParam: chosen}), COLUMNS, "y"), separable, "id", folds=2, repeats=1)[1].first()
+    assert alone.mean_score == pytest.approx(top.auc, abs=1e-9)
+
+
+def test_votes_of_cross_validated_models(spark, separable, tmp_path):
+    import duckdb
+
+    rows = trainer("Logistic").fold_rows(separable, "id", 2, 2)
+    models = {n: trainer(n).classifier for n in ("RandomForest", "Logistic")}
+    scores = M.out_of_fold_models(rows, models)
+    columns = ["p_RandomForest", "p_Logistic"]
+    assert scores.count() == 800 and scores.dropna().count() == 800
+    mean, weights = M.voted(scores, "id", "y", columns)
+    mean.write.parquet(f"{tmp_path}/votes")
+    scores.write.parquet(f"{tmp_path}/scores")
+    wrong = duckdb.sql(f"""
+        WITH m AS (SELECT id, avg(p_RandomForest) AS f, avg(p_Logistic) AS l FROM '{tmp_path}/scores/*.parquet' GROUP BY id)
+        SELECT count(*) FROM m JOIN '{tmp_path}/votes/*.parquet' v USING (id)
+        WHERE abs(v.soft - (f + l) / 2) > 1e-12 OR abs(v.weighted - ({weights[0]} * f + {weights[1]} * l)) > 1e-12""").fetchone()[0]
+    assert wrong == 0 and mean.count() == 400
+    found = {r.model: r for r in M.vote_stability(scores, "y", columns, weights).collect()}
+    assert set(found) == {*columns, "soft", "weighted"} and all(r.n_folds == 4 and r.mean_score > 0.85 for r in found.values())
+
+
+def test_compare_models(separable):
+    spaces = {"GradientBoosting": {"maxDepth": ("int", 2, 3)}, "RandomForest": {"maxDepth": ("int", 2, 4)}, "Logistic": M.SPACES["Logistic"]}
+    table, scores = M.compare_models(separable, "id", "y", COLUMNS, folds=2, repeats=1, trials=2, search_folds=2, spaces=spaces,
+                                     trees=5, rounds=2)
+    rows = table.collect()
+    assert {r.model for r in rows} == set(spaces) and all(r.post_fe > 0.85 and r.post_tuning > 0.85 for r in rows)
+    assert len(scores) == 6 and all(s.count() == 400 for s in scores.values())
