@@ -157,7 +157,7 @@ def test_votes_of_cross_validated_models(spark, separable, tmp_path):
     wrong = duckdb.sql(f"""
         WITH m AS (SELECT id, avg(p_RandomForest) AS f, avg(p_Logistic) AS l FROM '{tmp_path}/scores/*.parquet' GROUP BY id)
         SELECT count(*) FROM m JOIN '{tmp_path}/votes/*.parquet' v USING (id)
-        WHERE abs(v.soft - (f + l) / 2) > 1e-12 OR abs(v.weighted - ({weights[0]} * f + {weights[1]} * l)) > 1e-12""").fetchone()[0]
+        WHERE abs(v.soft - (f + l) / 2) > 1e-12 OR abs(v.weighted - ({weights[0]} * f + {weights[1]} * l)) > 1e-12""").fetchall()[0][0]
     assert wrong == 0 and mean.count() == 400
     found = {r.model: r for r in M.vote_stability(scores, "y", columns, weights).collect()}
     assert set(found) == {*columns, "soft", "weighted"} and all(r.n_folds == 4 and r.mean_score > 0.85 for r in found.values())
