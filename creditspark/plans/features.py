@@ -251,6 +251,26 @@ def fit_behaviour(df: DataFrame) -> dict:
     return {"means": means, "low": min(lows, default=None), "high": max(highs, default=None)}
 
 
+def fold_scores(state: dict) -> dict[str, Column]:
+    """Risk scores and behavioural score for every training set, over the label means ``_risk_<column>`` per set.
+
+    Other parts of the score, and its range, do not depend on labels outside the means, and stay as fitted.
+    """
+    risks = {"OCCUPATION_RISK_SCORE": F.col(f"_risk_{OCCUPATION}"), "REGION_RISK_SCORE": F.col(f"_risk_{REGION}")}
+    others = state["means"]
+
+    def score(occupation: Column, region: Column) -> Column:
+        at = {"OCCUPATION_RISK_SCORE": occupation, "REGION_RISK_SCORE": region}
+        total = F.lit(0.0)
+        for name, weight, inverted in BEHAVIOUR_PARTS:
+            x = at[name] if name in at else F.coalesce(F.col(name).cast("double"), F.lit(others[name]).cast("double"))
+            total = total + weight * ((1 - x) if inverted else x)
+        low, high = state["low"], state["high"]
+        return total if low is None or high == low else (total - F.lit(low)) / F.lit(high - low)
+
+    return {**risks, "BEHAVIORAL_SCORE": F.zip_with(*risks.values(), score)}
+
+
 def behavioural_score(state: dict) -> Column:
     """Score scaled by the fitted range; NULL when the range is empty."""
     if state["low"] is None:

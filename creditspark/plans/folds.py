@@ -15,6 +15,7 @@ Tree models are fitted one set at a time by Spark ML, on the same stored rows an
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
@@ -36,6 +37,7 @@ from creditspark.sources.files import class_one
 
 SEED = 98
 CUTS = 1000
+ROWS_PER_TASK = 20_000
 WEIGHT = "_weight"
 FEATURES = "_features"
 CLASSES = (0.0, 1.0)
@@ -376,21 +378,25 @@ class FoldRows:
         varying = [F.col("v")[j * self.sets + s] for j in range(len(self.varying))]
         return array_to_vector(F.array(*fixed, *flags, *varying))
 
+    def _packed(self, rows: DataFrame) -> DataFrame:
+        """``rows`` in no more partitions than their number is worth: a boosted tree runs hundreds of short jobs."""
+        return rows.coalesce(max(1, math.ceil(self.facts().rows[0].sum() / ROWS_PER_TASK)))
+
     def training(self, s: int, part: Column | None = None) -> DataFrame:
         """Weighted rows of training set ``s`` (or those of them in ``part``)."""
         weights = self.facts().weights[s]
         weight = F.when(F.col(self.label) == 1, float(weights[1])).otherwise(float(weights[0]))
         rows = self.rows.filter(F.col("folds")[s // self.folds] != s % self.folds)
         rows = rows if part is None else rows.filter(part)
-        return rows.select(self.label, weight.alias(WEIGHT), self.features(s).alias(FEATURES))
+        return self._packed(rows).select(self.label, weight.alias(WEIGHT), self.features(s).alias(FEATURES))
 
     def held_out(self, s: int, model: Model, name: str = "p") -> DataFrame:
         rows = self.rows.filter(F.col("folds")[s // self.folds] == s % self.folds)
-        ready = rows.select(self.key, self.label, self.features(s).alias(FEATURES))
+        ready = self._packed(rows).select(self.key, self.label, self.features(s).alias(FEATURES))
         return model.transform(ready).select(
             self.key, self.label, F.lit(s // self.folds).alias("repeat"), F.lit(s % self.folds).alias("fold"), class_one().alias(name))
 
-    def out_of_fold(self, classifier, parallelism: int = 4) -> DataFrame:
+    def out_of_fold(self, classifier, parallelism: int = 8) -> DataFrame:
         """Held-out probability of every row in every repeat: key, label, repeat, fold, p."""
         if isinstance(classifier, LogisticRegression) and not classifier.getElasticNetParam() and classifier.getFitIntercept():
             found = self.logistic([classifier.getRegParam()], classifier.getMaxIter())

@@ -24,7 +24,7 @@ from creditspark.operators.encode import fit_levels, indicator_columns
 from creditspark.operators.profile import CARDINALITY_THRESHOLD
 from creditspark.operators.ranks import auc_from_counts, holdout_flag, roc_auc, stratified_folds
 from creditspark.operators.stats import cv_stability
-from creditspark.plans.folds import FEATURES, SEED, WEIGHT, FoldRows, fold_means
+from creditspark.plans.folds import FEATURES, ROWS_PER_TASK, SEED, WEIGHT, FoldRows, fold_means
 from creditspark.session import materialize
 from creditspark.sources.files import class_one
 
@@ -128,7 +128,7 @@ def train_validation(df: DataFrame, key: str, seed: int = SEED, percent: int = 8
 
 
 def out_of_fold(trainer: Trainer, df: DataFrame, key: str, folds: int = 5, repeats: int = 3,
-                seed: int = SEED, parallelism: int = 4) -> DataFrame:
+                seed: int = SEED, parallelism: int = 8) -> DataFrame:
     """Held-out probability of every row in every repeat: key, label, repeat, fold, p."""
     return trainer.fold_rows(df, key, folds, repeats, seed).out_of_fold(trainer.classifier, parallelism)
 
@@ -167,15 +167,16 @@ def split_by_levels(df: DataFrame, keep: Sequence[str], threshold: float = CARDI
     return [c for c in texts if c not in many], [c for c in texts if c in many]
 
 
-def with_indicators(df: DataFrame, key: str, label: str, drop_first: bool,
-                    threshold: float = CARDINALITY_THRESHOLD) -> tuple[DataFrame, list[str], list[str]]:
-    """Key, label, numeric columns and dummies of text columns with few values, stored with the other text columns as
-    they are; and the names of both kinds."""
+def with_indicators(df: DataFrame, key: str, label: str, drop_first: bool, threshold: float = CARDINALITY_THRESHOLD,
+                    carried: Sequence[str] = ()) -> tuple[DataFrame, list[str], list[str]]:
+    """Key, label, numeric columns and dummies of text columns with few values, stored with the other text columns (and
+    those ``carried``) as they are; and the names of both kinds."""
     low, high = split_by_levels(df, [key, label], threshold)
     numbers = [c for c in numeric_columns(df) if c not in (key, label)]
     made = indicator_columns(fit_levels(df, low), drop_first, [key, label, *numbers, *high])
-    out = materialize(df.select(key, label, *numbers, *made, *high))
-    return out, [c for c in out.columns if c not in (key, label, *high)], high
+    as_is = list(dict.fromkeys([*high, *[c for c in carried if c not in numbers]]))
+    out = materialize(df.select(key, label, *numbers, *made, *as_is))
+    return out, [c for c in out.columns if c not in (key, label, *as_is)], high
 
 
 def baseline(df: DataFrame, key: str, label: str, rounds: int = 20, folds: int = 5, repeats: int = 3,
@@ -238,7 +239,7 @@ def _trial_aucs(scores: DataFrame, label: str) -> dict[int, float]:
 
 
 def halving_search(rows: FoldRows, classifier, maps: Sequence[Mapping], budgets: Sequence[int] = (25, 50, 100),
-                   parallelism: int = 4, seed: int = SEED) -> dict[int, tuple[int, float]]:
+                   parallelism: int = 8, seed: int = SEED) -> dict[int, tuple[int, float]]:
     """Per trial, the largest budget (percent of the training rows) it was fitted on, and its AUC there.
 
     All trials start on the first budget; the better half of them goes on to the next, and the last budget is all rows.
@@ -269,21 +270,21 @@ def halving_search(rows: FoldRows, classifier, maps: Sequence[Mapping], budgets:
     return reached
 
 
-def search_params(trainer: Trainer, rows: FoldRows, space: Mapping[str, tuple], trials: int = 20,
-                  budgets: Sequence[int] = (25, 50, 100), parallelism: int = 4, seed: int = SEED) -> tuple[dict, DataFrame]:
+def search_params(classifier, rows: FoldRows, space: Mapping[str, tuple], trials: int = 20,
+                  budgets: Sequence[int] = (25, 50, 100), parallelism: int = 8, seed: int = SEED) -> tuple[dict, DataFrame]:
     """Best parameters by mean cross-validated AUC, and one row per trial with the budget it reached."""
-    maps = sample_params(trainer.classifier, space, trials, seed)
-    found = halving_search(rows, trainer.classifier, maps, budgets, parallelism, seed)
+    maps = sample_params(classifier, space, trials, seed)
+    found = halving_search(rows, classifier, maps, budgets, parallelism, seed)
     table = [(i, shown(m), *found.get(i, (None, None))) for i, m in enumerate(maps)]
     best = max(found, key=lambda t: (found[t][0], found[t][1], -t)) if found else 0
     return maps[best], rows.rows.sparkSession.createDataFrame(table, "trial int, params string, percent int, auc double")
 
 
 def random_search(trainer: Trainer, df: DataFrame, key: str, space: Mapping[str, tuple], trials: int = 20,
-                  folds: int = 3, parallelism: int = 4, seed: int = SEED,
+                  folds: int = 3, parallelism: int = 8, seed: int = SEED,
                   budgets: Sequence[int] = (25, 50, 100)) -> tuple[FittedModel, DataFrame]:
     """The best trial fitted on all rows, and one row per trial."""
-    params, table = search_params(trainer, trainer.fold_rows(df, key, folds, 1, seed), space, trials, budgets, parallelism, seed)
+    params, table = search_params(trainer.classifier, trainer.fold_rows(df, key, folds, 1, seed), space, trials, budgets, parallelism, seed)
     return Trainer(trainer.classifier.copy(params), trainer.columns, trainer.label).fit(df), table
 
 
@@ -297,22 +298,21 @@ SPACES = {
 }
 
 
-def compare_models(df: DataFrame, key: str, label: str, columns: Sequence[str], encoded: Sequence[str] = (),
-                   folds: int = 5, repeats: int = 3, trials: int = 20, search_folds: int = 3,
-                   spaces: Mapping[str, Mapping] = SPACES, **sizes: int) -> tuple[DataFrame, dict[tuple[str, str], DataFrame]]:
-    """Every model cross-validated as first set up and after its search: a table (model, stage, overall AUC), and the
-    mean held-out probability of every row per (model, stage)."""
-    models = classifiers(label, **sizes)
-    rows = FoldRows.build(df, key, label, columns, encoded, folds, repeats)
-    searching = FoldRows.build(df, key, label, columns, encoded, search_folds, 1, seed=SEED + repeats)
+def compare_models(rows: FoldRows, searching: FoldRows, models: Mapping[str, object], trials: int = 20,
+                   spaces: Mapping[str, Mapping] = SPACES) -> tuple[DataFrame, dict[tuple[str, str], DataFrame]]:
+    """Every model cross-validated on ``rows`` as first set up and after its search on ``searching``.
+
+    Returns a table of overall AUCs (one row per model, one column per stage), and per (model, stage) the mean held-out
+    probability of every row.
+    """
     table, scores = [], {}
     for name, classifier in models.items():
-        params, _ = search_params(Trainer(classifier, columns, label, encoded), searching, spaces[name], trials)
+        params, _ = search_params(classifier, searching, spaces[name], trials)
         for stage, chosen in (("post_fe", classifier), ("post_tuning", classifier.copy(params))):
-            mean, summary = summarize_scores(rows.out_of_fold(chosen), key, label)
+            mean, summary = summarize_scores(rows.out_of_fold(chosen), rows.key, rows.label)
             scores[name, stage] = mean
             table.append((name, stage, summary.first()["overall_auc"]))
-    return score_table(table, df.sparkSession), scores
+    return score_table(table, rows.rows.sparkSession), scores
 
 
 # ---- ensembles -----------------------------------------------------------------------------
@@ -422,19 +422,21 @@ def ensemble_importance(df: DataFrame, key: str, label: str, iterations: int = 5
     """Importance averaged over two weighted tree models and several 80 % samples."""
     columns = [c for c in numeric_columns(df) if c not in (key, label)]
     typed = as_doubles(df, [*columns, label])
-    gaps, empty, classes = training_facts(typed, columns, label)
+    _, empty, classes = training_facts(typed, columns, label)
     columns = [c for c in columns if c not in empty]
     rows = with_class_weights(typed, label, classes)
-    stages = [Imputer(strategy="median", inputCols=gaps, outputCols=gaps)] if gaps else []
-    stages.append(VectorAssembler(inputCols=columns, outputCol=FEATURES))
-    vectors = Pipeline(stages=stages).fit(rows).transform(rows)
-    ready = materialize(vectors.select(key, label, WEIGHT, FEATURES))
+    vectors = Pipeline(stages=vector_stages(columns, [])).fit(rows).transform(rows)
+    ready = materialize(vectors.select(key, label, WEIGHT, FEATURES).coalesce(max(1, -(-sum(classes.values()) // ROWS_PER_TASK))))
     common = {"labelCol": label, "featuresCol": FEATURES, "weightCol": WEIGHT}
-    models = []
-    for i in range(iterations):
-        sample, _ = train_validation(ready, key, SEED + i)
-        models.append(GBTClassifier(**common, maxIter=rounds, seed=SEED + i).fit(sample))
-        models.append(RandomForestClassifier(**common, numTrees=trees, seed=SEED + i).fit(sample))
+
+    def one(job: tuple[int, type, dict]) -> Transformer:
+        i, kind, size = job
+        return kind(**common, **size, seed=SEED + i).fit(train_validation(ready, key, SEED + i)[0])
+
+    jobs = [(i, kind, size) for i in range(iterations) for kind, size in (
+        (GBTClassifier, {"maxIter": rounds}), (RandomForestClassifier, {"numTrees": trees}))]
+    with ThreadPool(8) as pool:
+        models = pool.map(inheritable_thread_target(df.sparkSession)(one), jobs)
     return model_importance(models, columns, df.sparkSession)
 
 

@@ -165,8 +165,9 @@ def test_votes_of_cross_validated_models(spark, separable, tmp_path):
 
 def test_compare_models(separable):
     spaces = {"GradientBoosting": {"maxDepth": ("int", 2, 3)}, "RandomForest": {"maxDepth": ("int", 2, 4)}, "Logistic": M.SPACES["Logistic"]}
-    table, scores = M.compare_models(separable, "id", "y", COLUMNS, folds=2, repeats=1, trials=2, search_folds=2, spaces=spaces,
-                                     trees=5, rounds=2)
+    rows = trainer("Logistic").fold_rows(separable, "id", 2, 1)
+    searching = trainer("Logistic").fold_rows(separable, "id", 2, 1, seed=5)
+    table, scores = M.compare_models(rows, searching, M.classifiers("y", trees=5, rounds=2), trials=2, spaces=spaces)
     rows = table.collect()
     assert {r.model for r in rows} == set(spaces) and all(r.post_fe > 0.85 and r.post_tuning > 0.85 for r in rows)
     assert len(scores) == 6 and all(s.count() == 400 for s in scores.values())

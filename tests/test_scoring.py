@@ -19,7 +19,7 @@ def fitted(spark, tmp_path_factory):
             if f.name in (KEY, "TARGET") or not tables["client"].select(f.name).dropna().isEmpty()]
     slim = {**tables, "client": tables["client"].select(*keep, "AMT_REQ_CREDIT_BUREAU_YEAR",
                                                         "OBS_30_CNT_SOCIAL_CIRCLE", "DEF_30_CNT_SOCIAL_CIRCLE")}
-    fit_scoring(slim, "Logistic", rounds=2).save(spark, path)
+    fit_scoring(slim, "Logistic", rounds=2, trees=5, select_iterations=1, variant_iterations=1).save(spark, path)
     return tables, path
 
 
@@ -77,10 +77,10 @@ def test_selection_keeps_the_most_important_columns(spark, fitted):
                                      "FLAG_OWN_REALTY", "DAYS_EMPLOYED", "DAYS_BIRTH", "OCCUPATION_TYPE",
                                      "REGION_RATING_CLIENT_W_CITY", "OBS_30_CNT_SOCIAL_CIRCLE",
                                      "DEF_30_CNT_SOCIAL_CIRCLE", "AMT_REQ_CREDIT_BUREAU_YEAR")
-    model = fit_scoring({**tables, "client": client}, "RandomForest", select_iterations=1, trees=5, rounds=2)
+    model = fit_scoring({**tables, "client": client}, "RandomForest", select_iterations=1, trees=5, rounds=2, variant_iterations=0)
     whole = len(model.encoding.transform(model.features.transform({**tables, "client": client.withColumn(
         "OCCUPATION_TYPE_missing", client.TARGET)})).columns) - 2
-    assert len(model.selected) <= whole and "AMT_CREDIT" in model.selected
+    assert len(model.selection.kept) <= whole and "AMT_CREDIT" in model.selection.kept
     assert model.score(without_target({**tables, "client": client})).count() == 200
 
 
