@@ -1,23 +1,53 @@
 """Ordered operators without single-task windows.
 
 Running totals over a whole table, or over a key that may hold a third of it, are taken in slices: rows are
-range-partitioned by (keys, order), each slice is totalled, and the few totals per key give every slice its
-offset. Inputs are first collapsed to distinct (keys, order) tuples, so equal rows never pile up in a slice.
+range-partitioned by (keys, order) and written once, bucketed by their slice, so that windows inside a slice need no
+further shuffle. Only a key that crosses the end of a slice needs anything from outside; there are fewer of those than
+slices, and their offsets are broadcast. Inputs are first collapsed to distinct (keys, order) tuples, so equal rows never
+pile up in a slice.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditspark.operators.joins import lookup_join, measured_bytes
-from creditspark.session import materialize
+from creditspark.session import materialize, shared_dir
 
-HOT_ROWS = 1_000_000
 SLICE_ROWS = 100_000
+RANGE_LETTERS = 32
+
+
+def _range_columns(df: DataFrame, order: Sequence[str]) -> list[Column]:
+    """Columns that order rows as ``order`` does, but for texts beyond ``RANGE_LETTERS``: those that agree so far are ties."""
+    kinds, out, tied = dict(df.dtypes), [], F.lit(False)
+    for c in order:
+        text = kinds[c] in ("string", "binary")
+        out.append(F.when(~tied, F.substring(c, 1, RANGE_LETTERS) if text else F.col(c)))
+        if text:
+            tied = tied | F.coalesce(F.length(c) > RANGE_LETTERS, F.lit(False))
+            out.append(tied)
+    return out
+
+
+def in_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """``df`` in slices of (keys, order), stored in files bucketed by ``_slice``.
+
+    Ranges are cut by the first letters of texts, so that no long text is sampled to the driver.
+    """
+    ranged = df.repartitionByRange(*keys, *_range_columns(df, order)).withColumn("_slice", F.spark_partition_id())
+    spark, name = df.sparkSession, f"slices_{uuid.uuid4().hex}"
+    # twice as many buckets as slices: fewer buckets then hold several slices
+    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged.write.bucketBy(buckets, "_slice").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    stored = spark.table(name)
+    # the frame keeps its files and buckets; only the name goes
+    spark.sql(f"DROP TABLE {name}")
+    return stored
 
 
 def running_totals(df: DataFrame, order: Sequence[str], totals: Sequence[str],
@@ -28,29 +58,45 @@ def running_totals(df: DataFrame, order: Sequence[str], totals: Sequence[str],
     sum over the key, for the first total) keeps only the slices a selection needs; the others are never sorted.
     """
     keys, order = list(keys), list(order)
-    slices = df.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id())
-    slices = materialize(slices)
+    slices = in_slices(df, keys, order)
+    edges = _edges(slices, keys, totals)
 
-    per_slice = slices.groupBy(*keys, "_slice").agg(*[F.sum(t).alias(f"_in_{t}") for t in totals])
-    by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    earlier = by_key.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_slice.select(
-        *keys, "_slice",
-        *[F.coalesce(F.sum(f"_in_{t}").over(earlier), F.lit(0)).alias(f"_off_{t}") for t in totals],
-        *[F.sum(f"_in_{t}").over(by_key).alias(f"all_{t}") for t in totals],
-        F.col(f"_in_{totals[0]}").alias("_in"),
-    )
+    crossing = F.broadcast(edges)
+    same = [slices[k].eqNullSafe(edges[f"_at_{k}"]) for k in keys]
+    placed = slices.join(crossing, [slices["_slice"] == edges["_at_slice"], *same], "left")
+    by_key = Window.partitionBy("_slice", *keys)
     if wanted is not None:
-        offsets = offsets.filter(
-            wanted(F.col(f"_off_{totals[0]}"), F.col("_in"), F.col(f"all_{totals[0]}")))
-    offsets = offsets.drop("_in")
-    inside = (Window.partitionBy(*keys, "_slice").orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, -1))
-    placed = slices.join(offsets, [*keys, "_slice"])
+        # without an offset a key lies in one slice, which is then wanted whole
+        first = totals[0]
+        placed = placed.filter(F.col(f"_off_{first}").isNull() | wanted(
+            F.col(f"_off_{first}"), F.col(f"_in_{first}"), F.col(f"_all_{first}")))
+    inside = by_key.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    found = {}
     for t in totals:
-        local = F.coalesce(F.sum(t).over(inside), F.lit(0))
-        placed = placed.withColumn(f"before_{t}", local + F.col(f"_off_{t}"))
-    return placed.drop("_slice", *[f"_off_{t}" for t in totals])
+        off = F.coalesce(F.col(f"_off_{t}"), F.lit(0))
+        found[f"before_{t}"] = F.coalesce(F.sum(t).over(inside), F.lit(0)) + off
+        found[f"all_{t}"] = F.coalesce(F.col(f"_all_{t}"), F.sum(t).over(by_key))
+    return placed.select(*df.columns, *[c.alias(name) for name, c in found.items()])
+
+
+def _edges(slices: DataFrame, keys: Sequence[str], totals: Sequence[str]) -> DataFrame:
+    """For every key in more than one slice: the sums before, in and over all its slices; fewer keys than slices."""
+    crossing = slices
+    if keys:
+        key = F.struct(*keys)
+        ends = slices.groupBy("_slice").agg(F.min(key).alias("first"), F.max(key).alias("last"))
+        met = ends.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("key"))
+        several = met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+        listed = materialize(several.select(*[F.col("key")[k].alias(f"_met_{k}") for k in keys]))
+        crossing = slices.join(F.broadcast(listed), [slices[k].eqNullSafe(listed[f"_met_{k}"]) for k in keys], "left_semi")
+    per_slice = crossing.groupBy("_slice", *keys).agg(*[F.sum(t).alias(f"_in_{t}") for t in totals])
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    return materialize(per_slice.select(
+        F.col("_slice").alias("_at_slice"), *[F.col(k).alias(f"_at_{k}") for k in keys],
+        *[F.coalesce(F.sum(f"_in_{t}").over(earlier), F.lit(0)).alias(f"_off_{t}") for t in totals],
+        *[F.sum(f"_in_{t}").over(whole).alias(f"_all_{t}") for t in totals],
+        *[F.col(f"_in_{t}") for t in totals]))
 
 
 def auc_from_counts(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -157,65 +203,26 @@ def holdout_flag(key: str, seed: int = 98, train_percent: int = 80) -> Column:
     return (F.pmod(F.conv(digits, 16, 10).cast("long"), F.lit(100)) < train_percent).cast("int")
 
 
-def key_sizes(df: DataFrame, key: str) -> DataFrame:
-    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("key_rows"))
-
-
-def split_hot(df: DataFrame, key: str, limit: int = HOT_ROWS,
-              sizes: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Rows of ordinary keys, and rows of keys with more than ``limit`` rows (None when there are none).
-
-    ``sizes`` (key, ``key_rows``) spares the counting pass when the caller has it stored.
-    """
-    sizes = key_sizes(df, key) if sizes is None else sizes
-    # at most rows / limit keys, so this list is small next to the table
-    hot = materialize(sizes.filter(F.col("key_rows") > limit).select(key))
-    size = measured_bytes(hot)
-    if size == 0:
-        return df, None
-    return tuple(lookup_join(df, hot, key, how, size=size) for how in ("left_anti", "left_semi"))
-
-
-def ordered_halves(df: DataFrame, key: str, order: Sequence[str], value: str,
-                   limit: int = HOT_ROWS, sizes: DataFrame | None = None) -> DataFrame:
+def ordered_halves(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
     """Mean of ``value`` in the later half minus the earlier half of each key's ordered rows.
 
     Fewer than two rows give 0; with an odd count the extra row is in the later half; NULL values are
-    skipped and a half of only NULLs gives NULL. Rows without a key are ignored.
+    skipped and a half of only NULLs gives NULL. Rows without a key are ignored. Equal rows count together, and a
+    key of any size lies over as many slices as it fills.
     """
     order = [c for c in order if c != value]
-    rows = df.filter(F.col(key).isNotNull()).select(key, *order, value)
-    usual, hot = split_hot(rows, key, limit, sizes)
-
-    w = Window.partitionBy(key)
-    placed = usual.select(
-        key, value, F.row_number().over(w.orderBy(*order, value)).alias("_rn"),
-        F.count("*").over(w).alias("_n"))
-    early = F.col("_rn") <= F.floor(F.col("_n") / 2)
-    mean = {
-        "_early": F.avg(F.when(early, F.col(value))),
-        "_late": F.avg(F.when(~early, F.col(value))),
-    }
-    halves = placed.groupBy(key).agg(F.max("_n").alias("_n"), *[a.alias(n) for n, a in mean.items()])
-
-    if hot is not None:
-        halves = halves.unionByName(_hot_halves(hot, key, order, value))
-    trend = F.when(F.col("_n") < 2, F.lit(0.0)).otherwise(F.col("_late") - F.col("_early"))
-    return halves.select(key, trend.alias("trend"))
-
-
-def _hot_halves(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
-    """The same halves for keys too large for one window, from counts of equal rows."""
-    counts = df.groupBy(key, *order, value).agg(F.count("*").alias("n"))
+    rows = df.filter(F.col(key).isNotNull())
+    counts = rows.groupBy(key, *order, value).agg(F.count("*").alias("n"))
     placed = running_totals(counts, [*order, value], ["n"], [key])
     cut = F.floor(F.col("all_n") / 2)
     in_early = F.greatest(F.least(cut - F.col("before_n"), F.col("n")), F.lit(0))
     known = F.col(value).isNotNull()
 
-    def half(weight):
+    def half(weight: Column) -> Column:
         return F.try_divide(F.sum(F.when(known, F.col(value) * weight)),
                             F.sum(F.when(known, weight).otherwise(0)).cast("double"))
 
-    return placed.groupBy(key).agg(
-        F.max("all_n").alias("_n"), half(in_early).alias("_early"),
-        half(F.col("n") - in_early).alias("_late"))
+    halves = placed.groupBy(key).agg(
+        F.max("all_n").alias("_n"), half(in_early).alias("_early"), half(F.col("n") - in_early).alias("_late"))
+    trend = F.when(F.col("_n") < 2, F.lit(0.0)).otherwise(F.col("_late") - F.col("_early"))
+    return halves.select(key, trend.alias("trend"))

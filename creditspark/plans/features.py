@@ -12,7 +12,7 @@ from creditspark.functions import columns as C
 from creditspark.operators.align import columns_with_prefix
 from creditspark.operators.encode import category_sums
 from creditspark.operators.joins import attach_one_per_key, byte_estimate, lookup_join
-from creditspark.operators.ranks import HOT_ROWS, ordered_halves
+from creditspark.operators.ranks import ordered_halves
 from creditspark.session import materialize
 from creditspark.sources import files
 from creditspark.sources.schemas import KEY, TARGET
@@ -88,19 +88,16 @@ def overdue_share(pos: DataFrame) -> DataFrame:
     return _by_client(pos).agg(C.share(F.col("SK_DPD") > 0).alias("POS_CASH_DPD_RATIO"))
 
 
-def instalment_trend(pos: DataFrame, hot_rows: int = HOT_ROWS, sizes: DataFrame | None = None) -> DataFrame:
+def instalment_trend(pos: DataFrame) -> DataFrame:
     """Later minus earlier half of the future instalment counts, in month order."""
     order = ["MONTHS_BALANCE", "SK_ID_PREV"]
-    trend = ordered_halves(pos, KEY, order, "CNT_INSTALMENT_FUTURE", hot_rows, sizes)
+    trend = ordered_halves(pos, KEY, order, "CNT_INSTALMENT_FUTURE")
     return trend.withColumnRenamed("trend", "POS_CASH_INSTALLMENT_TREND")
 
 
-def pos_features(pos: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Overdue share and instalment trend; the first pass also sizes the clients for the second."""
-    first = materialize(_by_client(pos).agg(
-        C.share(F.col("SK_DPD") > 0).alias("POS_CASH_DPD_RATIO"), F.count("*").alias("key_rows")))
-    trend = instalment_trend(pos, hot_rows, first.select(KEY, "key_rows"))
-    return first.drop("key_rows").join(trend, KEY)
+def pos_features(pos: DataFrame) -> DataFrame:
+    """Overdue share and instalment trend."""
+    return overdue_share(pos).join(instalment_trend(pos), KEY)
 
 
 # ---- client rows ---------------------------------------------------------------------------

@@ -242,8 +242,8 @@ def halving_search(rows: FoldRows, classifier, maps: Sequence[Mapping], budgets:
                    parallelism: int = 8, seed: int = SEED) -> dict[int, tuple[int, float]]:
     """Per trial, the largest budget (percent of the training rows) it was fitted on, and its AUC there.
 
-    All trials start on the first budget; the better half of them goes on to the next, and the last budget is all rows.
-    Smaller budgets are parts of larger ones. Held-out folds are scored whole, and every fold's facts come from its own
+    All trials start on the first budget and one fold; the better half of them goes on to the next budget and all folds,
+    and the last budget is all rows. Smaller budgets are parts of larger ones. Held-out folds are scored whole, and every fold's facts come from its own
     training rows. Logistic trials that differ in their penalty alone are fitted together on all rows at once.
     """
     reached: dict[int, tuple[int, float]] = {}
@@ -253,7 +253,8 @@ def halving_search(rows: FoldRows, classifier, maps: Sequence[Mapping], budgets:
         found = rows.logistic_scores(list(rows.logistic(penalties, classifier.getMaxIter())))
         long = found.select(rows.label, "repeat", "fold", F.posexplode("p").alias("trial", "p"))
         return {t: (100, auc) for t, auc in _trial_aucs(long, rows.label).items()}
-    for percent in budgets:
+    for rung, percent in enumerate(budgets):
+        sets = range(rows.sets) if rung or len(budgets) == 1 else range(1)
         part = None if percent >= 100 else holdout_flag(rows.key, seed, percent) == 1
 
         def one(job: tuple[int, int]) -> DataFrame:
@@ -262,7 +263,7 @@ def halving_search(rows: FoldRows, classifier, maps: Sequence[Mapping], budgets:
             return rows.held_out(s, model).withColumn("trial", F.lit(trial))
 
         with ThreadPool(parallelism) as pool:
-            parts = pool.map(inheritable_thread_target(rows.rows.sparkSession)(one), [(t, s) for t in alive for s in range(rows.sets)])
+            parts = pool.map(inheritable_thread_target(rows.rows.sparkSession)(one), [(t, s) for t in alive for s in sets])
         aucs = _trial_aucs(materialize(append_rows(*parts)), rows.label)
         reached.update({t: (percent, aucs[t]) for t in alive if t in aucs})
         alive = sorted((t for t in alive if t in aucs), key=lambda t: -aucs[t])
@@ -290,10 +291,10 @@ def random_search(trainer: Trainer, df: DataFrame, key: str, space: Mapping[str,
 
 #: Ranges of the search, per model.
 SPACES = {
-    "GradientBoosting": {"maxIter": ("int", 10, 40), "maxDepth": ("int", 2, 6), "stepSize": ("log", 0.03, 0.3),
+    "GradientBoosting": {"maxIter": ("int", 10, 30), "maxDepth": ("int", 2, 5), "stepSize": ("log", 0.03, 0.3),
                          "subsamplingRate": ("uniform", 0.6, 1.0), "minInstancesPerNode": ("int", 1, 30)},
-    "RandomForest": {"numTrees": ("int", 50, 150), "maxDepth": ("int", 3, 8), "subsamplingRate": ("uniform", 0.6, 1.0),
-                     "featureSubsetStrategy": ("choice", "sqrt", "log2", "onethird")},
+    "RandomForest": {"numTrees": ("int", 50, 150), "maxDepth": ("int", 3, 6), "subsamplingRate": ("uniform", 0.6, 1.0),
+                     "featureSubsetStrategy": ("choice", "sqrt", "log2")},
     "Logistic": {"regParam": ("log", 1e-4, 10.0)},
 }
 

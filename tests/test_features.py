@@ -73,11 +73,10 @@ def test_other_histories(spark):
     assert rows_by_client(P.previous_features(t["previous_application"]))[1] == {
         "SK_ID_CURR": 1, "LOAN_APPLICATION_FREQUENCY": 2, "CASH_LOAN_PROPORTION": 0.5}
     assert rows_by_client(P.instalment_features(t["installments_payments"]))[1]["AVG_PAYMENT_DELAY"] == -1.5
-    for hot_rows in (1_000_000, 2):
-        got = rows_by_client(P.pos_features(t["pos_cash_balance"], hot_rows))
-        assert got[1]["POS_CASH_DPD_RATIO"] == pytest.approx(1 / 3)
-        assert got[1]["POS_CASH_INSTALLMENT_TREND"] == 5.0 - 10.0
-        assert got[2]["POS_CASH_INSTALLMENT_TREND"] == 0.0
+    got = rows_by_client(P.pos_features(t["pos_cash_balance"]))
+    assert got[1]["POS_CASH_DPD_RATIO"] == pytest.approx(1 / 3)
+    assert got[1]["POS_CASH_INSTALLMENT_TREND"] == 5.0 - 10.0
+    assert got[2]["POS_CASH_INSTALLMENT_TREND"] == 0.0
 
 
 def test_clients_without_histories_stay_null(spark):

@@ -96,15 +96,19 @@ def halves(rows):
     return out
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 20, 0])
-def test_ordered_halves_with_and_without_hot_keys(spark, limit):
+@pytest.mark.parametrize("slices", ["1", "4", "40"])
+def test_ordered_halves_in_few_and_many_slices(spark, slices):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     draw = random.Random(9)
     rows = [(1, draw.randint(-20, 0), draw.randint(1, 3), draw.choice([None, 1.0, 2.0, 9.0])) for _ in range(151)]
     rows += [(1, -5, 2, 4.0)] * 60  # equal rows
     rows += [(k, -i, k, float(i)) for k in (2, 3, 4) for i in range(k - 1)]
     rows += [(5, -1, 1, None), (5, 0, 1, None), (None, 0, 1, 1.0)]
     df = spark.createDataFrame(rows, "id int, month int, prev int, x double")
-    got = {r.id: r.trend for r in R.ordered_halves(df, "id", ["month", "prev"], "x", limit).collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", slices)
+    got = {r.id: r.trend for r in R.ordered_halves(df, "id", ["month", "prev"], "x").collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     want = halves(rows)
     assert got.keys() == want.keys()
     for key in want:
@@ -121,3 +125,23 @@ def test_two_and_three_rows_split_one_one_and_one_two(spark):
 def test_holdout_share(spark):
     df = spark.range(5000).select(R.holdout_flag("id").alias("f"))
     assert df.agg(F.avg("f")).first()[0] == pytest.approx(0.8, abs=0.03)
+
+
+def test_running_totals_shuffle_once_and_keep_long_texts_out_of_ranges(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    draw = random.Random(5)
+    long = "same beginning of every text, " * 30
+    rows = [(draw.choice(["hot", "hot", "hot", "b", None]), draw.choice([None, 1, 2]), long + str(draw.randint(0, 99)), i, 1) for i in range(400)]
+    rows += [("hot", 3, "x" * 1_000_000, 1000 + i, 1) for i in range(5)]
+    df = spark.createDataFrame(rows, "k string, turn int, text string, row int, n int").repartition(4)
+    placed = R.running_totals(df, ["turn", "text", "row"], ["n"], ["k"])
+    # windows read the stored slices as they lie
+    assert "Exchange hash" not in placed._jdf.queryExecution().executedPlan().toString()
+    got = {r.row: (r.before_n, r.all_n) for r in placed.collect()}
+    for k in ("hot", "b", None):
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3]))
+        assert [got[r[3]] for r in mine] == [(i, len(mine)) for i in range(len(mine))]
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("slices_")]
+    columns = R._range_columns(df, ["turn", "text", "row"])
+    assert max(len(str(v)) for r in df.select(*columns).collect() for v in r) <= R.RANGE_LETTERS
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
