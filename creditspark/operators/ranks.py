@@ -16,7 +16,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from creditspark.session import materialize, shared_dir
+from creditspark.session import shared_dir
 
 SLICE_ROWS = 100_000
 RANGE_LETTERS = 32
@@ -87,16 +87,16 @@ def _edges(slices: DataFrame, keys: Sequence[str], totals: Sequence[str]) -> Dat
         ends = slices.groupBy("_slice").agg(F.min(key).alias("first"), F.max(key).alias("last"))
         met = ends.select(F.explode(F.array_distinct(F.array("first", "last"))).alias("key"))
         several = met.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-        listed = materialize(several.select(*[F.col("key")[k].alias(f"_met_{k}") for k in keys]))
+        listed = several.select(*[F.col("key")[k].alias(f"_met_{k}") for k in keys])
         crossing = slices.join(F.broadcast(listed), [slices[k].eqNullSafe(listed[f"_met_{k}"]) for k in keys], "left_semi")
     per_slice = crossing.groupBy("_slice", *keys).agg(*[F.sum(t).alias(f"_in_{t}") for t in totals])
     whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     earlier = whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    return materialize(per_slice.select(
+    return per_slice.select(
         F.col("_slice").alias("_at_slice"), *[F.col(k).alias(f"_at_{k}") for k in keys],
         *[F.coalesce(F.sum(f"_in_{t}").over(earlier), F.lit(0)).alias(f"_off_{t}") for t in totals],
         *[F.sum(f"_in_{t}").over(whole).alias(f"_all_{t}") for t in totals],
-        *[F.col(f"_in_{t}") for t in totals]))
+        *[F.col(f"_in_{t}") for t in totals])
 
 
 def auc_from_counts(counts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
