@@ -149,10 +149,42 @@ def history_frame(tables: dict[str, DataFrame]) -> DataFrame:
     Stored once, it stands in for the history tables (as ``tables["history"]``), so that small batches are
     scored without reading the histories again.
     """
-    first, *others = history_features(tables)
-    for features in others:
-        first = first.join(features, KEY, "full_outer")
-    return first
+    frames = history_features(tables)
+    names = [c for f in frames for c in f.columns if c != KEY]
+    # every feature comes from one frame, so of the stacked rows of a client at most one holds it
+    stacked = frames[0]
+    for features in frames[1:]:
+        stacked = stacked.unionByName(features, allowMissingColumns=True)
+    return stacked.groupBy(KEY).agg(*[F.max(c).alias(c) for c in names])
+
+
+HISTORY_BUCKETS = 256
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(KEY), F.lit(buckets)).cast("int")
+
+
+class HistoryStore:
+    """A stored :func:`history_frame` in folders by a hash of the client, so that a batch reads its clients' folders only."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.buckets = files.read_params(spark, f"{path}/params")["buckets"]
+        self.rows = files.read_table(spark, f"{path}/rows")
+
+    @classmethod
+    def write(cls, history: DataFrame, path: str, buckets: int = HISTORY_BUCKETS) -> HistoryStore:
+        """Pick ``buckets`` so that a folder is a few files of good size; a batch lists at most that many folders."""
+        spark = history.sparkSession
+        placed = history.withColumn("bucket", _bucket(buckets))
+        placed.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/rows")
+        files.write_params(spark, {"buckets": buckets}, f"{path}/params")
+        return cls(spark, path)
+
+    def of(self, clients: DataFrame) -> DataFrame:
+        """History rows in the folders of ``clients``: all of theirs, and those of others in the same folders."""
+        wanted = [r[0] for r in clients.select(_bucket(self.buckets)).distinct().collect()]
+        return self.rows.filter(F.col("bucket").isin(wanted)).drop("bucket")
 
 
 def join_histories(client: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:

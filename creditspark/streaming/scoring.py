@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from creditspark.functions.columns import nan_to_null
 from creditspark.operators.joins import lookup_join
-from creditspark.plans.features import HISTORY
+from creditspark.plans.features import HISTORY, HistoryStore
 from creditspark.plans.scoring import ScoringModel
 from creditspark.session import materialize
 from creditspark.sources import files
@@ -26,18 +26,18 @@ def client_stream(spark: SparkSession, folder: str, schema: T.StructType = CLIEN
     return reader.load(folder)
 
 
-def score_stream(clients: DataFrame, history: DataFrame, model: ScoringModel, out: str,
+def score_stream(clients: DataFrame, history: HistoryStore, model: ScoringModel, out: str,
                  checkpoint: str, once: bool = True) -> StreamingQuery:
     """Score every micro-batch with fitted values and write JSON records under ``out``.
 
-    ``history`` is the stored :func:`history_frame`, one row per client, so a batch never reads the raw
-    histories. No state is kept between batches. Each batch writes its own folder, so a batch replayed after a
+    ``history`` holds one row per client in folders by a hash of the client, so a batch reads neither the raw
+    histories nor the folders of other clients. No state is kept between batches. Each batch writes its own folder, so a batch replayed after a
     failure replaces its records instead of repeating them.
     """
     def one(batch: DataFrame, number: int) -> None:
         rows = materialize(nan_to_null(batch))
         # the batch decides which history rows are needed; measured small, its keys are broadcast
-        mine = lookup_join(history, rows.select(KEY).distinct(), KEY, "left_semi")
+        mine = lookup_join(history.of(rows), rows.select(KEY).distinct(), KEY, "left_semi")
         files.write_scores(model.score({"client": rows, HISTORY: mine}), f"{out}/batch={number}")
 
     writer = clients.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)

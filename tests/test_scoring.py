@@ -1,11 +1,12 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from creditspark.operators.align import align_to
 from creditspark.operators.ranks import roc_auc
-from creditspark.plans.features import history_frame
-from creditspark.plans.scoring import ScoringModel, fit_scoring, prune_lists, score_bundle
+from creditspark.plans.features import HistoryStore, history_features, history_frame
+from creditspark.plans.scoring import ScoringModel, fit_scoring, prune_lists, score_bundle, weaker_variants
 from creditspark.sources.schemas import KEY, TABLES
 from creditspark.streaming.scoring import client_stream, read_scores, score_stream
 from tests.frames import many_clients, only, without_target
@@ -55,7 +56,7 @@ def test_stream_scores_each_client_once_and_only_new_files_later(spark, fitted,
     model = ScoringModel.load(spark, path)
     incoming, out, progress = (str(tmp_path / n) for n in ("incoming", "out", "progress"))
     clients = align_to(tables["client"], TABLES["client"])
-    history = history_frame(tables).cache()
+    history = HistoryStore.write(history_frame(tables), str(tmp_path / "history"), buckets=16)
 
     def run():
         score_stream(client_stream(spark, incoming), history, model, out, progress).awaitTermination()
@@ -88,3 +89,38 @@ def test_prune_lists(spark, fitted):
     tables, _ = fitted
     left = prune_lists(tables["client"]).columns
     assert "CNT_CHILDREN" not in left and "AMT_REQ_CREDIT_BUREAU_DAY" not in left and KEY in left
+
+
+def test_history_holds_every_feature_once(fitted):
+    tables, _ = fitted
+    whole = history_frame(tables)
+    assert whole.count() == whole.select(KEY).distinct().count()
+    rows = {r[KEY]: r.asDict() for r in whole.collect()}
+    for part in history_features(tables):
+        for r in part.collect():
+            assert all(rows[r[KEY]][c] == v for c, v in r.asDict().items())
+
+
+def test_a_batch_reads_its_clients_folders_only(spark, fitted, tmp_path):
+    tables, _ = fitted
+    history = history_frame(tables)
+    store = HistoryStore.write(history, str(tmp_path / "history"), buckets=16)
+    every = len(store.rows.inputFiles())
+    few = store.of(tables["client"].filter(f"{KEY} in (3, 7)"))
+    assert {3, 7} <= {r[KEY] for r in few.collect()}
+    # the scan lists the folders that are left, two of sixteen at most
+    scan = [line for line in few._jdf.queryExecution().executedPlan().toString().splitlines() if "PartitionFilters" in line]
+    assert scan and "bucket" in scan[0]
+    read = few.select("_metadata.file_path").distinct().count()
+    assert read <= 2 < every
+    assert store.of(tables["client"].limit(0)).count() == 0
+
+
+def test_selection_is_saved_and_drops_weaker_variants(spark, fitted):
+    tables, path = fitted
+    model = ScoringModel.load(spark, path)
+    assert "CNT_CHILDREN" in model.selection.dropped and model.selection.kept
+    client = tables["client"].select(KEY, "TARGET").withColumns({
+        "APARTMENTS_AVG": F.rand(1), "APARTMENTS_MODE": F.col("TARGET") + F.rand(2) / 10, "APARTMENTS_MEDI": F.rand(3),
+        "LANDAREA_AVG": F.rand(4)})
+    assert weaker_variants(client, 1, 5, 2) == ["APARTMENTS_AVG", "APARTMENTS_MEDI"]
