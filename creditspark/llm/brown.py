@@ -6,8 +6,9 @@ in turn moves to the class that raises the likelihood of the corpus's bigrams mo
 
     P(word | word before) = P(class | class before) * P(unit | class) * P(word | unit),
 
-with class transitions discounted and backed off to class frequencies, and words of a shape discounted, the mass so
-gained going to one unseen word of that shape.
+with class transitions discounted and backed off to class frequencies, and words of a shape discounted. The mass so
+gained is that of all unseen words of the shape together, and an unseen word's part of it is its spelling's: the product
+of its letters' frequencies in the training texts and that of a word's end, which sums to at most 1 over all words.
 
 Every statistic covers all training texts: word counts, bigrams of units, words and tokens per shape. Only tables of a
 fixed size reach the driver: the counts of the ``HEAVY`` most frequent words and the matrix of unit bigrams. Rarer
@@ -51,6 +52,11 @@ def stream(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
     A word is a 64-bit integer: its shape in the lowest bits, a hash in the others.
     """
+    return ((text, word) for text, word, _ in spelled(column, np.zeros(257)))
+
+
+def spelled(column: pa.Array, letters: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """:func:`stream` with every word's spelling: the sum of ``letters`` over its bytes, and of its end (the last entry)."""
     for data, starts, documents, going_on in texts.pieces(*texts.utf8(column)):
         data = texts.LOWER[data]
         begin, end = texts.bounds((~texts.SPACE[data]).astype(np.uint8), starts)
@@ -70,7 +76,10 @@ def stream(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         inner[stop[closed == 1] - 1] = False
         hashed = (texts.hashes(data, begin, end) & ~np.uint64(SHAPES - 1)) | shape.astype(np.uint64)
         word[inner] = np.maximum(hashed, np.uint64(1))
-        yield text, word
+        along = np.append(0, np.cumsum(letters[data]))
+        spelling = np.zeros(len(word))
+        spelling[inner] = along[end] - along[begin] + letters[256]
+        yield text, word, spelling
 
 
 def _totals(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,6 +136,25 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def letter_logs(docs: DataFrame) -> np.ndarray:
+    """Logarithms (base 10) of the frequencies of the 256 bytes, and of a word's end, in the training texts of ``docs``."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(257, np.int64)
+        for batch in batches:
+            for data, starts, _, _ in texts.pieces(*texts.utf8(batch.column(0))):
+                data = texts.LOWER[data]
+                total[:256] += np.bincount(data, minlength=256)
+                total[256] += len(texts.bounds((~texts.SPACE[data]).astype(np.uint8), starts)[0])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(257, dtype=np.int32)), pa.array(total)], ["letter", "n"])
+
+    found = docs.filter("train").select("text").mapInArrow(count, "letter int, n long").groupBy("letter").agg(F.sum("n").alias("n")).collect()
+    n = np.ones(257)
+    for r in found:
+        n[r["letter"]] += r["n"]
+    n[:256][texts.SPACE] = 1  # no letters
+    return np.log10(n / n.sum())
+
+
 class Units:
     """The frequent words, sorted, with their counts; the most frequent of them are units."""
 
@@ -230,8 +258,8 @@ class Model:
     """Logarithms (base 10) of P(unit | unit before), and what words of a shape need."""
 
     def __init__(self, units: Units, bigrams: np.ndarray, classes: np.ndarray, shapes: dict[int, tuple[int, int]],
-                 tokens: int, words: int):
-        self.units, self.classes, self.tokens, self.words = units, classes, tokens, words
+                 tokens: int, words: int, letters: np.ndarray):
+        self.units, self.classes, self.tokens, self.words, self.letters = units, classes, tokens, words, letters
         count = int(classes.max()) + 1
         member = np.eye(count)[classes]
         table = member.T @ bigrams @ member
@@ -277,7 +305,7 @@ def fit(docs: DataFrame, counts: DataFrame, heavy: int, units: int, classes: int
         F.col("word").bitwiseAND(SHAPES - 1).alias("shape")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     bigrams = unit_bigrams(docs, table)
-    return Model(table, bigrams, exchange_classes(bigrams, classes), shapes, whole["n"], whole["v"])
+    return Model(table, bigrams, exchange_classes(bigrams, classes), shapes, whole["n"], whole["v"], letter_logs(docs))
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int = 7, part: int = 2,
@@ -297,7 +325,8 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", parts:
                           T.StructField("tokens", T.LongType()), T.StructField("known", T.LongType()),
                           T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType())])
     schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("word", T.LongType()),
-                           T.StructField("times", T.LongType()), T.StructField("known", known)])
+                           T.StructField("times", T.LongType()), T.StructField("spelling", T.DoubleType()),
+                           T.StructField("known", known)])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of each text, what the frequent words tell, and one row for each rarer word."""
@@ -308,7 +337,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", parts:
             rows = batch.column(3).to_numpy()
             sums = {name: np.zeros(size) for name in ("tokens", "known", "base", "score")}
             before = units.end
-            for owner, word in stream(batch.column(1)):
+            for owner, word, spelling in spelled(batch.column(1), model.letters):
                 count, unit = units.look_up(word)
                 came = np.append(before, unit[:-1])
                 before = unit[-1]
@@ -329,7 +358,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", parts:
                         here = order[at[low:low + (1 << 16)]]
                         times = np.diff(np.append(at, len(order)))[low:low + (1 << 16)]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(rows[owner[here]]), pa.array(word[here].view(np.int64)), pa.array(times),
+                            [pa.array(rows[owner[here]]), pa.array(word[here].view(np.int64)), pa.array(times), pa.array(spelling[here]),
                              pa.nulls(len(here), known_type(batch))], schema.names)
             whole = pa.StructArray.from_arrays(
                 [batch.column(0), batch.column(2), pa.array(sums["tokens"].astype(np.int64)),
@@ -338,7 +367,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", parts:
             # no word has such a number; hashed, these rows spread over the join's tasks
             mark = texts.mix(rows.astype(np.uint64)) & ~np.uint64(SHAPES - 1)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(rows), pa.array(mark.view(np.int64)), pa.array(np.zeros(size, np.int64)), whole], schema.names)
+                [pa.array(rows), pa.array(mark.view(np.int64)), pa.array(np.zeros(size, np.int64)), pa.array(np.zeros(size)), whole], schema.names)
 
     def known_type(batch: pa.RecordBatch) -> pa.StructType:
         return pa.struct([("id", batch.schema.field(0).type), ("held", pa.bool_()), ("tokens", pa.int64()),
@@ -350,7 +379,7 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", parts:
     shape_n = F.element_at(F.array(*[F.lit(float(x)) for x in model.shape_n]), shape.cast("int"))
     unseen = F.element_at(F.array(*[F.lit(float(x)) for x in model.unseen]), shape.cast("int"))
     n, times = F.coalesce("n", F.lit(0)), F.col("times")
-    in_shape = F.when(n > 0, F.log10((n - DISCOUNT) / shape_n)).otherwise(unseen)
+    in_shape = F.when(n > 0, F.log10((n - DISCOUNT) / shape_n)).otherwise(unseen + F.col("spelling"))
     sums = joined.groupBy("row").agg(
         F.max("known").alias("known"),
         F.sum(F.when(n > 0, times).otherwise(0)).alias("rare_known"),

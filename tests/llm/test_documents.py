@@ -302,6 +302,57 @@ def test_language_model_counts(docs, monkeypatch):
         assert all(r["score"] < 0 for r in got)
 
 
+def _texts_of_a_language(n=120):
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 8))) for _ in range(400)]
+    share = 1 / np.arange(1, 401)
+    return [" ".join(rng.choice(words, 60, p=share / share.sum())) + "." for _ in range(n)]
+
+
+def test_brown_scores_are_the_model_s(spark):
+    """The joined scores against a walk over every token with the fitted model and the word counts."""
+    rows = list(enumerate(_texts_of_a_language()))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    settings = {"heavy": 60, "units": 25, "classes": 4}
+    got = {r["doc_id"]: r["score"] for r in brown.score_texts(docs, **settings).collect()}
+    learnt = docs.select("text", (F.crc32(F.col("doc_id").cast("string")) % 7 != 2).alias("train"))
+    counts = brown.word_counts(learnt)
+    n = {np.int64(r["word"]).view(np.uint64): r["n"] for r in counts.collect()}
+    model = brown.fit(learnt, counts, **settings)
+    import pyarrow as pa
+
+    for i, text in rows[::9]:
+        total, before = 0.0, model.units.end
+        for _, word, spelling in brown.spelled(pa.array([text]), model.letters):
+            for w, s, unit in zip(word, spelling, model.units.look_up(word)[1]):
+                total += model.step(np.array([before]), np.array([unit]))[0]
+                if unit >= model.units.single:
+                    shape = unit - model.units.single
+                    total += np.log10((n[w] - brown.DISCOUNT) / model.shape_n[shape]) if n.get(w) else model.unseen[shape] + s
+                before = unit
+        assert got[i] == pytest.approx(total, abs=1e-9)
+    # what words of a shape emit sums to one: the seen ones, and the unseen ones together
+    for shape in {int(w) & 31 for w in n} - {0}:
+        seen = [c for w, c in n.items() if int(w) & 31 == shape and model.units.look_up(np.array([w]))[1][0] >= model.units.single]
+        if seen:
+            assert sum(c - brown.DISCOUNT for c in seen) / model.shape_n[shape] + 10 ** model.unseen[shape] == pytest.approx(1)
+
+
+def test_brown_prefers_words_to_gibberish(spark):
+    rng = np.random.default_rng(12)
+    known = _texts_of_a_language(150)
+    rare = " ".join(sorted({w for t in known for w in t.rstrip(".").split()}, key=lambda w: sum(t.split().count(w) for t in known))[:60])
+    odd = ["".join(rng.choice(list("qwxzvkjy"), 6)) for _ in range(60)]
+    docs = spark.createDataFrame([*enumerate(known), (2, rare), (9, rare), (1004, " ".join(odd))], "doc_id long, text string")
+    rows = brown.score_texts(docs, units=25, classes=4).collect()
+    each = {r["doc_id"]: r["score"] / r["n_tokens"] for r in rows if r["doc_id"] > 200}
+    rare_score = min(r["score"] / r["n_tokens"] for r in rows if r["n_tokens"] == 61 and r["doc_id"] in (2, 9))
+    assert each[1004] < rare_score - 1
+    perplexity = lambda held: 10 ** -(sum(r["score"] for r in rows if r["held_out"] == held and r["doc_id"] != 1004)
+                                      / sum(r["n_tokens"] for r in rows if r["held_out"] == held and r["doc_id"] != 1004))
+    assert perplexity(True) >= perplexity(False) * 0.98
+
+
 def test_exchange_finds_two_classes():
     bigrams = np.zeros((6, 6))
     bigrams[:3, 3:], bigrams[3:, :3] = 50, 40
@@ -333,7 +384,7 @@ def test_units_emit_probabilities_that_sum_to_one():
     words = np.sort(rng.integers(1, 1 << 60, 30, dtype=np.uint64))
     table = brown.Units(words, np.arange(30, 0, -1), 10)
     bigrams = rng.integers(0, 9, (table.total, table.total)).astype(float)
-    model = brown.Model(table, bigrams, brown.exchange_classes(bigrams, 4), {}, 10, 10)
+    model = brown.Model(table, bigrams, brown.exchange_classes(bigrams, 4), {}, 10, 10, np.zeros(257))
     units = np.arange(table.total)
     for before in (0, 3, table.total - 1):
         assert abs(np.sum(10 ** model.step(np.full(len(units), before), units)) - 1) < 1e-9
