@@ -8,6 +8,9 @@ empty. The search ends when the sequences are as few as the tokens allow or no e
 raises a bounded integer, so it ends. A group of about ``GROUP_BYTES`` of text leaves at most a sequence or so
 partly filled, whatever the size of the table.
 
+Packing needs lengths only. The pieces with their ids are stored once; the places found from the lengths are then joined
+to them, so no group of ids is ever held in a task.
+
 Null texts count as empty: one end id. A null id is kept as null; repeated rows are packed as rows of their own. An
 empty table gives no rows.
 """
@@ -23,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from creditspark.llm.rows import stored
+
 LENGTH = 2048
 END_ID = 0
 GROUP_BYTES = 32 << 20
-WORDS_KEPT = 500_000
+WORDS_KEPT = 100_000
 PAIRED = 12
 
 
@@ -45,7 +50,8 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are then ordinary text
+        # as in a plain call of the tokenizer, the strings of its special tokens become those tokens
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this tokenizer do not fit 16 bits")
         self.split, self.merge, self.parts = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize, {}
@@ -57,6 +63,8 @@ class WordIds(dict):
         """The ids of one part that the tokenizer's own splitter has made; words share such parts."""
         found = self.parts.get(part)
         if found is None:
+            if len(self.parts) >= WORDS_KEPT:
+                self.parts.clear()
             found = self.parts[part] = b"".join([token.id.to_bytes(2, "little") for token in self.merge(part)])
         return found
 
@@ -68,7 +76,6 @@ class WordIds(dict):
         found = b"".join([self.part(part) for part, _ in self.split(content)])
         if len(self) >= WORDS_KEPT:
             self.clear()
-            self.parts.clear()
         self[word] = found
         return found
 
@@ -77,7 +84,7 @@ class WordIds(dict):
         spaces and line ends stand alone the words between them can be encoded one by one."""
         if not text:
             return b""
-        if "\0" not in text:
+        if "\0" not in text and not any(s in text for s in self.special):
             try:
                 return b"".join(map(self.__getitem__, ("\0" + text.replace("\n", " \n \0")).split(" ")))
             except _Irregular:
@@ -101,16 +108,21 @@ def cut(total: int, length: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(first + length * k, length) for k in range(count - 1)]
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.append(0, np.cumsum([len(a) for a in arrays])).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, "<u4"), *arrays]).astype(np.int32)))
+
+
 def token_pieces(docs: DataFrame, path: str, length: int = LENGTH, key: str = "doc_id", text: str = "text",
                  with_ids: bool = True) -> DataFrame:
     """One row per piece: id, row, piece, start, length, the ids' checksum and, if asked for, ``ids``.
 
-    The checksum is over little-endian 32-bit ids; ``ids`` holds them in 16 bits.
+    The checksum is over little-endian 32-bit ids.
     """
     schema = T.StructType([T.StructField("id", docs.schema[key].dataType)] + [
         T.StructField(n, t) for n, t in (("row", T.LongType()), ("piece", T.IntegerType()), ("start", T.LongType()),
                                          ("length", T.LongType()), ("ids_crc32", T.LongType()))]
-        + [T.StructField("ids", T.BinaryType())] * with_ids)
+        + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, end = word_ids(path), np.array([END_ID], "<u2").tobytes()
@@ -123,15 +135,16 @@ def token_pieces(docs: DataFrame, path: str, length: int = LENGTH, key: str = "d
                     for number, (start, size) in enumerate(cut(len(ids) // 2, length)):
                         of.append(k)
                         rows.append((number, start, size))
-                        piece = ids[2 * start:2 * (start + size)]
-                        sums.append(zlib.crc32(np.frombuffer(piece, "<u2").astype("<u4")))
+                        piece = np.frombuffer(ids, "<u2", size, 2 * start).astype("<u4")
+                        sums.append(zlib.crc32(piece))
                         if with_ids:
                             held.append(piece)
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), pa.array(columns[0], pa.int32()),
                      pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(sums, pa.int64())]
-                    + [pa.array(held, pa.binary())] * with_ids, schema.names)
+                    + [_lists(held)] * with_ids, schema.names)
+        pa.default_memory_pool().release_unused()
 
     chosen = docs.select(F.col(key), F.monotonically_increasing_id().alias("_row"), F.col(text))
     return chosen.mapInArrow(pieces, schema)
@@ -256,16 +269,16 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, group_bytes
                    key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ``ids``.
 
-    A sequence is read by its pieces in the order of ``offset``. Packing needs the lengths alone, so without ``with_ids``
-    the ids are not shuffled.
+    A sequence is read by its pieces in the order of ``offset``.
     """
     volume = docs.agg(F.coalesce(F.sum(F.octet_length(text).cast("long")), F.lit(0)) + F.count("*") * 8).first()[0]
     groups = max(1, -(-volume // group_bytes))
-    pieces = token_pieces(docs, path, length, key, text, with_ids).withColumn(
-        "_group", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
-    fields = [T.StructField(key, docs.schema[key].dataType), T.StructField("piece", T.IntegerType())] + [
-        T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "sequence_id", "offset")]
-    schema = T.StructType(fields + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids)
+    pieces = token_pieces(docs, path, length, key, text, with_ids)
+    pieces = stored(pieces, "pieces") if with_ids else pieces
+    slim = pieces.drop("ids").withColumn("_group", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
+    schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("row", T.LongType()),
+                           T.StructField("piece", T.IntegerType())] + [
+        T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "sequence_id", "offset")])
 
     def pack(group: pa.Table) -> pa.Table:
         group = group.sort_by([("row", "ascending"), ("piece", "ascending")])
@@ -279,12 +292,29 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH, group_bytes
             for i in members:
                 sequence[i], offset[i] = number, at
                 at += sizes[i]
-        columns = [group["id"], group["piece"], group["start"], group["length"], group["ids_crc32"],
+        columns = [group["id"], group["row"], group["piece"], group["start"], group["length"], group["ids_crc32"],
                    pa.array((group["_group"][0].as_py() << 32) + sequence), pa.array(offset)]
-        if with_ids:
-            ids = [pa.array(np.frombuffer(x.as_py(), "<u2").astype(np.int32)) for x in group["ids"]]
-            ends = np.append(0, np.cumsum([len(x) for x in ids])).astype(np.int32)
-            columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.concat_arrays(ids)))
         return pa.Table.from_arrays(columns, schema.names)
 
-    return pieces.groupBy("_group").applyInArrow(pack, schema)
+    placed = slim.groupBy("_group").applyInArrow(pack, schema)
+    if not with_ids:
+        return placed.drop("row")
+    names = [c for c in schema.names if c != "row"]
+    inner = placed.toDF("_id", *schema.names[1:])
+    return inner.join(pieces.select("row", "piece", "ids"), ["row", "piece"]).select(
+        F.col("_id").alias(key), *names[1:], "ids")
+
+
+def read_checksums(packed: DataFrame) -> DataFrame:
+    """``packed`` with ``ids_crc32`` taken anew from the packed ``ids``, which are dropped."""
+    kept = [c for c in packed.columns if c not in ("ids", "ids_crc32")]
+    schema = T.StructType([*[packed.schema[c] for c in kept], T.StructField("ids_crc32", T.LongType())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("ids")
+            values, ends = lists.values.to_numpy().astype("<u4"), lists.offsets.to_numpy()
+            sums = [zlib.crc32(values[a:b]) for a, b in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(sums, pa.int64())], schema.names)
+
+    return packed.select(*kept, "ids").mapInArrow(read, schema)

@@ -48,7 +48,7 @@ def tokenizer_path() -> str:
 
 def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
-    return packing.pack_documents(read(spark, sf, "documents"), tokenizer_path(), 2048, with_ids=False)
+    return packing.read_checksums(packing.pack_documents(read(spark, sf, "documents"), tokenizer_path(), 2048))
 
 
 def op9_brown(spark: SparkSession, sf: str) -> DataFrame:

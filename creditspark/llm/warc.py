@@ -19,7 +19,6 @@ table gives an archive without records.
 from __future__ import annotations
 
 import struct
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,8 +28,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from creditspark.llm.rows import stored
 from creditspark.operators.joins import lookup_join
-from creditspark.session import materialize, shared_dir
+from creditspark.session import materialize
 
 FRAME = 256 * 1024
 BUNDLE = 32 * 1024 * 1024
@@ -78,13 +78,6 @@ def _line(name: str, value: Column) -> Column:
     return F.concat(F.lit(f"{name}: "), value.cast("string"))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a new table in the shared folder, and read from there."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
-
-
 def archive_records(pages: DataFrame, key: str = "page_id", url: str = "url", body: str = "html", minimum: int = 100,
                     captured: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """(record_id, record): one WARC record per row of ``pages``.

@@ -174,7 +174,6 @@ def test_packing_round_trip(docs):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path())
-    tokenizer.encode_special_tokens = True
     want = Counter(tuple(tokenizer.encode(_text(r[1]), add_special_tokens=False).ids + [0]) for r in _rows())
     got = packing.pack_documents(docs, tokenizer_path(), 256).collect()
     sequences, documents = defaultdict(list), defaultdict(list)
