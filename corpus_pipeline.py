@@ -44,8 +44,8 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its sequence and offset; copies made by mixing are rows of their own."""
-    return packing.pack_documents(docs, tokenizer_path(), with_ids=False)
+    """Every piece of every document with its token ids, sequence and offset; copies made by mixing are rows of their own."""
+    return packing.pack_documents(docs, tokenizer_path())
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
