@@ -17,6 +17,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
 from collections.abc import Iterator
 
@@ -31,7 +32,7 @@ from creditspark.llm.rows import stored
 LENGTH = 2048
 END_ID = 0
 GROUP_BYTES = 32 << 20
-WORDS_KEPT = 100_000
+WORDS_KEPT = 1_000_000
 PAIRED = 12
 
 
@@ -92,6 +93,16 @@ class WordIds(dict):
         return self.whole(text)
 
 
+    def forget(self) -> None:
+        """Drop all words and give their memory back: a task's worker lives on, for tasks that need it otherwise."""
+        self.clear()
+        self.parts.clear()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
 _known: dict[str, WordIds] = {}
 
 
@@ -144,7 +155,7 @@ def token_pieces(docs: DataFrame, path: str, length: int = LENGTH, key: str = "d
                     [part.column(0).take(pa.array(of)), part.column(1).take(pa.array(of)), pa.array(columns[0], pa.int32()),
                      pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(sums, pa.int64())]
                     + [_lists(held)] * with_ids, schema.names)
-        pa.default_memory_pool().release_unused()
+        known.forget()
 
     chosen = docs.select(F.col(key), F.monotonically_increasing_id().alias("_row"), F.col(text))
     return chosen.mapInArrow(pieces, schema)
