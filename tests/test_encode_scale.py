@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from creditspark.operators.encode import EncodingModel, dummies, fit_levels, indicator_columns
 from creditspark.operators.scale import ScaleModel
-from creditspark.plans.modelling import _numeric_rows
+from creditspark.plans.modelling import cross_fitted, with_indicators
 
 
 @pytest.fixture(scope="module")
@@ -59,8 +59,12 @@ def test_clashing_indicator_names_stay_distinct(spark):
 def test_columns_of_many_levels(spark):
     many = spark.range(10_500).select("id", F.concat(F.lit("v"), F.col("id")).alias("k"), (F.col("id") % 2).alias("y"))
     assert len(fit_levels(many, ["k"])["k"]) == 10_500
-    rows = _numeric_rows(many, "id", "y", drop_first=True)
-    assert rows.columns == ["id", "y", "k"] and rows.filter("k is null").count() == 0
+    rows, columns, high = with_indicators(many, "id", "y", drop_first=True)
+    assert rows.columns == ["id", "y", "k"] and columns == [] and high == ["k"]
+    encoded = cross_fitted(rows, high, "id", "y")
+    assert encoded.columns == ["id", "y", "k"] and encoded.count() == 10_500
+    # a value of one row tells nothing of its label: what is left is the mean of the other folds
+    assert encoded.filter("k is null or abs(k - 0.5) > 0.02").count() == 0
 
 
 def test_scaling_uses_population_deviation_and_moves_skewed_columns(spark, tmp_path):
