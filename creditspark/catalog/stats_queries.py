@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +81,8 @@ def _mixed_lines(spark, sf) -> DataFrame:
 
 MIXED = ["l_quantity", "l_extendedprice", "l_discount", "line", "flag", "status"]
 MIXED_INTERVAL = ["l_quantity", "l_extendedprice", "l_discount"]
+FLAGS = {"big": "l_quantity > 25", "dear": "l_extendedprice > 40000", "first": "l_linenumber <= 2", "open": "l_linestatus = 'O'",
+         "returned": "l_returnflag = 'R'"}
 
 
 def phik_contingency(spark, sf):
@@ -94,6 +98,12 @@ def phik_pairs(spark, sf):
     return stats.phik_pairs(_mixed_lines(spark, sf), MIXED, MIXED_INTERVAL)
 
 
+def phik_flags(spark, sf):
+    """phi_k of two-valued columns, where it has a closed form."""
+    lines = table(spark, sf, "lineitem").select(*[F.expr(e).cast("int").alias(c) for c, e in FLAGS.items()])
+    return rounded(stats.phik_pairs(lines, list(FLAGS)), 4)
+
+
 def phik_top_target(spark, sf):
     return stats.top_with_target(stats.phik_pairs(_mixed_lines(spark, sf), MIXED, MIXED_INTERVAL), "flag")
 
@@ -171,7 +181,7 @@ QUERIES = {
     "roc_auc": roc_auc_, "soft_vote": soft_vote_, "weight_search": weight_search_,
     **{f.__name__: f for f in (
         mann_whitney, moods_median, mann_whitney_imputed, numeric_significance, chi_squared, chi_squared_imputed,
-        categorical_significance, feature_pairs, phik_contingency, phik_chi2, phik_pairs, phik_top_target,
+        categorical_significance, feature_pairs, phik_contingency, phik_chi2, phik_pairs, phik_flags, phik_top_target,
         phik_top_pairs, collinearity, roc_points, pr_points, confusion, cv_stability, weighted_vote, risk_tiers,
         score_split,
     )},
@@ -298,6 +308,11 @@ from (select x.col, cast(count(*) as double) as n, cast(count(*) filter (where l
   count(distinct b1) as r, count(distinct b2) as k
 from (select *, sum(n) over (partition by f1, f2, b1) as ra, sum(n) over (partition by f1, f2, b2) as cb,
   sum(n) over (partition by f1, f2) as total from cells) group by f1, f2""", binned=BINNED, cells=PAIR_CELLS),
+    "phik_flags": with_roles("", f"""select f1 as feature1, f2 as feature2,
+  round(sin(pi() / 2 * sqrt(greatest(chi2 - 1, 0) / (n - 1))), 4) as coefficient from t""", flags="select "
+                             + ", ".join(f"cast({e} as integer) as \"{c}\"" for c, e in FLAGS.items()) + " from lineitem",
+                             t="\nunion all\n".join(f"""select '{a}' as f1, '{b}' as f2, regr_count("{a}", "{b}") as n,
+  regr_count("{a}", "{b}") * pow(corr("{a}", "{b}"), 2) as chi2 from flags""" for a, b in combinations(sorted(FLAGS), 2))),
     "roc_auc": with_roles("", f"""select 'p1' as score, {r6('auc')} as auc, n0, n1 from a1
 union all select 'p2', {r6('auc')}, n0, n1 from a2""", scored=SCORED,
                           s1="select p1 as s, label from scored", a1=_auc("s1", ""),

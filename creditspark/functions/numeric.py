@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 
@@ -53,40 +55,66 @@ def t_quantile(p: float, dof: int) -> float:
 # ---- phi_k (Baak et al. 2020, arXiv:1811.11440) --------------------------------------------
 
 REACH = 5.0  # the bivariate normal is binned uniformly over +-5 standard deviations
-BLOCK_CELLS = 1_000_000
-_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(96)
+BLOCK_CELLS = 1 << 16
+PANELS = 16  # rho = cos(angle); panels of the angle halve towards 0, where the normal becomes a line
+POINTS = 16
+_PLACES = np.polynomial.chebyshev.chebpts1(POINTS)
+_SERIES = np.linalg.inv(np.polynomial.chebyshev.chebvander(_PLACES, POINTS - 1))
+# integrals from -1 to every place, and to 1 in the last row, of a function given at the places
+_UP_TO = np.column_stack([
+    np.polynomial.chebyshev.chebval(np.append(_PLACES, 1.0), np.polynomial.chebyshev.chebint(one, lbnd=-1))
+    for one in _SERIES.T])
 
 
 def _normal_cdf(x: np.ndarray) -> np.ndarray:
     return np.array([0.5 * math.erfc(-v / math.sqrt(2.0)) for v in x])
 
 
-def _cells(rho: float, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Mass of each grid cell under a standard bivariate normal with correlation ``rho``."""
+def _masses(corner: np.ndarray) -> np.ndarray:
+    return np.maximum(np.diff(np.diff(corner, axis=-2), axis=-1), 0.0)
+
+
+def _cells(x: np.ndarray, y: np.ndarray) -> Iterator[tuple[float, float, np.ndarray]]:
+    """Panel by panel from rho 0 on: (widest angle, narrowest angle, masses of the grid's cells at its places and its end).
+
+    The joint distribution grows with rho by the joint density, so that one integration serves every rho.
+    """
     corner = np.outer(_normal_cdf(x), _normal_cdf(y))
-    # d/d rho of the joint CDF is the joint density; with rho = sin(theta) it stays smooth up to 1
-    top = math.asin(rho)
-    for node, weight in zip(_NODES, _WEIGHTS):
-        theta = top * (node + 1.0) / 2.0
-        s, c2 = math.sin(theta), math.cos(theta) ** 2
-        q = (x[:, None] ** 2 + y[None, :] ** 2 - 2.0 * s * np.outer(x, y)) / (2.0 * c2)
-        corner += weight * top / 2.0 * np.exp(-q) / (2.0 * math.pi)
-    return np.maximum(np.diff(np.diff(corner, axis=0), axis=1), 0.0)
+    apart, across = (x[:, None] - y[None, :]) ** 2, np.outer(x, y)
+    wide = math.pi / 2
+    for _ in range(PANELS):
+        narrow = wide / 2
+        angle = (wide + narrow) / 2 - (wide - narrow) / 2 * _PLACES[:, None, None]
+        density = np.exp(-(apart + 4 * np.sin(angle / 2) ** 2 * across) / (2 * np.sin(angle) ** 2)) / (2 * math.pi)
+        grown = corner + np.tensordot(_UP_TO, density, 1) * (wide - narrow) / 2
+        yield wide, narrow, _masses(grown)
+        corner, wide = grown[-1], narrow
 
 
 @lru_cache(maxsize=4096)
-def _dependence(rho: float, r: int, k: int) -> float:
-    """Chi-squared per record of the binned normal against independence, summed in blocks of rows."""
+def dependence_table(r: int, k: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Chi-squared per record of the binned normal against independence, for every rho.
+
+    Per panel: the values at its ends and the Chebyshev series between them; and the value at rho 1. Serves every
+    pair of features with ``r`` and ``k`` levels; grids are summed in blocks of at most ``BLOCK_CELLS`` cells or so.
+    """
     x, y = np.linspace(-REACH, REACH, r + 1), np.linspace(-REACH, REACH, k + 1)
     in_x, in_y = np.diff(_normal_cdf(x)), np.diff(_normal_cdf(y))
     flat_mass = in_x.sum() * in_y.sum()
-    joint_mass = _cells(rho, x[[0, -1]], y[[0, -1]])[0, 0]
-    step, total = max(1, BLOCK_CELLS // (k + 1)), 0.0
-    for start in range(0, r, step):
-        flat = np.outer(in_x[start:start + step], in_y) / flat_mass
-        joint = _cells(rho, x[start:start + step + 1], y) / joint_mass
-        total += float(np.sum((joint - flat) ** 2 / flat))
-    return total
+    whole = [masses[:, 0, 0] for _, _, masses in _cells(x[[0, -1]], y[[0, -1]])]
+    line_mass = in_x.sum()
+    values, strongest = np.zeros((PANELS, POINTS + 1)), 0.0
+    wide = min(k, BLOCK_CELLS)
+    high = max(1, BLOCK_CELLS // wide)
+    for i, j in product(range(0, r, high), range(0, k, wide)):
+        rows, columns = x[i:i + high + 1], y[j:j + wide + 1]
+        flat = np.outer(in_x[i:i + high], in_y[j:j + wide]) / flat_mass
+        for panel, (_, _, masses) in enumerate(_cells(rows, columns)):
+            joint = masses / whole[panel][:, None, None]
+            values[panel] += ((joint - flat) ** 2 / flat).sum(axis=(1, 2))
+        line = _masses(_normal_cdf(np.minimum.outer(rows, columns).ravel()).reshape(len(rows), -1)) / line_mass
+        strongest += float(((line - flat) ** 2 / flat).sum())
+    return values[:, -1], values[:, :-1] @ _SERIES.T, strongest
 
 
 def phik_from_chi2(chi2: float, n: float, r: int, k: int) -> float:
@@ -103,13 +131,17 @@ def phik_from_chi2(chi2: float, n: float, r: int, k: int) -> float:
         return 0.0
     if chi2 >= ceiling:
         return 1.0
-    strongest = _dependence(1.0 - 1e-9, r, k)
-    scale = (ceiling - pedestal) / strongest
-    low, high = 0.0, 1.0
-    for _ in range(24):
-        mid = (low + high) / 2.0
-        if pedestal + scale * _dependence(mid, r, k) < chi2:
-            low = mid
+    ends, series, strongest = dependence_table(min(r, k), max(r, k))
+    wanted = (chi2 - pedestal) / (ceiling - pedestal) * strongest
+    panel = int(np.searchsorted(ends, wanted))
+    wide = math.pi / 2 / 2 ** panel
+    if panel == PANELS:  # narrower than any panel: rho is 1 to nine digits
+        return math.cos(wide * min(1.0, max(0.0, (strongest - wanted) / (strongest - ends[-1]))))
+    low, high = -1.0, 1.0
+    for _ in range(50):
+        middle = (low + high) / 2
+        if np.polynomial.chebyshev.chebval(middle, series[panel]) < wanted:
+            low = middle
         else:
-            high = mid
-    return (low + high) / 2.0
+            high = middle
+    return math.cos(wide * (0.75 - low / 4))

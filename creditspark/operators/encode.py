@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from creditspark.functions.columns import clean_name
 from creditspark.operators.align import categorical_columns, numeric_columns, to_long
-from creditspark.operators.joins import byte_estimate, lookup_join
+from creditspark.operators.joins import byte_estimate, lookup_join, measured_bytes
 from creditspark.operators.profile import CARDINALITY_THRESHOLD
 from creditspark.session import materialize
 from creditspark.sources import files
 
+LEVEL_BYTES = 1 << 20
+
 
 def _unique_names(names: Sequence[str], taken: Sequence[str] = ()) -> list[str]:
     """The names, each with the first number from 2 on that makes it new, if it is not."""
@@ -34,15 +36,18 @@ def fit_levels(df: DataFrame, columns: Sequence[str],
                order: Mapping[str, Sequence[str]] | None = None) -> dict[str, list[str]]:
     """Known values per column as text, sorted unless an order is given.
 
-    Every value is to become a column, so this is for columns of few values; ``EncodingModel`` takes any.
+    Every value is to become a column, so this is for columns of few values; ``EncodingModel`` takes any. Values of
+    more than ``LEVEL_BYTES`` are refused.
     """
     order = dict(order or {})
     open_columns = [c for c in columns if c not in order]
     found: dict[str, list[str]] = {c: [] for c in open_columns}
     if open_columns:
-        values = (to_long(df, open_columns, kind="string").filter(F.col("value").isNotNull())
-                  .distinct().collect())
-        for row in values:
+        values = materialize(to_long(df, open_columns, kind="string").filter(F.col("value").isNotNull()).distinct())
+        size = measured_bytes(values)
+        if size > LEVEL_BYTES:
+            raise ValueError(f"{size} bytes of values are too many for a column each: use EncodingModel")
+        for row in values.collect():
             found[row["column"]].append(row["value"])
     return {c: list(order[c]) if c in order else sorted(found[c]) for c in columns}
 

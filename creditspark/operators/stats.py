@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import combinations
+from itertools import combinations, count
 
 import numpy as np
 import pandas as pd
@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from creditspark.functions import columns as C
 from creditspark.functions import numeric
 from creditspark.operators.align import to_long
-from creditspark.operators.joins import lookup_join
+from creditspark.operators.joins import lookup_join, measured_bytes
 from creditspark.operators.profile import most_frequent
 from creditspark.operators.ranks import exact_quantiles, ranked_counts
 from creditspark.session import materialize
@@ -176,7 +176,8 @@ def interpret_numeric(results: DataFrame) -> DataFrame:
 def chi2_from_cells(cells: DataFrame, keys: Sequence[str], a: str, b: str, yates: bool) -> DataFrame:
     """Chi-squared of each contingency table given as one row per non-empty cell (count ``n``).
 
-    Margins are aggregated and joined, so a table of any width is never gathered in one place.
+    Margins are aggregated and joined, so a table of any width is never gathered in one place. Margins of few values, as
+    those of a binary target are, reach all cells by a measured broadcast; wide ones by a shuffle on (table, value).
     """
     keys = list(keys)
     cells = materialize(cells)
@@ -187,11 +188,12 @@ def chi2_from_cells(cells: DataFrame, keys: Sequence[str], a: str, b: str, yates
         F.count("*").alias("r"), inverse.alias("_inv_a"), F.sum("_ra").alias("total"))
     per_col = cols.groupBy(*keys).agg(
         F.count("*").alias("k"), F.sum(F.lit(1.0) / F.col("_cb")).alias("_inv_b"))
-    sizes = per_row.join(per_col, keys)
+    sizes = materialize(per_row.join(per_col, keys))
 
     e = F.col("_ra") * F.col("_cb") / F.col("total")
+    placed = lookup_join(lookup_join(cells, rows, [*keys, a], "inner"), cols, [*keys, b], "inner")
     sums = (
-        cells.join(rows, [*keys, a]).join(cols, [*keys, b]).join(sizes.select(*keys, "total"), keys)
+        lookup_join(placed, sizes.select(*keys, "total"), keys, "inner", size=measured_bytes(sizes))
         .groupBy(*keys)
         .agg(F.sum(F.col("n") * F.col("n") / e).alias("_s"), F.max(F.abs(F.col("n") - e)).alias("_gap"))
     )
@@ -264,56 +266,96 @@ def interval_bins(df: DataFrame, columns: Sequence[str], bins: int = PHIK_BINS)
     return out
 
 
+def _coded(df: DataFrame, columns: Sequence[str], interval: Sequence[str], bins: int) -> tuple[DataFrame, DataFrame]:
+    """The columns as 64-bit codes of their levels, and the table of levels (column, code, value).
+
+    Codes are hashes, so no task holds a list of levels. The hash is seeded anew until no two levels of a column share a code.
+    """
+    numbered = interval_bins(df, list(interval), bins)
+    texts = df.select(*[(numbered[c] if c in numbered else F.col(c).cast("string")).alias(c) for c in sorted(columns)])
+    known = to_long(texts, sorted(columns), kind="string").filter(F.col("value").isNotNull())
+    levels = materialize(known.distinct())
+    for seed in count():
+        def code(c: str) -> Column:
+            return F.when(F.col(c).isNotNull(), F.xxhash64(F.lit(seed), F.col(c)))
+
+        table = levels.select("column", code("value").alias("code"), "value")
+        if table.groupBy("column", "code").count().filter("count > 1").isEmpty():
+            return texts.select(*[code(c).alias(c) for c in texts.columns]), table
+
+
+def _pair_codes(coded: DataFrame) -> DataFrame:
+    """Counts of every unordered column pair over codes: i, j (places of the columns), a, b, n."""
+    counts = coded.mapInArrow(_pair_counter(len(coded.columns)), "i int, j int, a long, b long, n long")
+    return counts.groupBy("i", "j", "a", "b").agg(F.sum("n").alias("n"))
+
+
 def pair_cells(df: DataFrame, columns: Sequence[str], interval: Sequence[str] = (),
                bins: int = PHIK_BINS) -> DataFrame:
     """Contingency counts of every unordered column pair: f1, b1, f2, b2, n.
 
     Each task counts its own rows for all pairs and emits counts, so rows are never multiplied by pairs.
     """
-    numbered = interval_bins(df, list(interval), bins)
-    names = sorted(columns)
-    coded = df.select(*[(numbered[c] if c in numbered else F.col(c).cast("string")).alias(c) for c in names])
-    counts = coded.mapInPandas(_pair_counter(names), "f1 string, b1 string, f2 string, b2 string, n long")
-    return counts.groupBy("f1", "b1", "f2", "b2").agg(F.sum("n").alias("n"))
-
-
-def _pair_counter(names: list[str], held: int = 2_000_000):
-    pairs = list(combinations(range(len(names)), 2))
-
-    def emit(levels: list[list], counts: dict) -> Iterator[pd.DataFrame]:
-        for (i, j), (codes, n) in counts.items():
-            left = np.array(levels[i], dtype=object)[codes >> 32]
-            right = np.array(levels[j], dtype=object)[codes & 0xFFFFFFFF]
-            yield pd.DataFrame({"f1": names[i], "b1": left, "f2": names[j], "b2": right, "n": n})
-
-    def merge(old, codes: np.ndarray, n: np.ndarray):
-        if old is not None:
-            codes, n = np.concatenate([old[0], codes]), np.concatenate([old[1], n])
-        unique, inverse = np.unique(codes, return_inverse=True)
-        return unique, np.bincount(inverse, weights=n).astype("int64")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lookup: list[dict] = [{} for _ in names]
-        levels: list[list] = [[] for _ in names]
-        counts: dict = {}
+    coded, levels = _coded(df, columns, interval, bins)
+    cells, size = _pair_codes(coded), measured_bytes(levels)
+    names = F.array(*[F.lit(c) for c in coded.columns])
+    for side, at, code in (("1", "i", "a"), ("2", "j", "b")):
+        named = levels.select(F.col("column").alias(f"f{side}"), F.col("code").alias(code), F.col("value").alias(f"b{side}"))
+        cells = lookup_join(cells.withColumn(f"f{side}", names[F.col(at)]), named, [f"f{side}", code], "inner", size=size)
+    return cells.select("f1", "b1", "f2", "b2", "n")
+
+
+def _pair_counter(columns: int, held: int = 4_000_000):
+    """Task function: counts of all pairs of code columns in blocks of rows of at most ``held`` codes.
+
+    A block keeps nothing for the next one; Spark adds up the counts, and can spill them.
+    """
+    pairs = list(combinations(range(columns), 2))
+
+    def numbered(block: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per column the distinct codes, and for every row the number of its code (-1 for NULL)."""
+        out = []
+        for column in block.columns:
+            found = column.combine_chunks().dictionary_encode()
+            out.append((found.dictionary.to_numpy(zero_copy_only=False),
+                        found.indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)))
+        return out
+
+    def counted(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        columns, rows, waiting = numbered(block), [], 0
+        for i, j in pairs:
+            (left, u), (right, v) = columns[i], columns[j]
+            both = (u >= 0) & (v >= 0)
+            cell = u[both] * len(right) + v[both]
+            if len(left) * len(right) <= 4 * len(cell):
+                n = np.bincount(cell)
+                cell = np.flatnonzero(n)
+                n = n[cell]
+            else:
+                cell, n = np.unique(cell, return_counts=True)
+            if len(cell):
+                rows.append((np.full(len(cell), i, np.int32), np.full(len(cell), j, np.int32), left[cell // len(right)],
+                             right[cell % len(right)], n.astype(np.int64)))
+                waiting += len(cell)
+            if waiting > 1 << 17:
+                yield emit(rows)
+                rows, waiting = [], 0
+        if rows:
+            yield emit(rows)
+
+    def emit(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows)], ["i", "j", "a", "b", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, rows = [], 0
         for batch in batches:
-            coded = []
-            for c, name in enumerate(names):
-                codes, found = pd.factorize(batch[name])
-                for level in found:
-                    if level not in lookup[c]:
-                        lookup[c][level] = len(levels[c])
-                        levels[c].append(level)
-                known = np.array([lookup[c][v] for v in found] + [-1], dtype="int64")
-                coded.append(known[codes])
-            for i, j in pairs:
-                both = (coded[i] >= 0) & (coded[j] >= 0)
-                codes, n = np.unique((coded[i][both] << 32) | coded[j][both], return_counts=True)
-                counts[i, j] = merge(counts.get((i, j)), codes, n)
-            if sum(len(v[0]) for v in counts.values()) > held:
-                yield from emit(levels, counts)
-                counts = {}
-        yield from emit(levels, counts)
+            block.append(batch)
+            rows += batch.num_rows
+            if rows * columns >= held:
+                yield from counted(pa.Table.from_batches(block))
+                block, rows = [], 0
+        if rows:
+            yield from counted(pa.Table.from_batches(block))
 
     return run
 
@@ -321,9 +363,10 @@ def _pair_counter(names: list[str], held: int = 2_000_000):
 def phik_pairs(df: DataFrame, columns: Sequence[str], interval: Sequence[str] = (),
                bins: int = PHIK_BINS) -> DataFrame:
     """phi_k of every unordered column pair: feature1 < feature2, coefficient."""
-    cells = pair_cells(df, columns, interval, bins)
-    found = chi2_from_cells(cells, ["f1", "f2"], "b1", "b2", False)
-    return found.select(F.col("f1").alias("feature1"), F.col("f2").alias("feature2"),
+    coded, _ = _coded(df, columns, interval, bins)
+    names = F.array(*[F.lit(c) for c in coded.columns])
+    found = chi2_from_cells(_pair_codes(coded), ["i", "j"], "a", "b", False)
+    return found.select(names[F.col("i")].alias("feature1"), names[F.col("j")].alias("feature2"),
                         _phik("chi2", "n", "r", "k").alias("coefficient"))
 
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,15 +121,40 @@ def test_phik_limits_and_monotony():
     assert found == sorted(found) and found[0] > 0
 
 
-def test_phik_recovers_the_correlation_of_a_binned_normal():
-    import numpy as np
-
-    edges = np.linspace(-5, 5, 11)
-    for rho in (0.2, 0.5, 0.8):
-        joint = numeric._cells(rho, edges, edges)
-        joint /= joint.sum()
-        flat = np.outer(joint.sum(1), joint.sum(0))
-        per_row = float(((joint - flat) ** 2 / flat).sum())
-        # without noise the pedestal is negligible against this many rows; scaling by the largest reachable
-        # dependence keeps the estimate close to, not exactly at, the generating correlation
-        assert numeric.phik_from_chi2(per_row * 1e9, 1e9, 10, 10) == pytest.approx(rho, abs=0.01)
+def dependence(rho, r, k):
+    """Chi-squared per record of the binned normal, integrated over x of the conditional distribution of y."""
+    nodes, weights = np.polynomial.legendre.leggauss(200)
+    x, y = np.linspace(-5, 5, r + 1), np.linspace(-5, 5, k + 1)
+    joint = np.zeros((r, k))
+    for i in range(r):
+        half = (x[i + 1] - x[i]) / 2
+        at = x[i] + half * (1 + nodes)
+        below = numeric._normal_cdf(((y[:, None] - rho * at) / math.sqrt(1 - rho * rho)).ravel()).reshape(k + 1, -1)
+        joint[i] = (np.diff(below, axis=0) * np.exp(-at * at / 2) * weights).sum(axis=1) * half
+    joint /= joint.sum()
+    flat = np.outer(*(np.diff(numeric._normal_cdf(edges)) / np.diff(numeric._normal_cdf(edges)).sum() for edges in (x, y)))
+    return float(((joint - flat) ** 2 / flat).sum())
+
+
+@pytest.mark.parametrize("r, k", [(2, 2), (2, 9), (5, 3), (10, 10), (12, 40)])
+def test_phik_recovers_the_correlation_of_a_binned_normal(r, k):
+    n, strongest = 1e7, numeric.dependence_table(min(r, k), max(r, k))[2]
+    pedestal, ceiling = (r - 1) * (k - 1), n * (min(r, k) - 1)
+    for rho in (0.02, 0.3, 0.6, 0.9):
+        chi2 = pedestal + (ceiling - pedestal) / strongest * dependence(rho, r, k)
+        assert numeric.phik_from_chi2(chi2, n, r, k) == pytest.approx(rho, abs=1e-6)
+        assert numeric.phik_from_chi2(chi2, n, k, r) == numeric.phik_from_chi2(chi2, n, r, k)
+
+
+def test_phik_of_two_by_two_tables_in_closed_form():
+    # the closed form is that of the whole plane; a share of 1.1e-6 of it lies beyond 5 standard deviations
+    for chi2 in (1.5, 30, 400, 990, 999.999):
+        assert numeric.phik_from_chi2(chi2, 1000, 2, 2) == pytest.approx(
+            math.sin(math.pi / 2 * math.sqrt((chi2 - 1) / 999)), abs=3e-6)
+
+
+def test_phik_blocks_of_a_wide_grid(monkeypatch):
+    whole = numeric.dependence_table.__wrapped__(7, 30)
+    monkeypatch.setattr(numeric, "BLOCK_CELLS", 16)
+    cut = numeric.dependence_table.__wrapped__(7, 30)
+    assert all(a == pytest.approx(b, rel=1e-9, abs=1e-9) for a, b in zip(whole, cut))

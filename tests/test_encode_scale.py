@@ -87,3 +87,9 @@ def test_scaling_skips_nulls_in_fit_and_keeps_them(spark):
     df = spark.createDataFrame([(1, 1.0), (2, None), (3, 3.0)], "id long, x double")
     got = {r.id: r.x for r in ScaleModel.fit(df, keep=["id"]).transform(df).collect()}
     assert got == {1: -1.0, 2: None, 3: 1.0}
+
+
+def test_levels_too_many_for_columns_are_refused(spark):
+    df = spark.createDataFrame([(f"{i}" * 200,) for i in range(3000)], "t string")
+    with pytest.raises(ValueError, match="EncodingModel"):
+        fit_levels(df, ["t"])

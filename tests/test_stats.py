@@ -7,6 +7,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,12 +154,33 @@ def test_pair_cells_count_every_pair(spark):
     assert got == dict(want)
 
 
-def test_pair_counter_flushes_without_losing_counts():
-    batch = pd.DataFrame({"a": ["p", "q", "p", None], "b": ["x", "x", "y", "y"]})
-    for held in (0, 10):
-        out = pd.concat(S._pair_counter(["a", "b"], held)(iter([batch, batch, batch])))
-        got = out.groupby(["b1", "b2"])["n"].sum().to_dict()
-        assert got == {("p", "x"): 3, ("q", "x"): 3, ("p", "y"): 3}
+def test_pair_counter_keeps_nothing_between_blocks():
+    batch = pa.RecordBatch.from_pydict({"a": pa.array([7, -8, 7, None], pa.int64()), "b": pa.array([1, 1, 2, 2], pa.int64())})
+    for held, emitted in ((1, 9), (1000, 3)):
+        out = pd.concat(b.to_pandas() for b in S._pair_counter(2, held)(iter([batch, batch, batch])))
+        assert len(out) == emitted
+        assert out.groupby(["a", "b"])["n"].sum().to_dict() == {(7, 1): 3, (-8, 1): 3, (7, 2): 3}
+
+
+def test_pairs_with_a_text_of_its_own_in_every_row(spark):
+    rows = [(f"text {i} " * 20, "p" if i % 3 else "q", i % 2) for i in range(3000)]
+    df = spark.createDataFrame(rows, "a string, b string, c int").repartition(3)
+    cells = S.pair_cells(df, ["a", "b", "c"])
+    assert {(r.f1, r.f2): (r.k, r.n) for r in cells.groupBy("f1", "f2").agg(
+        F.count("*").alias("k"), F.sum("n").alias("n")).collect()} == {
+        ("a", "b"): (3000, 3000), ("a", "c"): (3000, 3000), ("b", "c"): (4, 3000)}
+    assert {r.b1 for r in cells.filter("f1 = 'a' and f2 = 'b'").collect()} == {r[0] for r in rows}
+
+
+def test_chi2_of_a_hot_binary_target_and_many_values(spark):
+    rows = [(str(i % 700), int(i % 11 == 0)) for i in range(5000)]
+    df = spark.createDataFrame(rows, "v string, y int")
+    got = S.chi_squared_tests(df, ["v"], "y").first()
+    counts = np.zeros((700, 2))
+    for v, y in rows:
+        counts[int(v), y] += 1
+    flat = counts.sum(1, keepdims=True) * counts.sum(0) / 5000
+    assert got.chi2_statistic == pytest.approx(((counts - flat) ** 2 / flat).sum()) and got.degrees_of_freedom == 699
 
 
 def test_phik_of_copies_noise_and_constants(spark):
