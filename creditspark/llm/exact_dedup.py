@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from creditspark.llm.rows import row_key, text_of
+from creditspark.operators.joins import lookup_join
 from creditspark.session import materialize
 
 BLOCK = 8192
@@ -86,7 +87,7 @@ def name_keys(rows: DataFrame, key: list[str], unique: list[str]) -> DataFrame:
     outer = found.filter(edge[0].isNotNull())
     same = outer.groupBy(*edge).agg(F.min("_name").alias("name"), F.collect_set("_name").alias("_names")).filter("size(_names) > 1")
     same = same.select("name", F.explode("_names").alias("_name"))
-    rows = found.filter(edge[0].isNull()).select(*carried, "_name").join(F.broadcast(same), "_name", "left")
+    rows = lookup_join(found.filter(edge[0].isNull()).select(*carried, "_name"), same, "_name")
     return rows.select(*carried, F.coalesce("name", "_name").alias("name"))
 
 

@@ -191,8 +191,10 @@ def link(leaves: DataFrame, budget: int = 3, limit: int = TASK_LEAVES) -> DataFr
     """Links ``a``, ``b`` that tie together all fingerprints ``fp`` (distinct) within ``budget`` bits of each other."""
     found = None
     for depth, pairs in node_pairs(leaves, budget, limit).items():
-        # a finished node has at most ``limit`` fingerprints, unless one bit is left
-        packed = leaves.groupBy(_prefix(depth).alias("node")).agg(F.collect_list("fp").alias("fps"))
+        # only nodes of finished pairs are gathered: they have at most ``limit`` fingerprints, unless one bit is left
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        packed = (leaves.withColumn("node", _prefix(depth)).join(wanted, "node", "left_semi")
+                  .groupBy("node").agg(F.collect_list("fp").alias("fps")))
         unit = [F.lit(depth).alias("depth"), "a", "b", "diff"]
         left = pairs.join(packed, F.col("a") == F.col("node")).select(*unit, F.lit(0).alias("side"), "fps")
         right = (pairs.filter("a <> b").join(packed, F.col("b") == F.col("node"))
