@@ -32,12 +32,12 @@ def _results(df: DataFrame, *columns: str) -> DataFrame:
 
 def mann_whitney(spark, sf):
     found = stats.numeric_tests(_orders(spark, sf), ["price", "tied"], "label")
-    return _results(found, "statistic", "effect_size", "group0_median", "group1_median", "group0_size", "group1_size")
+    return _results(found, "statistic", "p_value", "effect_size", "group0_median", "group1_median", "group0_size", "group1_size")
 
 
 def moods_median(spark, sf):
     found = stats.numeric_tests(_orders(spark, sf), ["price", "tied"], "label", "moods_median")
-    return _results(found, "statistic", "effect_size", "group0_median", "group1_median", "group0_size", "group1_size")
+    return _results(found, "statistic", "p_value", "effect_size", "group0_median", "group1_median", "group0_size", "group1_size")
 
 
 def mann_whitney_imputed(spark, sf):
@@ -55,7 +55,7 @@ def chi_squared(spark, sf):
     found = stats.chi_squared_tests(ROLES["client"](spark, sf),
                                     ["OCCUPATION_TYPE", "ORGANIZATION_TYPE", "FLAG_OWN_CAR"], TARGET)
     return rounded(found.select("column", "chi2_statistic", F.col("degrees_of_freedom").cast("long")
-                                .alias("degrees_of_freedom"), "effect_size"))
+                                .alias("degrees_of_freedom"), "p_value", "effect_size"))
 
 
 def chi_squared_imputed(spark, sf):
@@ -81,8 +81,10 @@ def _mixed_lines(spark, sf) -> DataFrame:
 
 MIXED = ["l_quantity", "l_extendedprice", "l_discount", "line", "flag", "status"]
 MIXED_INTERVAL = ["l_quantity", "l_extendedprice", "l_discount"]
-FLAGS = {"big": "l_quantity > 25", "dear": "l_extendedprice > 40000", "first": "l_linenumber <= 2", "open": "l_linestatus = 'O'",
-         "returned": "l_returnflag = 'R'"}
+FLAGS = {
+    "big": "l_quantity > 25", "dear": "l_extendedprice > 40000", "net": "l_extendedprice * (1 - l_discount) > 40000",
+    "first": "l_linenumber <= 2", "open": "l_linestatus = 'O'", "returned": "l_returnflag = 'R'",
+}
 
 
 def phik_contingency(spark, sf):
@@ -207,6 +209,17 @@ U_COLUMNS = f"""col as "column", {r6('u', 4)} as statistic, {r6('2 * u / (cast(n
 Z = """(greatest(u, cast(n0 as double) * n1 - u) - cast(n0 as double) * n1 / 2 - 0.5e0) / sqrt(cast(n0 as double) * n1 / 12
   * ((n0 + n1 + 1) - ties / (cast(n0 + n1 as double) * (n0 + n1 - 1))))"""
 
+MOOD = """pow(abs(a0 - n0 * (a0 + a1) / n) - least(0.5e0, abs(a0 - n0 * (a0 + a1) / n)), 2)
+    * n * (1 / n0 + 1 / n1) * (1 / (a0 + a1) + 1 / (n - a0 - a1))"""
+
+
+def _tail(chi2: str, dof: str) -> str:
+    """P(X >= chi2): one minus the series of the lower incomplete gamma function, all of whose terms are positive."""
+    term = f"exp(({dof} / 2.0e0 + i) * ln({chi2} / 2) - {chi2} / 2 - lgamma({dof} / 2.0e0 + i + 1))"
+    return (f"case when {chi2} <= 0 then 1.0e0 when {chi2} > 2000 then 0.0e0 "
+            f"else 1 - list_sum([{term} for i in range(2000)]) end")
+
+
 CELLS = """  select col, value, TARGET, count(*) as n from (
     select 'OCCUPATION_TYPE' as col, OCCUPATION_TYPE as value, TARGET from client
     union all select 'ORGANIZATION_TYPE', ORGANIZATION_TYPE, TARGET from client
@@ -264,7 +277,8 @@ POINTS = """  select p1 as threshold, sum(count(*) filter (where label = 1)) ove
 T_975_4 = "2.7764451051977987e0"
 
 SQL = {
-    "mann_whitney": with_roles("", f"select {U_COLUMNS}, n0 as group0_size, n1 as group1_size from u",
+    "mann_whitney": with_roles("", f"""select {U_COLUMNS}, n0 as group0_size, n1 as group1_size,
+  {r6(_tail('z2', '1'), 4)} as p_value from (select *, pow(greatest({Z}, 0), 2) as z2 from u)""",
                                o=ORDERS, x=LONG, ranked=RANKED, u=U_TEST),
     "mann_whitney_imputed": with_roles("", f"select {U_COLUMNS} from u", o=ORDERS, x=IMPUTED, ranked=RANKED, u=U_TEST),
     "numeric_significance": with_roles("", f"""select col as "column", 'Mann-Whitney U test' as test_name,
@@ -274,9 +288,8 @@ SQL = {
     when abs(2 * u / (cast(n0 as double) * n1) - 1) < 0.5 then 'small'
     when abs(2 * u / (cast(n0 as double) * n1) - 1) < 0.8 then 'medium' else 'large' end as effect_magnitude
 from u""", o=ORDERS, x=LONG, ranked=RANKED, u=U_TEST),
-    "moods_median": with_roles("", f"""select col as "column", {r6('''pow(abs(a0 - n0 * (a0 + a1) / n)
-    - least(0.5e0, abs(a0 - n0 * (a0 + a1) / n)), 2) * n * (1 / n0 + 1 / n1) * (1 / (a0 + a1) + 1 / (n - a0 - a1))''', 4)}
-    as statistic, {r6('(mean0 - mean1) / sqrt((s0 * s0 + s1 * s1) / 2)', 4)} as effect_size,
+    "moods_median": with_roles("", f"""select col as "column", {r6(MOOD, 4)} as statistic,
+  {r6(_tail(f"({MOOD})", '1'), 4)} as p_value, {r6('(mean0 - mean1) / sqrt((s0 * s0 + s1 * s1) / 2)', 4)} as effect_size,
   {r6('m0', 4)} as group0_median, {r6('m1', 4)} as group1_median, cast(n0 as bigint) as group0_size,
   cast(n1 as bigint) as group1_size
 from (select x.col, cast(count(*) as double) as n, cast(count(*) filter (where label = 0) as double) as n0,
@@ -289,7 +302,8 @@ from (select x.col, cast(count(*) as double) as n, cast(count(*) filter (where l
   from x join (select col, quantile_cont(v, 0.5) as m from x group by col) g on x.col = g.col group by x.col)""",
                                o=ORDERS, x=LONG),
     "chi_squared": with_roles("client", f"""select col as "column", {r6('chi2')} as chi2_statistic,
-  (r - 1) * (k - 1) as degrees_of_freedom, {r6(V)} as effect_size from c""", cells=CELLS, c=CHI2),
+  (r - 1) * (k - 1) as degrees_of_freedom, {r6(_tail('chi2', '((r - 1) * (k - 1))'))} as p_value,
+  {r6(V)} as effect_size from c""", cells=CELLS, c=CHI2),
     "chi_squared_imputed": with_roles("client", f"""select col as "column", {r6('chi2')} as chi2_statistic,
   {r6(V)} as effect_size from c""", cells=IMPUTED_CELLS, c=CHI2),
     # fixed values: 5 % points of chi-squared with 1 and 3 degrees of freedom
