@@ -10,6 +10,8 @@ A fingerprint has at most 43,744 others within three bits, so that dense groups
 
 Null texts count as empty; a text without words has fingerprint zero and is linked like any other. Equal fingerprints
 are one leaf, so copies are never paired. A null id is never the smallest of its component unless all are null.
+Repeated rows share id, fingerprint and component and are all returned; an empty table gives no rows; further columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
