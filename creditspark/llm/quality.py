@@ -33,6 +33,7 @@ HIDDEN = 24
 EPOCHS = 60
 SEED = 7
 SHRINK = 10
+AT_ONCE = 1 << 15
 
 KIND = np.full(256, 3, np.uint8)
 KIND[texts.SPACE] = 0
@@ -68,11 +69,17 @@ def context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row per bucket a task has met: the sum of its neighbours' index vectors."""
     table = np.zeros(BUCKETS * WIDTH, np.int64)
     for batch in batches:
+        # the last words of a stretch come before the next, so that a cut in a long text parts no neighbours
+        last_owner, last = np.zeros(0, np.int64), np.zeros(0, np.uint64)
         for owner, words in _words(batch.column(0)):
+            carried = len(last)
+            owner, words = np.append(last_owner, owner), np.append(last, words)
+            last_owner, last = owner[-WINDOW:], words[-WINDOW:]
             bucket = (words & np.uint64(BUCKETS - 1)).astype(np.int64) * WIDTH
             drawn = _draw(words)
             for step in range(1, min(WINDOW, len(words) - 1) + 1):
                 same = owner[step:] == owner[:-step]
+                same[:max(0, carried - step)] = False  # both carried: counted already
                 for half in (drawn // (2 * WIDTH), drawn % (2 * WIDTH)):
                     place, sign = half >> 1, 1 - 2 * (half & 1)
                     np.add.at(table, (bucket[:-step] + place[step:])[same], sign[step:][same])
@@ -101,22 +108,26 @@ def pool(column: pa.Array, table: np.ndarray) -> np.ndarray:
     """Features of each text of a batch; one row per text."""
     n = len(column)
     sums, counts, pairs = np.zeros((n, 3 * WIDTH)), np.zeros(n), np.zeros(n)
-    for owner, words in _words(column):
-        if not len(words):
-            continue
-        first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        last = np.append(first[1:], len(words))
-        vectors = INDEX[_draw(words)]
-        beside = np.zeros_like(vectors)
-        np.multiply(vectors[1:], vectors[:-1], out=beside[1:])
-        beside[first] = 0
-        known = table[(words & np.uint64(BUCKETS - 1)).astype(np.int64)]
-        ones = np.ones(int((last - first).max()), np.float32)
-        for document, at, to in zip(owner[first], first, last):
-            for k, part in enumerate((known, vectors, beside)):
-                sums[document, k * WIDTH:(k + 1) * WIDTH] += ones[:to - at] @ part[at:to]
-            counts[document] += to - at
-            pairs[document] += to - at - 1
+    ones = np.ones(AT_ONCE, np.float32)
+    last_owner, last = -1, np.zeros(WIDTH, np.float32)
+    for owners, all_words in _words(column):
+        for low in range(0, len(all_words), AT_ONCE):
+            owner, words = owners[low:low + AT_ONCE], all_words[low:low + AT_ONCE]
+            follows = np.append(owner[0] == last_owner, owner[1:] == owner[:-1])
+            first = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            ends = np.append(first[1:], len(words))
+            vectors = INDEX[_draw(words)]
+            beside = np.empty_like(vectors)
+            np.multiply(vectors[0], last, out=beside[0])
+            np.multiply(vectors[1:], vectors[:-1], out=beside[1:])
+            beside[~follows] = 0
+            last_owner, last = owner[-1], vectors[-1].copy()
+            known = table[(words & np.uint64(BUCKETS - 1)).astype(np.int64)]
+            for document, at, to in zip(owner[first], first, ends):
+                for k, part in enumerate((known, vectors, beside)):
+                    sums[document, k * WIDTH:(k + 1) * WIDTH] += ones[:to - at] @ part[at:to]
+                counts[document] += to - at
+                pairs[document] += to - at - 1 + follows[at]
     means = sums / np.maximum(counts, 1)[:, None]
     means[:, 2 * WIDTH:] = sums[:, 2 * WIDTH:] / np.maximum(pairs, 1)[:, None]
     lengths = [np.linalg.norm(means[:, k * WIDTH:(k + 1) * WIDTH], axis=1) for k in range(3)]

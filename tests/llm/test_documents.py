@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -214,6 +215,17 @@ def test_swaps_empty_a_bin():
     assert all(sum(sizes[i] for i in b) <= 2048 for b in packed)
 
 
+def test_pairs_of_any_two_pieces_empty_a_bin():
+    # twenty small pieces of sizes of their own come first; only the pair at the end fills the other bin
+    small = [2 * k + 2 for k in range(20)]
+    sizes = small + [101, 104, 1000 - 205]
+    bins = [list(range(22)), [22]]
+    assert sum(sizes[i] for i in bins[0]) <= 1000
+    offers = packing._offers(bins[0], sizes)
+    assert (20, 21) in offers and len(offers) == 22 + 22 * 21 // 2
+    assert packing._offers([0, 1, 2], [5, 5, 7]) == [(0,), (2,), (0, 2), (0, 1)]
+
+
 def test_sharding_follows_the_tree(docs):
     tree, grown = sharding.regular_tree(16), sharding.regular_tree(17)
 
@@ -274,6 +286,34 @@ def test_quality_separates_held_out_rows(spark):
     assert all(0 <= r["score_2"] <= 1 and r["predicted"] == int(r["score_2"] >= 0.5) for r in found.values())
 
 
+def test_quality_reads_long_texts_alike_however_cut(monkeypatch):
+    rows = [_text(r[1]) for r in _rows()] + ["a b a", " ".join(f"w{i % 97}, {i % 13}" for i in range(3000))]
+    column = pa.array([*rows, None])
+    table = np.random.default_rng(1).normal(size=(quality.BUCKETS, quality.WIDTH)).astype(np.float32)
+
+    def read():
+        sums = np.zeros((quality.BUCKETS, quality.WIDTH), np.int64)
+        for batch in quality.context_rows(iter([pa.record_batch([column], ["text"])])):
+            np.add.at(sums, batch.column(0).to_numpy(), np.array(batch.column(1).to_pylist()))
+        return sums, quality.pool(column, table)
+
+    sums, pooled = read()
+    # by hand: every word beside those up to two places away in its own text
+    want = np.zeros_like(sums)
+    for at in range(len(column)):
+        for _, words in quality._words(column[at:at + 1]):
+            index = quality.INDEX[quality._draw(words)].astype(np.int64)
+            for i, word in enumerate(words):
+                for j in range(max(0, i - 2), min(len(words), i + 3)):
+                    want[int(word) % quality.BUCKETS] += index[j] * (j != i)
+    assert (sums == want).all()
+    cut = quality.texts.pieces
+    monkeypatch.setattr(quality.texts, "pieces", lambda data, ends: cut(data, ends, 61))
+    monkeypatch.setattr(quality, "AT_ONCE", 7)
+    again, pooled_again = read()
+    assert (again == sums).all() and np.allclose(pooled, pooled_again, atol=1e-4)
+
+
 def test_quality_without_labels(docs):
     labels = docs.sparkSession.createDataFrame([], "doc_id long, quality int")
     got = quality.score_quality(docs, labels).collect()
