@@ -33,7 +33,7 @@ LENGTH = 2048
 END_ID = 0
 GROUP_BYTES = 32 << 20
 WORDS_KEPT = 1_000_000
-PAIRED = 12
+PLAIN_SIGNS = (".", ",", ";", ":", "!", "?")
 
 
 class _Irregular(Exception):
@@ -56,6 +56,8 @@ class WordIds(dict):
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this tokenizer do not fit 16 bits")
         self.split, self.merge, self.parts = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize, {}
+        # does the splitter keep a run of plain letters whole, with the space before it (written as Ġ), and a sign apart?
+        self.runs = [[p for p, _ in self.split(s)] for s in (" aZZab", " aZZab.")] == [["ĠaZZab"], ["ĠaZZab", "."]]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
@@ -70,11 +72,15 @@ class WordIds(dict):
         return found
 
     def __missing__(self, word: str) -> bytes:
-        bare = word[1:] if word[:1] == "\0" else word
-        if word != "\n" and (not bare or bare != bare.strip()):
-            raise _Irregular
-        content = bare if bare is not word or word == "\n" else " " + word
-        found = b"".join([self.part(part) for part, _ in self.split(content)])
+        letters = word[:-1] if word[-1:] in PLAIN_SIGNS else word
+        if self.runs and letters.isascii() and letters.isalpha():
+            found = self.part("Ġ" + letters) + (b"" if letters is word else self.part(word[-1]))
+        else:
+            bare = word[1:] if word[:1] == "\0" else word
+            if word != "\n" and (not bare or bare != bare.strip()):
+                raise _Irregular
+            content = bare if bare is not word or word == "\n" else " " + word
+            found = b"".join([self.part(part) for part, _ in self.split(content)])
         if len(self) >= WORDS_KEPT:
             self.clear()
         self[word] = found
@@ -184,9 +190,16 @@ def best_fit(sizes: list[int], cap: int) -> list[list[int]]:
 
 
 def _offers(members: list[int], sizes: list[int]) -> list[tuple[int, ...]]:
-    """What a bin can give: each piece, and each pair among its first ``PAIRED`` pieces."""
-    few = members[:PAIRED]
-    return [(i,) for i in members] + [(i, j) for n, i in enumerate(few) for j in few[n + 1:]]
+    """What a bin can give: a piece of each size it holds, and two pieces of each two sizes.
+
+    Pieces of one size are alike, and different sizes that fit one bin are few: below 64 in 2048 tokens.
+    """
+    alike: dict[int, list[int]] = {}
+    for i in members:
+        alike.setdefault(sizes[i], []).append(i)
+    one = [same[0] for same in alike.values()]
+    return ([(i,) for i in one] + [(i, j) for n, i in enumerate(one) for j in one[n + 1:]]
+            + [(same[0], same[1]) for same in alike.values() if len(same) > 1])
 
 
 class _Table:
