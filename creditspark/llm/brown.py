@@ -1,19 +1,26 @@
 """Language-model scores from a class-based bigram model.
 
-The ``UNITS`` most frequent words are units of their own; all other words form one unit for each *shape* (length,
-closing sign, letters beyond ASCII, digits). Exchange clustering sorts the units into ``CLASSES`` classes: each unit
-in turn moves to the class that raises the likelihood of the corpus's bigrams most, until a sweep moves none. Then
+The at most ``HEAVY`` most frequent words are units of their own; all other words form one unit for each *shape*
+(length, closing sign, letters beyond ASCII, digits). Units are sorted into ``CLASSES`` classes in two steps:
+
+1. *Exchange* over the ``UNITS`` most frequent words and the shapes (of all other words): each in turn moves to the class
+   that raises the likelihood of the corpus's bigrams most, until a sweep moves none.
+2. *Spread.* Of every other frequent word all neighbours in the corpus are counted by their classes, and the word is
+   taken out of its shape's class and put where the same gain is highest. Words are independent of each other here, so
+   Spark counts their contexts by a shuffle and places them in blocks.
+
+Class transitions are then counted anew over all texts, and
 
     P(word | word before) = P(class | class before) * P(unit | class) * P(word | unit),
 
-with class transitions discounted and backed off to class frequencies, and words of a shape discounted. The mass so
+with class transitions discounted and backed off to class frequencies, and all words discounted. The mass so
 gained is that of all unseen words of the shape together, and an unseen word's part of it is its spelling's: the product
 of its letters' frequencies in the training texts and that of a word's end, which sums to at most 1 over all words.
 
-Every statistic covers all training texts: word counts, bigrams of units, words and tokens per shape. Only tables of a
-fixed size reach the driver: the counts of the ``HEAVY`` most frequent words and the matrix of unit bigrams. Rarer
-words, whose number grows with the corpus, are counted and looked up by a shuffle join on a 64-bit word hash; the
-frequent ones never enter that join, so it has no hot key.
+Every statistic covers all training texts: word counts, contexts, bigrams of classes, words and tokens per shape. Only
+tables of a fixed size reach the driver: the counts and classes of the frequent words and bigrams of the first units and
+of classes. Contexts stay in Spark. Rarer words, whose number grows with the corpus, are counted and looked up by a
+shuffle join on a 64-bit word hash; the frequent ones never enter that join, so it has no hot key.
 
 Null and empty texts hold one token, the end. Without training rows every word is unseen. A null id is training data;
 repeated rows count and score as rows of their own. An empty table gives no rows.
@@ -71,6 +78,8 @@ def spelled(column: pa.Array, letters: np.ndarray) -> Iterator[tuple[np.ndarray,
         closed[-1] = not going_on
         total = np.bincount(owner, minlength=len(documents)) + closed
         stop = np.cumsum(total)
+        if not stop[-1]:
+            continue  # nothing but white space inside a long text
         word, text = np.full(int(stop[-1]), END, np.uint64), np.repeat(documents, total)
         inner = np.ones(len(word), bool)
         inner[stop[closed == 1] - 1] = False
@@ -171,32 +180,36 @@ class Units:
         self.total = len(first) + SHAPES
         self.end = 0  # END is the smallest
 
+    def places(self, word: np.ndarray) -> np.ndarray:
+        """Where each word stands among the frequent ones, -1 if it is none."""
+        if not len(self.words):
+            return np.full(len(word), -1)
+        place = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
+        return np.where(self.words[place] == word, place, -1)
+
     def look_up(self, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The count of each word (-1 if it is not a frequent one) and its unit."""
+        place = self.places(word)
         shape = self.single + (word & np.uint64(SHAPES - 1)).astype(np.int64)
-        if not len(self.words):
-            return np.full(len(word), -1), np.where(word == END, self.end, shape)
-        place = np.minimum(np.searchsorted(self.words, word), len(self.words) - 1)
-        known = self.words[place] == word
-        own = np.where(known, self.own[place], -1)
+        own = np.append(self.own, -1)[place]  # the last entry is that of unknown words
         unit = np.where(own >= 0, own, shape)
-        return np.where(known, self.counts[place], -1), np.where(word == END, self.end, unit)
+        return np.append(self.counts, -1)[place], np.where(word == END, self.end, unit)
 
 
-def unit_bigrams(docs: DataFrame, units: Units) -> np.ndarray:
-    """Counts of (unit before, unit) over all training texts, as a matrix of fixed size."""
-    size, held = units.total, docs.sparkSession.sparkContext.broadcast(units)
+def bigram_counts(docs: DataFrame, units: Units, group: np.ndarray) -> np.ndarray:
+    """Counts of (group before, group) over all training texts, where ``group`` has one for each unit."""
+    size, held = int(group.max()) + 1, docs.sparkSession.sparkContext.broadcast((units, group))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, matrix = held.value, np.zeros(size * size, np.int64)
+        (units, group), matrix = held.value, np.zeros(size * size, np.int64)
         for batch in batches:
             train = batch.column(1).to_numpy(zero_copy_only=False)
-            before = units.end
+            before = group[units.end]
             for text, word in stream(batch.column(0)):
-                unit = units.look_up(word)[1]
-                cell = np.append(before, unit[:-1]) * size + unit
+                here = group[units.look_up(word)[1]]
+                cell = np.append(before, here[:-1]) * size + here
                 matrix += np.bincount(cell[train[text]], minlength=size * size)
-                before = unit[-1]
+                before = here[-1]
         met = np.flatnonzero(matrix)
         for at in range(0, len(met), 1 << 16):
             part = met[at:at + (1 << 16)]
@@ -213,6 +226,19 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def _gains(table: np.ndarray, after: np.ndarray, before: np.ndarray, own: float) -> np.ndarray:
+    """Likelihood gained by adding a unit to each class of ``table``: its row, its column, its own cell, and the two margins."""
+    rows, columns = table + after, table + before[:, None]
+    plain = _xlogx(table)
+    gain = (_xlogx(rows) - plain).sum(1) + (_xlogx(columns) - plain).sum(0)
+    diagonal = np.diag(table)
+    gain -= _xlogx(diagonal + after) + _xlogx(diagonal + before) - 2 * _xlogx(diagonal)
+    gain += _xlogx(diagonal + after + before + own) - _xlogx(diagonal)
+    for margin, part in ((table.sum(1) + before, after.sum() + own), (table.sum(0) + after, before.sum() + own)):
+        gain -= _xlogx(margin + part) - _xlogx(margin)
+    return gain
+
+
 def exchange_classes(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
     """The class of each unit: units move, most frequent first, to the class that raises the bigram likelihood most."""
     size = len(bigrams)
@@ -232,14 +258,7 @@ def exchange_classes(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int =
             table[here] -= after
             table[:, here] -= before
             table[here, here] -= own
-            # likelihood gained by adding w to each class: its row, its column, its own cell, and the two margins
-            rows, columns = table + after, table + before[:, None]
-            gain = (_xlogx(rows) - _xlogx(table)).sum(1) + (_xlogx(columns) - _xlogx(table)).sum(0)
-            diagonal = np.diag(table)
-            gain -= _xlogx(diagonal + after) + _xlogx(diagonal + before) - 2 * _xlogx(diagonal)
-            gain += _xlogx(diagonal + after + before + own) - _xlogx(diagonal)
-            for margin, part in ((table.sum(1) + before, after.sum() + own), (table.sum(0) + after, before.sum() + own)):
-                gain -= _xlogx(margin + part) - _xlogx(margin)
+            gain = _gains(table, after, before, own)
             there = int(np.argmax(gain))
             if gain[there] <= gain[here] + 1e-9 * abs(gain[here]):
                 there = here
@@ -254,27 +273,97 @@ def exchange_classes(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int =
     return of
 
 
+def count_contexts(batches: Iterator[pa.RecordBatch], head: Units, classes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts by key, the frequent word's place times twice the number of classes plus its cell, of texts (text, train)."""
+    size, tally = int(classes.max()) + 1, _Tally()
+
+    def rows() -> Iterator[pa.RecordBatch]:
+        for keys, counts in tally.take():
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
+
+    for batch in batches:
+        train = batch.column(1).to_numpy(zero_copy_only=False)
+        # what ended the stretch before; the first word of a batch follows an end
+        last_place, last = -1, classes[head.end]
+        for text, word in stream(batch.column(0)):
+            place, unit = head.places(word), head.look_up(word)[1]
+            place = np.append(last_place, np.where((place >= 0) & (unit >= head.single) & train[text], place, -1))
+            here = np.append(last, classes[unit])
+            follows, leads = place[1:] >= 0, place[:-1] >= 0
+            tally.add(np.append(place[1:][follows] * 2 * size + here[:-1][follows],
+                                place[:-1][leads] * 2 * size + size + here[1:][leads]))
+            last_place, last = place[-1], here[-1]
+            if tally.full():
+                yield from rows()
+    yield from rows()
+
+
+def context_counts(docs: DataFrame, head: Units, classes: np.ndarray) -> DataFrame:
+    """``place`` (among the frequent words), ``cell`` and ``n``: how often each frequent word that is no unit of ``head``
+    comes after a class (cells from 0) and before one (cells from the number of classes)."""
+    cells, held = 2 * (int(classes.max()) + 1), docs.sparkSession.sparkContext.broadcast((head, classes))
+    counted = docs.select("text", "train").mapInArrow(lambda batches: count_contexts(batches, *held.value), "key long, n long")
+    return counted.groupBy("key").agg(F.sum("n").alias("n")).select(
+        F.floor(F.col("key") / cells).cast("int").alias("place"), (F.col("key") % cells).cast("int").alias("cell"), "n")
+
+
+def spread_classes(docs: DataFrame, head: Units, bigrams: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """The class of every frequent word and shape, in the order of units when all frequent words are units."""
+    size = int(classes.max()) + 1
+    member = np.eye(size)[classes]
+    table = member.T @ bigrams @ member
+    shape = classes[head.single + (head.words & np.uint64(SHAPES - 1)).astype(np.int64)]
+    held = docs.sparkSession.sparkContext.broadcast((table, shape))
+
+    def place(block: pa.Table) -> pa.Table:
+        table, shape = held.value
+        places, row = np.unique(block["place"].to_numpy(), return_inverse=True)
+        contexts = np.zeros((len(places), 2 * size))
+        contexts[row, block["cell"].to_numpy()] = block["n"].to_numpy()
+        found = np.empty(len(places), np.int32)
+        for k, (at, context) in enumerate(zip(places, contexts)):
+            before, after, here = context[:size], context[size:], shape[at]
+            rest = table.copy()
+            rest[here] -= after
+            rest[:, here] -= before
+            # a word beside one of its shape's class stands in the row and in the column
+            gain = _gains(np.maximum(rest, 0), after, before, 0)
+            best = int(np.argmax(gain))
+            found[k] = best if gain[best] > gain[here] + 1e-9 * abs(gain[here]) else here
+        return pa.table({"place": pa.array(places.astype(np.int32)), "class": pa.array(found)})
+
+    blocks = context_counts(docs, head, classes).withColumn("block", F.floor(F.col("place") / 256))
+    # one row for each frequent word at most
+    found = blocks.groupBy("block").applyInArrow(place, "place int, class int").toPandas()
+    of = np.where(head.own >= 0, classes[np.maximum(head.own, 0)], shape)
+    of[found["place"].to_numpy(np.int64)] = found["class"].to_numpy(np.int64)
+    if not (head.words == END).any():
+        of = np.append(classes[head.end], of)
+    return np.append(of, classes[head.single:])
+
+
 class Model:
-    """Logarithms (base 10) of P(unit | unit before), and what words of a shape need."""
+    """Logarithms (base 10) of P(unit | unit before), and what words of a shape need.
+
+    ``table`` counts pairs of classes, ``unit_n`` the tokens of each unit less what words gave to the unseen ones of
+    their shape, and ``freed`` what each shape was given so.
+    """
 
-    def __init__(self, units: Units, bigrams: np.ndarray, classes: np.ndarray, shapes: dict[int, tuple[int, int]],
-                 tokens: int, words: int, letters: np.ndarray):
+    def __init__(self, units: Units, table: np.ndarray, classes: np.ndarray, unit_n: np.ndarray,
+                 shapes: dict[int, tuple[int, int]], freed: np.ndarray, tokens: int, words: int, letters: np.ndarray):
         self.units, self.classes, self.tokens, self.words, self.letters = units, classes, tokens, words, letters
-        count = int(classes.max()) + 1
-        member = np.eye(count)[classes]
-        table = member.T @ bigrams @ member
-        unit_n = bigrams.sum(0)
-        class_n, sizes = unit_n @ member, member.sum(0)
+        count = len(table)
+        class_n, weight = table.sum(0), np.where(unit_n > 0, unit_n, 0.5)
         plain = (class_n + 0.5) / (class_n.sum() + 0.5 * count)
         left = table.sum(1, keepdims=True)
         kept = np.maximum(table - DISCOUNT, 0)
-        freed = np.where(left > 0, left - kept.sum(1, keepdims=True), 1)
-        self.moves = np.log10((kept + freed * plain) / np.maximum(left, 1))
-        self.emits = np.log10((unit_n + 0.5) / (class_n + 0.5 * sizes)[classes])
-        # tokens and distinct words of each shape, units left out
+        loose = np.where(left > 0, left - kept.sum(1, keepdims=True), 1)
+        self.moves = np.log10((kept + loose * plain) / np.maximum(left, 1))
+        self.emits = np.log10(weight / np.bincount(classes, weight, count)[classes])
+        # tokens and distinct words of each shape, frequent words left out
         n, kinds = (np.array([shapes.get(s, (0, 0))[k] for s in range(SHAPES)], float) for k in (0, 1))
-        self.shape_n = np.maximum(n, 1)
-        self.unseen = np.log10(np.where(n > 0, DISCOUNT * kinds / self.shape_n, 1))
+        self.shape_n = np.where(n + freed > 0, n + freed, 1)
+        self.unseen = np.log10(np.where(n + freed > 0, (freed + DISCOUNT * kinds) / self.shape_n, 1))
 
     def step(self, before: np.ndarray, unit: np.ndarray) -> np.ndarray:
         return self.moves[self.classes[before], self.classes[unit]] + self.emits[unit]
@@ -295,17 +384,26 @@ def frequent_words(counts: DataFrame, most: int) -> DataFrame:
 def fit(docs: DataFrame, counts: DataFrame, heavy: int, units: int, classes: int) -> Model:
     """A model of the training texts in ``docs`` (text, train), whose word counts are given."""
     top = frequent_words(counts, heavy).toPandas().sort_values(["n", "word"], ascending=[False, True])
-    table = Units(top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64), units)
-    single = [int(w) for w in table.words[table.own >= 0].view(np.int64)]
-    spark = docs.sparkSession
-    named = spark.createDataFrame([(w,) for w in [*single, END]], "word long").distinct()
-    # at most ``units`` words
+    words, n = top["word"].to_numpy(np.int64).view(np.uint64), top["n"].to_numpy(np.int64)
+    head, every = Units(words, n, units), Units(words, n, len(words) + 1)
+    named = docs.sparkSession.createDataFrame(pa.table({"word": np.unique(np.append(words, np.uint64(END))).view(np.int64)}))
+    # at most ``heavy`` words and the end
     rest = counts.join(F.broadcast(named), "word", "left_anti")
     shapes = {r["shape"]: (r["n"], r["kinds"]) for r in rest.groupBy(
         F.col("word").bitwiseAND(SHAPES - 1).alias("shape")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    bigrams = unit_bigrams(docs, table)
-    return Model(table, bigrams, exchange_classes(bigrams, classes), shapes, whole["n"], whole["v"], letter_logs(docs))
+    bigrams = bigram_counts(docs, head, np.arange(head.total))
+    of = spread_classes(docs, head, bigrams, exchange_classes(bigrams, classes))
+    unit_n = np.zeros(every.total)
+    unit_n[every.own] = every.counts
+    for shape, (tokens, _) in shapes.items():
+        unit_n[every.single + shape] = tokens
+    # every word gives a part of its count to the unseen words of its shape
+    giving = every.words != END
+    unit_n[every.own[giving]] -= DISCOUNT
+    freed = DISCOUNT * np.bincount((every.words[giving] & np.uint64(SHAPES - 1)).astype(np.int64), minlength=SHAPES)
+    unit_n[every.single:] += freed
+    return Model(every, bigram_counts(docs, every, of), of, unit_n, shapes, freed, whole["n"], whole["v"], letter_logs(docs))
 
 
 def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", parts: int = 7, part: int = 2,
@@ -343,9 +441,6 @@ def score_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", parts:
                 before = unit[-1]
                 frequent = count >= 0
                 value = model.step(came, unit)
-                tail = frequent & (unit >= units.single)
-                shape = unit[tail] - units.single
-                value[tail] += np.log10((count[tail] - DISCOUNT) / model.shape_n[shape])
                 base = np.where(frequent, np.log10(np.maximum(count, 0) + 1.0), 0)
                 for name, weight in (("tokens", None), ("known", frequent), ("base", base), ("score", value)):
                     sums[name] += np.bincount(owner, weight, size)

@@ -423,12 +423,59 @@ def test_units_emit_probabilities_that_sum_to_one():
     words = np.sort(rng.integers(1, 1 << 60, 30, dtype=np.uint64))
     table = brown.Units(words, np.arange(30, 0, -1), 10)
     bigrams = rng.integers(0, 9, (table.total, table.total)).astype(float)
-    model = brown.Model(table, bigrams, brown.exchange_classes(bigrams, 4), {}, 10, 10, np.zeros(257))
+    classes = brown.exchange_classes(bigrams, 4)
+    member = np.eye(4)[classes]
+    model = brown.Model(table, member.T @ bigrams @ member, classes, bigrams.sum(0), {}, np.zeros(32), 10, 10, np.zeros(257))
     units = np.arange(table.total)
     for before in (0, 3, table.total - 1):
         assert abs(np.sum(10 ** model.step(np.full(len(units), before), units)) - 1) < 1e-9
 
 
+def test_every_frequent_word_gets_the_class_of_its_contexts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    share = 1 / np.arange(1, 61)
+    draw = lambda kind: f"{kind}{'abcdefghij'[(k := rng.choice(60, p=share / share.sum())) % 10]}{'klmnop'[k // 10]}"
+    texts = [" ".join(draw("vs"[i % 2]) for i in range(40)) for _ in range(300)] + ["", None, "x" + " " * 300 + "y"]
+    docs = spark.createDataFrame([(t, n % 5 != 0) for n, t in enumerate(texts)], "text string, train boolean").repartition(3).cache()
+    counts = brown.word_counts(docs).toPandas().sort_values(["n", "word"], ascending=[False, True])
+    words, n = counts["word"].to_numpy(np.int64).view(np.uint64), counts["n"].to_numpy(np.int64)
+    head = brown.Units(words, n, 20)
+    bigrams = brown.bigram_counts(docs, head, np.arange(head.total))
+    classes = brown.exchange_classes(bigrams, 3)
+    size = int(classes.max()) + 1
+    want = Counter()
+    name = {}
+    for t, train in ((_text(t), n % 5 != 0) for n, t in enumerate(texts)):
+        tokens = next(brown.stream(pa.array([t])))[1]
+        name.update(zip(tokens.tolist(), t.split()))
+        units = np.append(head.end, head.look_up(tokens)[1])
+        for k, place in enumerate(head.places(tokens)):
+            if train and units[k + 1] >= head.single and tokens[k] != brown.END:
+                want[place, classes[units[k]]] += 1
+                want[place, size + classes[units[k + 2]]] += 1
+    for piece in (1 << 20, 50):
+        cut = brown.texts.pieces
+        monkeypatch.setattr(brown.texts, "pieces", lambda data, ends, p=piece: cut(data, ends, p))
+        found = [b for batch in [[pa.record_batch([[t], [n % 5 != 0]], ["text", "train"])] for n, t in enumerate(texts)]
+                 for b in brown.count_contexts(batch, head, classes)]
+        monkeypatch.setattr(brown.texts, "pieces", cut)
+        got = Counter()
+        for b in found:
+            for key, times in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got[key // (2 * size), key % (2 * size)] += times
+        assert got == want
+    got = {(r["place"], r["cell"]): r["n"] for r in brown.context_counts(docs, head, classes).collect()}
+    assert got == want
+    of = brown.spread_classes(docs, head, bigrams, classes)
+    every = brown.Units(words, n, len(words) + 1)
+    assert len(of) == every.total
+    # words of one kind that were met often share their classes with no word of the other kind
+    often = {k: {of[i] for i, w in enumerate(every.words.tolist()) if name.get(w, "")[:1] == k and every.counts[i] >= 20} for k in "vs"}
+    assert often["v"] and often["s"] and not often["v"] & often["s"]
+    table = brown.bigram_counts(docs, every, of)
+    assert table.sum() == n.sum()
+
+
 def test_licenses(spark):
     notice = licenses.TEMPLATES["MIT"][2]
     rows = [(1, "Some words. " + notice + " More words."), (2, notice.replace("charge", "cost").upper()), (3, "released under the mit license"),
