@@ -167,6 +167,13 @@ def split_by_levels(df: DataFrame, keep: Sequence[str], threshold: float = CARDI
     return [c for c in texts if c not in many], [c for c in texts if c in many]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in tasks of at most about ``ROWS_PER_TASK`` rows: a small file of many rows is read as one partition, and
+    what is stored from it would be read back by one task. Tables of one task's size stay as they are."""
+    tasks = math.ceil(df.count() / ROWS_PER_TASK)
+    return df.repartition(tasks) if tasks > 1 else df
+
+
 def with_indicators(df: DataFrame, key: str, label: str, drop_first: bool, threshold: float = CARDINALITY_THRESHOLD,
                     carried: Sequence[str] = ()) -> tuple[DataFrame, list[str], list[str]]:
     """Key, label, numeric columns and dummies of text columns with few values, stored with the other text columns (and
@@ -175,7 +182,7 @@ def with_indicators(df: DataFrame, key: str, label: str, drop_first: bool, thres
     numbers = [c for c in numeric_columns(df) if c not in (key, label)]
     made = indicator_columns(fit_levels(df, low), drop_first, [key, label, *numbers, *high])
     as_is = list(dict.fromkeys([*high, *[c for c in carried if c not in numbers]]))
-    out = materialize(df.select(key, label, *numbers, *made, *as_is))
+    out = materialize(spread(df).select(key, label, *numbers, *made, *as_is))
     return out, [c for c in out.columns if c not in (key, label, *as_is)], high
 
 

@@ -134,3 +134,14 @@ def test_no_columns_one_class_and_no_rows(spark, frame):
     assert {round(r.p, 6) for r in bare.out_of_fold(classifier).collect()} == {0.5}
     one = P.FoldRows.build(frame.filter("y = 1"), "id", "y", ["strong"], folds=2, repeats=1)
     assert one.out_of_fold(classifier).filter("p < 0.5").isEmpty()
+
+
+def test_rows_of_one_partition_are_stored_in_several(frame, monkeypatch):
+    monkeypatch.setattr(M, "ROWS_PER_TASK", 100)
+    one = frame.select("id", "y", "strong", "same").coalesce(1)
+    stored, columns, high = M.with_indicators(one, "id", "y", False)
+    sizes = [len(part) for part in stored.rdd.glom().collect()]
+    assert len(sizes) == 4 and max(sizes) <= 150
+    assert columns == ["strong", "same_all"] and high == []
+    assert sorted(map(tuple, stored.select("id", "strong").collect())) == sorted(map(tuple, one.select("id", "strong").collect()))
+    assert M.with_indicators(one.limit(90), "id", "y", False)[0].rdd.getNumPartitions() == 1
