@@ -145,3 +145,32 @@ def test_rows_of_one_partition_are_stored_in_several(frame, monkeypatch):
     assert columns == ["strong", "same_all"] and high == []
     assert sorted(map(tuple, stored.select("id", "strong").collect())) == sorted(map(tuple, one.select("id", "strong").collect()))
     assert M.with_indicators(one.limit(90), "id", "y", False)[0].rdd.getNumPartitions() == 1
+
+
+def test_vectors_of_each_training_set(rows):
+    facts = rows.facts()
+    for s in (1, 5):
+        got = sorted(tuple(r[P.FEATURES].toArray()) for r in rows.training(s).collect())
+        train = [r for r in rows.rows.collect() if r.folds[s // 3] != s % 3]
+        kept = np.where(facts.empty[s], 0.0, facts.medians[s])
+        want = []
+        for r in train:
+            x = np.array(r.x)
+            flags = np.isnan(x[facts.gaps]) & facts.flagged[s]
+            want.append((*np.where(np.isnan(x), kept, x), *flags.astype(float), r.v[s]))
+        assert got == sorted(want)
+
+
+def test_doubles_read_back_from_their_literals(spark):
+    values = [0.1, -2.5e-300, 1e22, 1 / 3, -0.0, 5e-324, float("inf"), float("-inf"), float("nan")]
+    found = spark.sql(f"SELECT array({', '.join(P._double(v) for v in values)})").first()[0]
+    assert list(map(repr, found)) == list(map(repr, values))
+
+
+@pytest.mark.parametrize("name", ["RandomForest", "GradientBoosting"])
+def test_trees_stay_in_the_jvm_until_asked_for(rows, name, tmp_path):
+    model = M.classifiers("y", trees=3, rounds=3)[name].fit(rows.training(0))
+    assert rows.held_out(0, model).count() and "trees" not in vars(model)
+    assert len(model.trees) == 3
+    model.save(f"{tmp_path}/model")
+    assert type(model).__base__.load(f"{tmp_path}/model").featureImportances == model.featureImportances
