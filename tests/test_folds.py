@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from creditspark.operators.ranks import roc_auc
 from creditspark.plans import folds as P
 from creditspark.plans import modelling as M
+from creditspark.session import in_threads
 
 COLUMNS = ["strong", "weak", "gappy", "constant", "empty"]
 
@@ -174,3 +176,17 @@ def test_trees_stay_in_the_jvm_until_asked_for(rows, name, tmp_path):
     assert len(model.trees) == 3
     model.save(f"{tmp_path}/model")
     assert type(model).__base__.load(f"{tmp_path}/model").featureImportances == model.featureImportances
+
+
+def test_jobs_in_threads_share_no_local_properties(spark):
+    context, both = spark.sparkContext, threading.Barrier(2, timeout=60)
+    context.setLocalProperty("from_caller", "yes")
+
+    def work(job):
+        context.setLocalProperty("job", str(job))
+        both.wait()
+        return job, context.getLocalProperty("job"), context.getLocalProperty("from_caller")
+
+    assert in_threads(spark, work, range(2)) == [(0, "0", "yes"), (1, "1", "yes")]
+    assert in_threads(spark, work, []) == []
+    context.setLocalProperty("from_caller", None)
