@@ -18,6 +18,7 @@ empty table gives no rows.
 from __future__ import annotations
 
 import ctypes
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,7 +34,9 @@ LENGTH = 2048
 END_ID = 0
 GROUP_BYTES = 32 << 20
 WORDS_KEPT = 1_000_000
-PLAIN_SIGNS = (".", ",", ";", ":", "!", "?")
+LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
+PLAIN = re.compile(f"(\0?)([{LETTERS}]+)([!-/:-@[-`{{-~]*)")
+TWO_BYTES = [i.to_bytes(2, "little") for i in range(1 << 16)]
 
 
 class _Irregular(Exception):
@@ -56,8 +59,12 @@ class WordIds(dict):
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this tokenizer do not fit 16 bits")
         self.split, self.merge, self.parts = self.tokenizer.pre_tokenizer.pre_tokenize_str, self.tokenizer.model.tokenize, {}
-        # does the splitter keep a run of plain letters whole, with the space before it (written as Ġ), and a sign apart?
-        self.runs = [[p for p, _ in self.split(s)] for s in (" aZZab", " aZZab.")] == [["ĠaZZab"], ["ĠaZZab", "."]]
+        # the signs that the splitter writes for the bytes of a letter
+        self.written = {ord(c): "".join(p for p, _ in self.split(c)) for c in map(chr, range(0x180)) if re.match(f"[{LETTERS}]", c)}
+        # does it keep a run of plain letters whole, with the space before it (written as Ġ), and a run of signs apart?
+        made = [[p for p, _ in self.split(s)] for s in (" aZZab", " aZſéÀb", " aZZab.", "éab'.%&")]
+        self.runs = made == [["ĠaZZab"], ["ĠaZ" + "ſéÀ".translate(self.written) + "b"], ["ĠaZZab", "."],
+                             ["é".translate(self.written) + "ab", "'.%&"]]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
@@ -68,13 +75,18 @@ class WordIds(dict):
         if found is None:
             if len(self.parts) >= WORDS_KEPT:
                 self.parts.clear()
-            found = self.parts[part] = b"".join([token.id.to_bytes(2, "little") for token in self.merge(part)])
+            found = self.parts[part] = b"".join([TWO_BYTES[token.id] for token in self.merge(part)])
         return found
 
     def __missing__(self, word: str) -> bytes:
-        letters = word[:-1] if word[-1:] in PLAIN_SIGNS else word
-        if self.runs and letters.isascii() and letters.isalpha():
-            found = self.part("Ġ" + letters) + (b"" if letters is word else self.part(word[-1]))
+        plain = self.runs and PLAIN.fullmatch(word)
+        if plain:
+            first, letters, signs = plain.groups()
+            if not letters.isascii():
+                letters = letters.translate(self.written)
+            found = self.part(letters if first else "Ġ" + letters)
+            if signs:
+                found += self.part(signs)
         else:
             bare = word[1:] if word[:1] == "\0" else word
             if word != "\n" and (not bare or bare != bare.strip()):

@@ -204,6 +204,20 @@ def test_words_encode_like_whole_texts():
         assert known.encode(text) == known.whole(text)
 
 
+def test_letters_and_last_signs_pass_the_splitter():
+    import random
+
+    known = packing.WordIds(tokenizer_path())
+    splitter, asked = known.split, []
+    known.split = lambda text: asked.append(text) or splitter(text)
+    plain = "Élan geñí fin.* größer%%% l\nÀ bas' don'"
+    assert known.encode(plain) == known.whole(plain) and asked == ["\n"]
+    draw = random.Random(1)
+    for _ in range(2000):
+        words = ["".join(draw.choice("abzA'sdt.!%&éſÀŉ½ªµ×÷²9_`~Ω中\u0301") for _ in range(draw.randint(1, 6))) for _ in range(3)]
+        assert known.encode(" ".join(words)) == known.whole(" ".join(words))
+
+
 def test_swaps_empty_a_bin():
     # 3 for 2 with the first bin, then the 2 moves to the second
     better = packing.improve([[0, 1], [2, 3], [4]], [7, 2, 6, 2, 3], 10)
