@@ -123,6 +123,22 @@ def test_forest_and_ensemble_importance(spark, separable):
     assert M.ensemble_importance(separable, "id", "y", 2, 5, 2).first().feature == "strong"
 
 
+def test_fits_read_stored_vectors_and_samples(spark, separable, monkeypatch):
+    seen = []
+
+    class Forest(M.RandomForestClassifier):
+        def fit(self, dataset, params=None):
+            seen.append(dataset)
+            return super().fit(dataset, params)
+
+    monkeypatch.setattr(M, "RandomForestClassifier", Forest)
+    trainer("RandomForest").fit(separable)
+    M.ensemble_importance(separable, "id", "y", 1, 5, 2)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in seen]
+    assert seen[0].columns == ["y", M.WEIGHT, M.FEATURES] and plans[0].startswith("LogicalRDD")
+    assert "md5" not in plans[1]
+
+
 def test_baseline_and_score_table(spark, separable):
     mean, summary = M.baseline(separable.drop("empty"), "id", "y", rounds=2, folds=2, repeats=1)
     assert mean.count() == 400 and summary.first().overall_auc > 0.8
