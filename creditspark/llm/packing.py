@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import ctypes
 import re
+import string
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ END_ID = 0
 GROUP_BYTES = 32 << 20
 WORDS_KEPT = 1_000_000
 LETTERS = "A-Za-zÀ-ÖØ-öø-ſ"
-PLAIN = re.compile(f"(\0?)([{LETTERS}]+)([!-/:-@[-`{{-~]*)")
+PLAIN = re.compile(f"[{LETTERS}]+")
 TWO_BYTES = [i.to_bytes(2, "little") for i in range(1 << 16)]
 
 
@@ -79,16 +80,18 @@ class WordIds(dict):
         return found
 
     def __missing__(self, word: str) -> bytes:
-        plain = self.runs and PLAIN.fullmatch(word)
-        if plain:
-            first, letters, signs = plain.groups()
-            if not letters.isascii():
-                letters = letters.translate(self.written)
-            found = self.part(letters if first else "Ġ" + letters)
-            if signs:
-                found += self.part(signs)
+        bare = word[1:] if word[:1] == "\0" else word
+        letters = bare.rstrip(string.punctuation)
+        ascii_only = letters.isascii()
+        if self.runs and letters and (letters.isalpha() if ascii_only else PLAIN.fullmatch(letters)):
+            if len(letters) < len(bare):
+                # words that differ by their signs share the ids of their letters, kept as a word of their own
+                signs = len(bare) - len(letters)
+                found = self[word[:-signs]] + self.part(word[-signs:])
+            else:
+                written = letters if ascii_only else letters.translate(self.written)
+                found = b"".join([TWO_BYTES[token.id] for token in self.merge(written if bare is not word else "Ġ" + written)])
         else:
-            bare = word[1:] if word[:1] == "\0" else word
             if word != "\n" and (not bare or bare != bare.strip()):
                 raise _Irregular
             content = bare if bare is not word or word == "\n" else " " + word

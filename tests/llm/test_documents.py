@@ -218,6 +218,17 @@ def test_letters_and_last_signs_pass_the_splitter():
         assert known.encode(" ".join(words)) == known.whole(" ".join(words))
 
 
+def test_words_that_differ_by_signs_share_the_ids_of_their_letters():
+    known = packing.WordIds(tokenizer_path())
+    merge, asked = known.merge, []
+    known.merge = lambda part: asked.append(part) or merge(part)
+    text = "größer größer, Vxab%%% größer% Vxab"
+    assert known.encode(text) == known.whole(text)
+    assert sorted(asked) == sorted(["größer".translate(known.written), "Ġ" + "größer".translate(known.written), "ĠVxab", ",", "%%%", "%"])
+    # letters are kept as words only, not a second time as parts
+    assert sorted(known.parts) == ["%", "%%%", ","] and set(known) == {"\0größer", "größer", "größer,", "größer%", "Vxab", "Vxab%%%"}
+
+
 def test_swaps_empty_a_bin():
     # 3 for 2 with the first bin, then the 2 moves to the second
     better = packing.improve([[0, 1], [2, 3], [4]], [7, 2, 6, 2, 3], 10)
