@@ -3,10 +3,13 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from creditspark.catalog import model_queries
 from creditspark.operators.align import align_to
 from creditspark.operators.ranks import roc_auc
+from creditspark.plans import modelling
 from creditspark.plans.features import HistoryStore, history_features, history_frame
 from creditspark.plans.scoring import ScoringModel, fit_scoring, prune_lists, score_bundle, weaker_variants
+from creditspark.sources.files import read_bundle
 from creditspark.sources.schemas import KEY, TABLES
 from creditspark.streaming.scoring import client_stream, read_scores, score_stream
 from tests.frames import many_clients, only, without_target
@@ -51,6 +54,18 @@ def test_bundle_scoring_writes_json(spark, fitted, tmp_path):
     assert got.filter("default_probability is null").isEmpty()
 
 
+def test_bundle_clients_are_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(modelling, "ROWS_PER_TASK", 50)
+    tables = {name: df.coalesce(1) for name, df in many_clients(spark).items()}
+    model_queries._write_bundle(tables, str(tmp_path))
+    assert len(list((tmp_path / "client.csv").glob("part-*"))) == 4
+    back = read_bundle(spark, str(tmp_path))
+    assert set(back) == set(TABLES)
+    for name, schema in TABLES.items():
+        given = align_to(tables[name], schema)
+        assert back[name].exceptAll(given).isEmpty() and given.exceptAll(back[name]).isEmpty()
+
+
 def test_stream_scores_each_client_once_and_only_new_files_later(spark, fitted, tmp_path):
     tables, path = fitted
     model = ScoringModel.load(spark, path)
