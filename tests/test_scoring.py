@@ -66,6 +66,13 @@ def test_bundle_clients_are_written_by_several_tasks(spark, tmp_path, monkeypatc
         assert back[name].exceptAll(given).isEmpty() and given.exceptAll(back[name]).isEmpty()
 
 
+def test_arriving_clients_are_spread_over_two_tasks_or_more(spark, monkeypatch):
+    few = spark.range(90).coalesce(1)
+    assert modelling.spread(few, 2).rdd.getNumPartitions() == 2 and modelling.spread(few).rdd.getNumPartitions() == 1
+    monkeypatch.setattr(modelling, "ROWS_PER_TASK", 10)
+    assert modelling.spread(few, 2).rdd.getNumPartitions() == 9
+
+
 def test_stream_scores_each_client_once_and_only_new_files_later(spark, fitted, tmp_path):
     tables, path = fitted
     model = ScoringModel.load(spark, path)
