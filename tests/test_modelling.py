@@ -139,6 +139,42 @@ def test_fits_read_stored_vectors_and_samples(spark, separable, monkeypatch):
     assert "md5" not in plans[1]
 
 
+def test_large_fits_read_few_parts_and_run_few_at_once(spark, separable, monkeypatch):
+    assert [M.fit_tasks(n) for n in (0, 20_000, 90_000, 160_000, 900_000, 5_400_000)] == [1, 1, 5, 8, 9, 54]
+    assert [M.fits_at_once(n) for n in (0, 900_000, 2_000_000, 50_000_000)] == [8, 8, 4, 2]
+    parts, at_once = [], []
+
+    class Forest(M.RandomForestClassifier):
+        def fit(self, dataset, params=None):
+            parts.append(dataset.rdd.getNumPartitions())
+            return super().fit(dataset, params)
+
+    def in_threads(spark, work, jobs, parallelism=8):
+        at_once.append(parallelism)
+        return run(spark, work, jobs, parallelism)
+
+    run = M.in_threads
+    monkeypatch.setattr(M, "RandomForestClassifier", Forest)
+    monkeypatch.setattr(M, "in_threads", in_threads)
+    monkeypatch.setattr(M, "ROWS_PER_TASK", 20)
+    monkeypatch.setattr(M, "ROWS_PER_FIT_TASK", 100)
+    monkeypatch.setattr(M, "ROWS_IN_FITS", 1_200)
+    wide = separable.repartition(20)
+    trainer("RandomForest").fit(wide)
+    M.ensemble_importance(wide, "id", "y", 1, 5, 2)
+    assert parts == [8, 8] and at_once == [3]
+
+
+def test_kept_places_of_rows_give_the_same_forest(separable):
+    rows = M.as_doubles(separable, [*COLUMNS, "y"])
+    found = []
+    for cached in (False, True):
+        one = M.Trainer(M.RandomForestClassifier(labelCol="y", featuresCol=M.FEATURES, weightCol=M.WEIGHT, numTrees=10,
+                                                 seed=M.SEED, cacheNodeIds=cached), COLUMNS, "y")
+        found.append(one.fit(rows).model.stages[-1].toDebugString.split("\n", 1)[1])
+    assert found[0] == found[1]
+
+
 def test_baseline_and_score_table(spark, separable):
     mean, summary = M.baseline(separable.drop("empty"), "id", "y", rounds=2, folds=2, repeats=1)
     assert mean.count() == 400 and summary.first().overall_auc > 0.8
