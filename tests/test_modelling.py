@@ -85,6 +85,19 @@ def test_random_search_returns_the_best_trial(separable):
         M.sample_params(trainer("Logistic").classifier, {"maxIter": ("other", 1)}, 1)
 
 
+def test_every_trial_is_fitted_on_all_rows_of_all_folds(separable):
+    rows = trainer("RandomForest").fold_rows(separable, "id", 3, 1)
+    forest = trainer("RandomForest").classifier
+    space = {"numTrees": ("int", 3, 6), "maxDepth": ("int", 1, 3)}
+    best, table = M.search_params(forest, rows, space, trials=4)
+    found = {r.trial: r for r in table.collect()}
+    assert [r.percent for r in found.values()] == [100] * 4
+    for trial, params in enumerate(M.sample_params(forest, space, 4)):
+        alone = M.fold_scores(rows.out_of_fold(forest.copy(params)), "y").collect()
+        assert len(alone) == 3 and found[trial].auc == pytest.approx(np.mean([r.auc for r in alone]), abs=1e-9)
+    assert M.shown(best) == max(found.values(), key=lambda r: (r.auc, -r.trial)).params
+
+
 def test_weight_grid_covers_the_simplex():
     grid = M.weight_grid(3, 4)
     assert len(grid) == 15 and len({tuple(w) for w in grid}) == 15
